@@ -26,7 +26,8 @@ class ResponseConfig:
 
 @dataclass(frozen=True)
 class ScoringConfig:
-    """Parameters of the scoring job. ``diversity`` is the spread of the answer noise."""
+    """Parameters of the scoring job. ``diversity`` is the spread of the answer noise; ``precision``
+    is that of the hidden layer."""
 
     score_min: float
     score_max: float
@@ -34,4 +35,5 @@ class ScoringConfig:
     noise_scale: float = 1.0
     fixed_reference: float | None = None
     seed: int = 42
-    hash_fn: str = "md5"
+    hash_fn: str = "xxhash64"
+    precision: str = "float32"

@@ -230,38 +230,42 @@ def rank_in_group(
     df: DataFrame,
     groups: list[str],
     order: list[str],
+    sizes: DataFrame,
     parts: int = GROUP_PARTS,
     min_rows: int = MIN_SPLIT_ROWS,
 ) -> DataFrame:
     """Full rank ``_rk`` of the rows of each group in the order ``_h, …``.
 
-    Groups with more than max(min_rows, total/parts) rows are split by hash range; there are at most
-    ``parts`` of them, so their list and the offsets of their pieces (at most 2 * parts) can be
-    broadcast. Every other group is one window partition.
+    ``sizes`` has one row per group: its number of rows ``_n`` and any columns to attach. Groups with
+    more than max(min_rows, total/parts) rows are split by hash range into pieces of about that size;
+    there are at most ``parts`` such groups and 2 * parts pieces, so their lists can be broadcast.
+    Rows are shuffled once, by group and piece, for the rank and for the attached columns.
     """
-    total = df.count()
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
     bound = max(min_rows, math.ceil(total / parts))
-    if total <= bound:
-        place = Window.partitionBy(*groups).orderBy(*order)
-        return df.withColumn("_rk", F.row_number().over(place))
-    hot = (
-        df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > bound)
-        .select(*groups, F.ceil(F.col("_n") / bound).alias("_pieces"))
-    )
-    marked = df.join(F.broadcast(hot), groups, "left").withColumn(
-        "_b",
-        F.when(F.col("_pieces").isNull(), F.lit(0).cast("bigint"))
-        .otherwise(F.floor(F.col("_h") / F.lit(HASH_RANGE) * F.col("_pieces")).cast("bigint")),
-    )
-    offsets = _offsets(marked.filter(F.col("_pieces").isNotNull()), groups)
-    place = Window.partitionBy(*groups, "_b").orderBy(*order)
-    return (
-        marked.withColumn("_rk", F.row_number().over(place))
-        .join(F.broadcast(offsets), [*groups, "_b"], "left")
-        .withColumn("_rk", F.col("_rk") + F.coalesce("_off", F.lit(0)))
-        .drop("_off", "_b", "_pieces")
-    )
+    pieces = sizes.withColumn("_pieces", F.ceil(F.col("_n") / bound).cast("int")).drop("_n")
+    hot = pieces.filter(F.col("_pieces") > 1).select(*groups, "_pieces")
+    keys = [*groups, "_b"]
+    if hot.isEmpty():
+        marked, offsets = df.withColumn("_b", F.lit(0)), None
+    else:
+        piece = F.floor(F.col("_h") / F.lit(HASH_RANGE) * F.col("_pieces")).cast("int")
+        marked = (
+            df.join(F.broadcast(hot), groups, "left")
+            .withColumn("_b", F.coalesce(piece, F.lit(0)))
+            .withColumn("_hot", F.col("_pieces").isNotNull())
+            .drop("_pieces")
+        )
+        offsets = _offsets(marked.filter("_hot"), groups)
+        marked = marked.drop("_hot")
+    attached = pieces.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+    place = Window.partitionBy(*keys).orderBy(*order)
+    ranked = marked.join(attached, keys).withColumn("_rk", F.row_number().over(place))
+    if offsets is not None:
+        ranked = ranked.join(F.broadcast(offsets), keys, "left").withColumn(
+            "_rk", F.col("_rk") + F.coalesce("_off", F.lit(0))
+        ).drop("_off")
+    return ranked.drop("_b")
 
 
 def rank_rows(df: DataFrame, order: list[str], bits: int = BUCKET_BITS) -> DataFrame:

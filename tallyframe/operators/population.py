@@ -11,6 +11,7 @@ from tallyframe.functions.columns import category_text
 from tallyframe.functions.hashing import HASH_BITS, HASH_FN, hash48, pick_index, u01
 from tallyframe.operators.joins import MAX_BROADCAST_ROWS
 from tallyframe.operators.keyorder import BUCKET_BITS
+from tallyframe.session import checkpointed
 
 WEIGHT_UNIT = float(1 << 40)
 MIN_CELLS, MAX_CELLS = 64, 1 << 20
@@ -130,8 +131,12 @@ class Sampler:
 def sampler(
     marginals: DataFrame, temperature: float = 1.0, uniform: bool = False, hash_fn: str = HASH_FN
 ) -> Sampler:
-    """Prepares draws; the driver sees one row per feature."""
-    intervals = _intervals(draw_weights(marginals, temperature, uniform), hash_fn)
+    """Prepares draws; the driver sees one row per feature.
+
+    The intervals are written once, so that the table they were counted from is not read again for
+    every feature and draw.
+    """
+    intervals = checkpointed(_intervals(draw_weights(marginals, temperature, uniform), hash_fn))
     sizes = {
         r["feature"]: (r["total"], r["n"])
         for r in intervals.groupBy("feature").agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n"))

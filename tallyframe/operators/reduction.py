@@ -6,7 +6,9 @@ levels come from one pass (see ``level_coverage``). ``samples`` unfolds the leve
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -17,7 +19,6 @@ from tallyframe.constants import (
 from tallyframe.functions.columns import linspace_values
 from tallyframe.functions.hashing import HASH_FN, hash48
 from tallyframe.operators.coverage import level_coverage
-from tallyframe.operators.joins import join_by_key
 from tallyframe.operators.keyorder import (
     GROUP_PARTS, MIN_SPLIT_ROWS, choose_keys, floor_size, rank_in_group, top_in_group, with_row_hash,
 )
@@ -178,48 +179,52 @@ def ratio_ablation(
     smallest = RATIO_END
     if mode != "both":
         least = min_tasks_per_worker if mode == "task" else min_workers_per_task
-        row = safe_ratio(df, mode, least, check_points, trials, seed, True, hash_fn).first()
+        row = safe_ratio(df, mode, least, check_points, trials, seed, nested, hash_fn).first()
         smallest = row["safe_ratio"]
     ratios = linspace_values(RATIO_START, smallest, points)[::-1]
     labels = _labels(df.sparkSession, "ratio", [round(r, 2) for r in ratios])
     keys = {"worker": ["uid"], "task": ["qid"], "both": ["uid", "qid"]}[mode]
     if not nested:
-        return _independent("ratio", labels, df, keys, ratios, seed, hash_fn)
+        return _independent(
+            "ratio", labels, [_draw(df, keys, f"{seed}", i, lambda n: floor_size(n, r), hash_fn) for i, r in enumerate(ratios)]
+        )
     choices = [
         choose_keys(df, key, f"{seed}{key}", lambda n: [floor_size(n, r) for r in ratios], hash_fn) for key in keys
     ]
     return _study("ratio", labels, _keep_choices(df, choices))
 
 
-def _independent(
-    name: str, labels: DataFrame, df: DataFrame, keys: list[str], ratios: list[float], seed: int, hash_fn: str
-) -> Study:
-    """Independent samples: level i is drawn with a salt of its own."""
-    parts = []
-    for i, r in enumerate(ratios):
-        sample = df
-        for key in keys:
-            chosen = choose_keys(df, key, f"{seed}{key}/{i}", lambda n: [floor_size(n, r)], hash_fn).chosen()
-            sample = sample.filter(chosen)
-        parts.append(sample.withColumn("_pos", F.lit(i)))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+def _draw(
+    df: DataFrame, keys: list[str], seed: str, level: int, size: Callable[[int], int], hash_fn: str
+) -> DataFrame:
+    """One sample of its own: the seed is salted with the level."""
+    sample = df
+    for key in keys:
+        sample = sample.filter(choose_keys(df, key, f"{seed}{key}/{level}", lambda n: [size(n)], hash_fn).chosen())
+    return sample
+
+
+def _independent(name: str, labels: DataFrame, samples: list[DataFrame]) -> "IndependentStudy":
+    """Study of samples drawn apart from each other, one pass over the rows per level."""
+    rows = reduce(DataFrame.unionByName, [s.withColumn("_pos", F.lit(i)) for i, s in enumerate(samples)])
+    return IndependentStudy(name, labels, rows, _sample_stats(name, labels, rows))
+
+
+def _sample_stats(name: str, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    names = ["n_qid", "n_uid", "n_pairs", "n_obs"]
     counts = rows.groupBy("_pos").agg(
         F.count_distinct("qid").alias("n_qid"), F.count_distinct("uid").alias("n_uid"),
         F.count_distinct("qid", "uid").alias("n_pairs"), F.count(F.lit(1)).alias("n_obs"),
     )
-    names = ["n_qid", "n_uid", "n_pairs", "n_obs"]
     full = labels.join(counts, labels["pos"] == counts["_pos"], "left").select(
         name, *[F.coalesce(n, F.lit(0)).alias(n) for n in names]
     )
-    stats = full.select(
+    return full.select(
         name, "n_qid", "n_uid",
         F.try_divide("n_pairs", "n_qid").alias("avg_workers_per_qid"),
         F.try_divide("n_pairs", "n_uid").alias("avg_qids_per_uid"),
         "n_obs",
     )
-    return IndependentStudy(name, labels, rows, stats)
 
 
 @dataclass(frozen=True)
@@ -241,6 +246,7 @@ def fixed_entity_ablation(
     seed: int = 42,
     row_key: list[str] | None = None,
     hash_fn: str = HASH_FN,
+    nested: bool = True,
     parts: int = GROUP_PARTS,
     min_rows: int = MIN_SPLIT_ROWS,
 ) -> Study:
@@ -248,7 +254,8 @@ def fixed_entity_ablation(
 
     At level ``remove`` a group with d distinct partners keeps its first max(d - remove, min_keep)
     rows, so the row at place j is last kept at level d - j (at every level if j <= min_keep).
-    Levels after the first one that loses a task or a worker are left out.
+    Levels after the first one that loses a task or a worker are left out. ``nested=False`` orders
+    the rows anew for every level, so rows are unfolded by level before the shuffle.
     """
     if mode == "responses_per_task":
         group, entity = "qid", "uid"
@@ -256,13 +263,31 @@ def fixed_entity_ablation(
         group, entity = "uid", "qid"
     else:
         raise ValueError("mode must be 'responses_per_task' or 'tasks_per_worker'")
-    partners = checkpointed(df.groupBy(group).agg(F.count_distinct(entity).alias("_d")))
-    least = partners.agg(F.min("_d")).first()[0]
+    sizes = checkpointed(df.groupBy(group).agg(F.count_distinct(entity).alias("_d"), F.count(F.lit(1)).alias("_n")))
+    least = sizes.agg(F.min("_d")).first()[0]
     removed = list(range(0, max((least or 0) - min_keep, 0) + 1, step))
     labels = _labels(df.sparkSession, "remove", removed[::-1])
+    kept_rows = F.greatest(F.col("_d") - F.col("remove"), F.lit(min_keep))
+    levels = F.explode(F.array(*[F.lit(r) for r in removed]))
+    entities = df.agg(F.count_distinct("qid").alias("q"), F.count_distinct("uid").alias("u"))
+    complete = (F.col("n_qid") == entities.select("q").scalar()) & (F.col("n_uid") == entities.select("u").scalar())
+
+    if not nested:
+        hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
+        salted = hashed.withColumn("remove", levels).withColumn("_h", hash48(seed, "remove", "_h", fn=hash_fn))
+        ranked = rank_in_group(
+            salted, [group, "remove"], ["_h", *ties], sizes.withColumn("remove", levels), parts, min_rows
+        )
+        place = F.lit(len(removed) - 1) - (F.col("remove") / step).cast("int")
+        rows = ranked.filter(F.col("_rk") <= kept_rows).select(*df.columns, place.alias("_pos"))
+        every = _sample_stats("remove", labels, rows)
+        failed = every.filter(~complete).agg(F.coalesce(F.min("remove"), F.lit(removed[-1] + 1))).scalar()
+        stats = every.filter(F.col("remove") < failed).select(F.lit(mode).alias("mode"), *every.columns)
+        kept = labels.join(stats.select("remove"), "remove", "left_semi")
+        return IndependentStudy("remove", kept, rows, stats)
 
     hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
-    ranked = join_by_key(rank_in_group(hashed, [group], ["_h", *ties], parts, min_rows), partners, group)
+    ranked = rank_in_group(hashed, [group], ["_h", *ties], sizes, parts, min_rows)
     last = F.when(F.col("_rk") <= min_keep, F.lit(len(removed) - 1)).otherwise(
         F.least(F.floor((F.col("_d") - F.col("_rk")) / step), F.lit(len(removed) - 1))
     )
@@ -272,8 +297,6 @@ def fixed_entity_ablation(
         .select(*df.columns, "lvl")
     )
     study = _study("remove", labels, rows)
-    entities = df.agg(F.count_distinct("qid").alias("q"), F.count_distinct("uid").alias("u"))
-    complete = (F.col("n_qid") == entities.select("q").scalar()) & (F.col("n_uid") == entities.select("u").scalar())
     stats = study.stats.filter(complete).select(F.lit(mode).alias("mode"), *study.stats.columns)
     kept = labels.join(stats.select("remove"), "remove", "left_semi")
     return Study("remove", kept, rows, stats)
@@ -286,6 +309,7 @@ def scenario(
     counts: list[int] | None = None,
     row_key: list[str] | None = None,
     hash_fn: str = HASH_FN,
+    nested: bool = True,
 ) -> Study:
     """Coverage with k workers, k tasks, t tasks per worker, or w responses per task."""
     spark = df.sparkSession
@@ -295,7 +319,11 @@ def scenario(
         )
         wanted = counts or default
         choice = choose_keys(df, key, seed, lambda n: [min(c, n) for c in wanted], hash_fn)
-        return _study(name, _labels(spark, name, choice.ks), _keep_choices(df, [choice]))
+        labels = _labels(spark, name, choice.ks)
+        if nested:
+            return _study(name, labels, _keep_choices(df, [choice]))
+        samples = [_draw(df, [key], f"{seed}", i, lambda n: k, hash_fn) for i, k in enumerate(choice.ks)]
+        return _independent(name, labels, samples)
     if scenario_id in ("tasks_per_worker", "responses_per_task"):
         group, name, default = (
             ("uid", "tasks_per_worker", MAX_TASKS_PER_WORKER)
@@ -303,9 +331,16 @@ def scenario(
             else ("qid", "workers_per_task", MAX_RESPONSES_PER_TASK)
         )
         wanted = counts or list(range(1, default + 1))
-        most = wanted[-1]
-        hashed, ties = with_row_hash(df, seed, row_key, cap=most, hash_fn=hash_fn)
-        first = top_in_group(hashed, group, ["_h", *ties], most)
+        labels = _labels(spark, name, wanted)
+
+        def first_rows(salt: str, most: int) -> DataFrame:
+            hashed, ties = with_row_hash(df, salt, row_key, cap=most, hash_fn=hash_fn)
+            return top_in_group(hashed, group, ["_h", *ties], most)
+
+        if not nested:
+            samples = [first_rows(f"{seed}/{i}", c).select(*df.columns) for i, c in enumerate(wanted)]
+            return _independent(name, labels, samples)
         level = sum((F.when(F.col("_rk") > c, 1).otherwise(0) for c in wanted[:-1]), F.lit(0))
-        return _study(name, _labels(spark, name, wanted), first.withColumn("lvl", level).select(*df.columns, "lvl"))
+        rows = first_rows(str(seed), wanted[-1]).withColumn("lvl", level).select(*df.columns, "lvl")
+        return _study(name, labels, rows)
     raise ValueError("scenario_id must be 'worker', 'task', 'tasks_per_worker' or 'responses_per_task'")

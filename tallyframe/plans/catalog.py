@@ -678,7 +678,7 @@ def _weights(spark: SparkSession) -> scoring.Weights:
 
 def _config(spark: SparkSession, d: str, **options) -> ScoringConfig:
     bounds = rs.score_range(tb.responses(spark, d)).first()
-    return ScoringConfig(bounds["score_min"], bounds["score_max"], seed=SEED, hash_fn=HASH, **options)
+    return ScoringConfig(bounds["score_min"], bounds["score_max"], seed=SEED, hash_fn=HASH, precision="float64", **options)
 
 
 _NET = sql.network_ctes(VECTOR, CONTEXTS, LATENT)
