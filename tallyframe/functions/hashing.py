@@ -2,7 +2,7 @@
 
 A draw depends on ``(seed, key)`` alone, so results are the same for every partitioning and after
 every task retry. ``xxhash64`` costs a few nanoseconds per row; ``md5`` is slower, but any SQL engine
-can repeat it.
+can repeat it. ``xxhash64`` depends on the type of a key: an int and a bigint draw differently.
 """
 
 from __future__ import annotations

@@ -232,9 +232,9 @@ class IndependentStudy(Study):
     """As :class:`Study`; ``rows`` already holds each sample, marked by ``_pos``."""
 
     def samples(self) -> DataFrame:
-        return (
-            self.rows.join(F.broadcast(self.labels), self.rows["_pos"] == self.labels["pos"])
-            .select(self.name, *[c for c in self.rows.columns if c != "_pos"])
+        levels = self.labels.groupBy(self.name).agg(F.max("pos").alias("_pos"))
+        return self.rows.join(F.broadcast(levels), "_pos").select(  # one row per level
+            self.name, *[c for c in self.rows.columns if c != "_pos"]
         )
 
 

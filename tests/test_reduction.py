@@ -1,0 +1,192 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.functions.columns import linspace_values
+from tallyframe.functions.hashing import hash48
+from tallyframe.operators import coverage, reduction as rd
+
+
+@pytest.fixture(scope="module")
+def answers(spark):
+    df = spark.range(500).select(
+        F.pmod(F.hash("id"), F.lit(25)).alias("qid"), F.pmod(F.hash("id", F.lit(1)), F.lit(12)).alias("uid"),
+        F.col("id").alias("row"),
+    )
+    return df.cache()
+
+
+def pairs(df):
+    return {(r["qid"], r["uid"]) for r in df.select("qid", "uid").collect()}
+
+
+def stats_of(rows):
+    """Coverage by the definition: mean of distinct partners per key."""
+    q, u = {}, {}
+    for r in rows:
+        q.setdefault(r["qid"], set()).add(r["uid"])
+        u.setdefault(r["uid"], set()).add(r["qid"])
+    mean = lambda d: sum(map(len, d.values())) / len(d) if d else None
+    return len(q), len(u), mean(q), mean(u), len(rows)
+
+
+def close(a, b):
+    return all(x == y or abs(x - y) < 1e-12 for x, y in zip(a, b))
+
+
+def test_coverage_by_definition(spark, answers):
+    got = coverage.coverage_stats(answers).first()
+    assert close(tuple(got), stats_of(answers.collect()))
+    empty = coverage.coverage_stats(answers.limit(0)).first()
+    assert tuple(empty) == (0, 0, None, None, 0)
+
+
+def brute_ratio(df, spark, mode, m, points, trials, seed):
+    target, holder = ("qid", "uid") if mode == "task" else ("uid", "qid")
+    data = {(r[target], r[holder]) for r in df.collect()}
+    targets, holders = {t for t, _ in data}, {h for _, h in data}
+    hashes = spark.createDataFrame([(t, i) for t in targets for i in range(1, trials + 1)], "t int, trial int")
+    order = {}
+    for r in hashes.select("t", "trial", hash48(seed, "trial", "t").alias("h")).collect():
+        order.setdefault(r["trial"], []).append((r["h"], r["t"]))
+    safe = 1.0
+    for ratio in linspace_values(1.0, 0.1, points):
+        k = max(int(len(targets) * ratio), m)
+        for trial in order:
+            kept = {t for _, t in sorted(order[trial])[:k]}
+            if any(sum(1 for t, g in data if g == h and t in kept) < m for h in holders):
+                return safe
+        safe = ratio
+    return safe
+
+
+@pytest.mark.parametrize("mode,m", [("task", 1), ("task", 3), ("worker", 1), ("worker", 2)])
+def test_safe_ratio_by_brute_force(spark, answers, mode, m):
+    got = rd.safe_ratio(answers, mode, m, check_points=20, trials=6, seed=7).first()
+    assert got["safe_ratio"] == brute_ratio(answers, spark, mode, m, 20, 6, 7)
+    assert got["feasible"] and got["total"] == (25 if mode == "task" else 12)
+
+
+def test_safe_ratio_without_a_way(spark):
+    df = spark.createDataFrame([(1, 1), (2, 1), (1, 2)], "qid long, uid long")
+    got = rd.safe_ratio(df, "task", 2, check_points=5, trials=3).first()
+    assert got["safe_ratio"] == 1.0 and got["feasible"] is False and got["required_k"] is None
+    with pytest.raises(ValueError):
+        rd.safe_ratio(df, "both")
+
+
+def test_safe_ratio_with_own_orders_is_not_larger_step(spark, answers):
+    own = rd.safe_ratio(answers, "task", 1, check_points=8, trials=4, nested=False).first()
+    assert own["safe_ratio"] in linspace_values(1.0, 0.1, 8) and own["feasible"]
+
+
+@pytest.mark.parametrize("mode", ["worker", "task", "both"])
+@pytest.mark.parametrize("nested", [True, False])
+def test_ratio_ablation(answers, mode, nested):
+    study = rd.ratio_ablation(answers, mode, points=4, check_points=6, trials=3, nested=nested)
+    stats = {r["ratio"]: tuple(r)[1:] for r in study.stats.collect()}
+    assert len(stats) == 4 and 1.0 in stats and stats[1.0][4] == 500
+    samples = study.samples().collect()
+    for ratio, got in stats.items():
+        assert close(got, stats_of([r for r in samples if r["ratio"] == ratio]))
+    if nested:
+        sizes = [stats[r][4] for r in sorted(stats)]
+        assert sizes == sorted(sizes)
+
+
+def test_ratio_ablation_with_an_empty_level(spark):
+    df = spark.createDataFrame([(1, 1), (2, 2)], "qid long, uid long")
+    stats = {r["ratio"]: r for r in rd.ratio_ablation(df, "both", points=3).stats.collect()}
+    assert stats[0.1]["n_obs"] == 0 and stats[0.1]["avg_qids_per_uid"] is None
+    with pytest.raises(ValueError):
+        rd.ratio_ablation(df, "neither")
+
+
+@pytest.mark.parametrize("mode", ["responses_per_task", "tasks_per_worker"])
+@pytest.mark.parametrize("options", [{}, {"min_rows": 7, "parts": 100}, {"step": 2, "min_keep": 2}, {"nested": False}])
+def test_fixed_entity(answers, mode, options):
+    group, entity = ("qid", "uid") if mode == "responses_per_task" else ("uid", "qid")
+    study = rd.fixed_entity_ablation(answers, mode, row_key=["row"], **options)
+    stats = sorted(study.stats.collect(), key=lambda r: r["remove"])
+    samples = study.samples().collect()
+    distinct, sizes = {}, {}
+    for r in answers.collect():
+        sizes[r[group]] = sizes.get(r[group], 0) + 1
+        distinct.setdefault(r[group], set()).add(r[entity])
+    step, keep = options.get("step", 1), options.get("min_keep", 1)
+    assert [r["remove"] for r in stats] == list(range(0, len(stats) * step, step))
+    for r in stats:
+        rows = [s for s in samples if s["remove"] == r["remove"]]
+        assert close(tuple(r)[2:], stats_of(rows)) and r["mode"] == mode
+        assert r["n_qid"] == 25 and r["n_uid"] == 12
+        for g, partners in distinct.items():
+            assert sum(1 for s in rows if s[group] == g) == min(max(len(partners) - r["remove"], keep), sizes[g])
+    assert 1 <= len(stats) <= max(min(map(len, distinct.values())) - keep, 0) // step + 1
+
+
+def test_fixed_entity_splits_do_not_change_the_sample(answers):
+    whole = rd.fixed_entity_ablation(answers, row_key=["row"]).samples()
+    split = rd.fixed_entity_ablation(answers, row_key=["row"], min_rows=5, parts=1000).samples()
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_fixed_entity_stops_when_a_worker_is_lost(spark):
+    # Worker 9 answers one task only; once a level drops that answer no later level counts.
+    rows = [(q, u) for q in range(3) for u in range(4)] + [(0, 9)]
+    df = spark.createDataFrame(rows, "qid long, uid long")
+    study = rd.fixed_entity_ablation(df)
+    kept = {}
+    for r in study.samples().collect():
+        kept.setdefault(r["remove"], set()).add(r["uid"])
+    assert all(len(v) == 5 for v in kept.values())
+    assert [r["remove"] for r in study.stats.orderBy("remove").collect()] == list(range(len(kept)))
+
+
+def test_fixed_entity_caps_duplicates_at_level_zero(spark):
+    df = spark.createDataFrame([(1, 1)] * 5 + [(2, 1)], "qid long, uid long")
+    assert rd.fixed_entity_ablation(df).stats.first()["n_obs"] == 2
+    with pytest.raises(ValueError):
+        rd.fixed_entity_ablation(df, "other")
+
+
+@pytest.mark.parametrize("kind,name,group", [
+    ("worker", "workers", "uid"), ("task", "tasks", "qid"),
+    ("tasks_per_worker", "tasks_per_worker", "uid"), ("responses_per_task", "workers_per_task", "qid"),
+])
+@pytest.mark.parametrize("nested", [True, False])
+def test_scenario(answers, kind, name, group, nested):
+    counts = [1, 3, 20, 400] if kind in ("worker", "task") else [1, 2, 5]
+    study = rd.scenario(answers, kind, counts=counts, row_key=["row"], nested=nested)
+    stats, samples = study.stats.collect(), study.samples().collect()
+    assert len(stats) == len(counts)
+    for r in stats:
+        rows = [s for s in samples if s[name] == r[name]]
+        assert close(tuple(r)[1:], stats_of(rows))
+        sizes = {}
+        for s in rows:
+            sizes[s[group]] = sizes.get(s[group], 0) + 1
+        if kind in ("worker", "task"):
+            assert len(sizes) == r[name]
+        else:
+            assert max(sizes.values()) <= r[name]
+    if kind == "worker":
+        assert sorted(r["workers"] for r in stats) == [1, 3, 12, 12]  # capped levels repeat in the statistics
+        assert {s["workers"] for s in samples} == {1, 3, 12}
+
+
+def test_scenario_errors(answers):
+    with pytest.raises(ValueError):
+        rd.scenario(answers, "3")
+
+
+def test_hot_group_of_equal_rows(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 1).otherwise(F.col("id") % 40).alias("qid"),
+        F.when(F.col("id") < 1000, 1).otherwise(F.col("id") % 7).alias("uid"),
+    )
+    stats = rd.scenario(df, "responses_per_task").stats.orderBy("workers_per_task").collect()
+    assert [r["n_obs"] for r in stats] == [40 * w for w in range(1, 8)]
+
+
+def test_covers_all(answers):
+    assert tuple(coverage.covers_all(answers, answers).first()) == (True, True)
+    assert tuple(coverage.covers_all(answers.filter("qid <> 3"), answers).first()) == (False, True)
