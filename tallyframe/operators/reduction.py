@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyframe.constants import (
     ABLATION_POINTS, CHECK_POINTS, MAX_RESPONSES_PER_TASK, MAX_TASKS_PER_WORKER, RATIO_END, RATIO_START,
@@ -19,6 +19,7 @@ from tallyframe.constants import (
 from tallyframe.functions.columns import linspace_values
 from tallyframe.functions.hashing import HASH_FN, hash48
 from tallyframe.operators.coverage import level_coverage
+from tallyframe.operators.joins import MAX_BROADCAST_ROWS, join_by_key
 from tallyframe.operators.keyorder import (
     GROUP_PARTS, MIN_SPLIT_ROWS, choose_keys, floor_size, rank_in_group, top_in_group, with_row_hash,
 )
@@ -87,27 +88,14 @@ def safe_ratio(
     drawn = F.explode(F.sequence(F.lit(1), F.lit(draws)))
     h = hash48(seed, "trial", target, fn=hash_fn)
 
-    if min_count == 1 and draws <= UNROLLED_DRAWS:
-        # One minimum per trial side by side: one partial aggregate over the rows, no unfolding.
-        names = [f"h{t}" for t in range(1, draws + 1)]
-        first = answers.groupBy(holder).agg(
-            *[F.min(hash48(seed, F.lit(t), target, fn=hash_fn)).alias(f"h{t}") for t in range(1, draws + 1)]
-        )
-        last = first.agg(F.count(F.lit(1)).alias("n_holders"), *[F.max(n).alias(n) for n in names])
-        reach = last.withColumn("trial", drawn).select(
-            "trial", F.array(*names)[F.col("trial") - 1].alias("reach"), "n_holders"
-        )
+    if draws > UNROLLED_DRAWS:
+        reach = _mth_place(answers.distinct().withColumn("trial", drawn), target, holder, min_count, h)
+    elif min_count == 1:
+        reach = _first_place(answers, target, holder, draws, seed, hash_fn)
     else:
-        pairs = answers.distinct().withColumn("trial", drawn).withColumn("h", h)
-        if min_count == 1:
-            mth = pairs.groupBy("trial", holder).agg(F.min("h").alias("h"))
-        else:
-            place = Window.partitionBy("trial", holder).orderBy("h", target)
-            mth = pairs.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= min_count)
-            mth = mth.filter(F.col("rn") == min_count)
-        reach = mth.groupBy("trial").agg(F.max("h").alias("reach"), F.count(F.lit(1)).alias("n_holders"))
-
-    everyone = df.agg(F.count_distinct(holder).alias("n")).scalar()
+        reach = _later_place(answers, target, holder, draws, min_count, seed, hash_fn)
+    everyone = answers.agg(F.count_distinct(holder)).scalar()
+    all_met = F.lit(True) if min_count == 1 else F.min("n_holders") == everyone  # who answers has one answer
     required = (
         answers.select(target).distinct().withColumn("trial", drawn)
         .join(F.broadcast(reach), "trial", "left")  # one row per trial
@@ -124,7 +112,7 @@ def safe_ratio(
     needed = [
         F.max("total").alias("total"),
         F.max("required_k").alias("required_k"),
-        (F.min("n_holders") == everyone).alias("feasible"),
+        all_met.alias("feasible"),
     ]
     if nested:
         points = required.agg(*needed).withColumn("i", point)
@@ -148,6 +136,69 @@ def safe_ratio(
     )
 
 
+def _first_place(
+    answers: DataFrame, target: str, holder: str, draws: int, seed: int | str, hash_fn: str
+) -> DataFrame:
+    """(trial, reach, n_holders): the latest first target of any holder, per trial.
+
+    The trials stand side by side in one partial aggregate; rows are not unfolded by trial.
+    """
+    names = [f"h{t}" for t in range(1, draws + 1)]
+    hashes = [hash48(seed, F.lit(t), target, fn=hash_fn) for t in range(1, draws + 1)]
+    first = answers.groupBy(holder).agg(*[F.min(h).alias(n) for h, n in zip(hashes, names)])
+    last = first.agg(F.count(F.lit(1)).alias("n_holders"), *[F.max(n).alias(n) for n in names])
+    trial = F.explode(F.sequence(F.lit(1), F.lit(draws)))
+    return last.withColumn("trial", trial).select("trial", F.array(*names)[F.col("trial") - 1].alias("reach"), "n_holders")
+
+
+def _mth_place(drawn: DataFrame, target: str, holder: str, m: int, h: Column) -> DataFrame:
+    """As above for the m-th target, from distinct pairs unfolded by trial."""
+    hashed = drawn.withColumn("h", h)
+    if m == 1:
+        mth = hashed.groupBy("trial", holder).agg(F.min("h").alias("h"))
+    else:
+        place = Window.partitionBy("trial", holder).orderBy("h", target)
+        mth = hashed.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= m).filter(F.col("rn") == m)
+    return mth.groupBy("trial").agg(F.max("h").alias("reach"), F.count(F.lit(1)).alias("n_holders"))
+
+
+def _later_place(
+    answers: DataFrame, target: str, holder: str, draws: int, m: int, seed: int | str, hash_fn: str
+) -> DataFrame:
+    """As above for m > 1 without sorting all pairs of all trials.
+
+    The latest m-th target is not before the latest first one. A holder with m targets up to there
+    cannot be the latest, so only the few others are ranked. The holder of the latest first target
+    is always one of them.
+    """
+    first = _first_place(answers, target, holder, draws, seed, hash_fn)
+    rows = first.collect()  # one row per trial
+    bounds = {r["trial"]: r["reach"] for r in rows if r["reach"] is not None}
+    if not bounds:
+        return first
+    pairs, n_holders = answers.distinct(), rows[0]["n_holders"]
+    early = [
+        F.count_if(hash48(seed, F.lit(t), target, fn=hash_fn) <= F.lit(b)).alias(f"n{t}") for t, b in sorted(bounds.items())
+    ]
+    counts = F.array(*[F.col(f"n{t}") for t in sorted(bounds)])
+    short = F.filter(F.sequence(F.lit(1), F.lit(len(bounds))), lambda t: counts[t - 1] < m)
+    late = checkpointed(
+        pairs.groupBy(holder).agg(*early).select(holder, short.alias("_trials")).filter(F.size("_trials") > 0)
+    )
+    open_pairs = join_by_key(pairs, late, holder, "inner", max_rows=MAX_BROADCAST_ROWS // len(bounds))
+    unfolded = open_pairs.select(target, holder, F.explode("_trials").alias("trial"))
+    ranked = _mth_place(unfolded, target, holder, m, hash48(seed, "trial", target, fn=hash_fn)).select(
+        "trial", F.col("reach").alias("_reach"), F.col("n_holders").alias("_met")
+    )
+    missing = late.select(F.explode("_trials").alias("trial")).groupBy("trial").agg(F.count(F.lit(1)).alias("_late"))
+    return (
+        missing.join(ranked, "trial", "left").select(
+            "trial", F.col("_reach").alias("reach"),
+            (F.lit(n_holders) - F.col("_late") + F.coalesce("_met", F.lit(0))).alias("n_holders"),
+        )
+    )
+
+
 def _keep_choices(df: DataFrame, choices: list) -> DataFrame:
     """Rows in the largest sample with ``lvl``; with two choices a row must be in both samples."""
     rows = df
@@ -269,8 +320,8 @@ def fixed_entity_ablation(
     labels = _labels(df.sparkSession, "remove", removed[::-1])
     kept_rows = F.greatest(F.col("_d") - F.col("remove"), F.lit(min_keep))
     levels = F.explode(F.array(*[F.lit(r) for r in removed]))
-    entities = df.agg(F.count_distinct("qid").alias("q"), F.count_distinct("uid").alias("u"))
-    complete = (F.col("n_qid") == entities.select("q").scalar()) & (F.col("n_uid") == entities.select("u").scalar())
+    groups, entities = sizes.count(), df.agg(F.count_distinct(entity)).scalar()
+    complete = (F.col(f"n_{group}") == groups) & (F.col(f"n_{entity}") == entities)
 
     if not nested:
         hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)

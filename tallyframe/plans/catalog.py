@@ -10,11 +10,12 @@ from tallyframe.config import ResponseConfig, ScoringConfig
 from tallyframe.constants import (
     DISTRICTS, MANY_NUMBERS, NO_NUMBER, PREFERENCE_SCORES, RANDOM_VECTOR_SIZE, TASK_COUNTS, WORKER_COUNTS,
 )
-from tallyframe.functions import columns as fc
+from tallyframe.functions import columns as fc, hashing
 from tallyframe.operators import (
     coverage, joins, keyorder, population, ratings, reduction, responses as rs, scoring, splits, summary,
 )
 from tallyframe.plans import prepare as pp, simulate as sim, sql, tables as tb, training
+from tallyframe.sources import tables as sources
 from tallyframe.plans.tables import FEATURES, HASH, SEED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,13 @@ def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
 # --- keys and splits -------------------------------------------------------------------------------
 
 
+@register(f"select c_custkey as uid, round({sql.u(SEED, 'c_custkey')}, 9) as u, round({sql.normal(SEED, 'c_custkey')}, 6) as z from customer")
+def draws(spark, d):
+    key = _customers(spark, d)
+    u, z = hashing.u01(SEED, "uid", fn=HASH), hashing.n01(SEED, "uid", fn=HASH)
+    return key.select("uid", F.round(u, 9).alias("u"), F.round(z, 6).alias("z"))
+
+
 @register(sql.ranks("(select l_partkey as qid from lineitem)", "qid", SEED).replace(", count(*) over () as n", ""))
 def rank_keys(spark, d):
     return keyorder.rank_keys(tb.responses(spark, d), "qid", SEED, HASH)
@@ -108,6 +116,38 @@ def keep_keys(spark, d):
 # --- responses -------------------------------------------------------------------------------------
 
 
+@register(f"with {R} select l_orderkey, l_linenumber, qid, uid, human_score from r")
+def read_responses(spark, d):
+    cfg = ResponseConfig(qid_col="l_partkey", uid_col="l_suppkey", human_score_col="l_quantity", text_col="l_shipdate")
+    df = sources.read_responses(spark, f"{d}/lineitem.parquet", cfg)
+    return df.select("l_orderkey", "l_linenumber", "qid", "uid", "human_score")
+
+
+@register("""select d.doc_id, coalesce(cast(l.quality as varchar), 'nan') as quality,
+    coalesce(case when l.toxic = 1 then 'True' when l.toxic = 0 then 'False' end, 'nan') as toxic
+    from documents d left join labels l using (doc_id)""")
+def string_features(spark, d):
+    labels = tb.table(spark, d, "labels").select("doc_id", "quality", (F.col("toxic") == 1).alias("toxic"))
+    df = joins.join_by_key(tb.table(spark, d, "documents").select("doc_id"), labels, "doc_id")
+    return rs.string_features(df, ["quality", "toxic"])
+
+
+@register(f"""with {R} select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    {sql.clamp('human_score', '10.0::double', '20.0::double')} as score from r""")
+def clamp(spark, d):
+    df = tb.table(spark, d, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fc.clamp("l_quantity", 10, 20).alias("score"))
+
+
+@register(f"""select p_partkey as qid, i::int as pos,
+    round({sql.linspace('0.0::double', 'p_retailprice', '(p_size % 4 + 1)', 'i')}, 6) as k
+    from (select *, unnest(range(p_size % 4 + 1)) as i from part)""")
+def linspace(spark, d):
+    df = tb.table(spark, d, "part").select(F.col("p_partkey").alias("qid"), "p_retailprice", (F.col("p_size") % 4 + 1).alias("n"))
+    grid = df.select("qid", F.posexplode(fc.linspace(F.lit(0.0), "p_retailprice", "n")).alias("pos", "k"))
+    return rounded(grid, 6, "k")
+
+
 @register(f"""with {R} select count(*) as n_rows, count(*) filter (where qid is null) as null_qid,
     count(*) filter (where uid is null) as null_uid,
     count(*) filter (where human_score is null or isnan(human_score)) as missing_score,
@@ -143,12 +183,14 @@ def coverage_stats(spark, d):
     return coverage.coverage_stats(tb.responses(spark, d))
 
 
-@register(f"""with {R}, f as (select * from r where human_score > 45)
+@register(f"""with {R}, k as ({sql.ranks('r', 'qid', SEED)}),
+    f as (select r.* from r join k on r.qid = k.qid where rk > ceil(0.2::double * n))
     select (select count(distinct qid) from f) = (select count(distinct qid) from r) as all_tasks,
            (select count(distinct uid) from f) = (select count(distinct uid) from r) as all_workers""")
 def covers_all(spark, d):
     df = tb.responses(spark, d)
-    return coverage.covers_all(df.filter(F.col("human_score") > 45), df)
+    train = splits.side(splits.group_split(df, "qid", 0.2, seed=SEED, hash_fn=HASH), "train")
+    return coverage.covers_all(train, df)
 
 
 _ONE_HOT_SQL = ", ".join(
@@ -194,12 +236,11 @@ def attach_reference(spark, d):
     return out.withColumn("yref_llm", F.col("yref_llm").cast("double"))
 
 
-@register(f"""with {R} select qid, uid, l_orderkey, l_linenumber, coalesce(p_size, 0)::float::double as b1,
-    round(coalesce(p_retailprice, 0)::float::double, 3) as b2, 0.0::double as b3
-    from r left join (select * from part where p_size > 10) on qid = p_partkey""")
+@register(f"""with {R} select qid, uid, l_orderkey, l_linenumber, coalesce(quality, 0)::double as b1,
+    coalesce(toxic, 0)::double as b2, 0.0::double as b3 from r left join labels on qid = doc_id""")
 def attach_baseline(spark, d):
     rows = tb.responses(spark, d).select("qid", "uid", "l_orderkey", "l_linenumber")
-    base = tb.task_baseline(spark, d).filter(F.col("r1") > 10)
+    base = tb.table(spark, d, "labels").withColumnsRenamed({"doc_id": "qid", "quality": "r1", "toxic": "r2"})
     out = rs.attach_baseline(rows, base, ResponseConfig(baseline_prefix="r", num_baseline_ratings=3))
     return out.select("qid", "uid", "l_orderkey", "l_linenumber", *_elements("baseline_llm_ratings_dist", 3))
 
@@ -493,9 +534,15 @@ def fixed_k_arrays(spark, d):
 
 # --- population ------------------------------------------------------------------------------------
 
-_MARGINALS = """mg as (select feature, value, n, n::double / sum(n) over (partition by feature) as p from (
-      select 'l_returnflag' as feature, l_returnflag as value, count(*) as n from lineitem group by 2
-      union all select 'l_linestatus', l_linestatus, count(*) from lineitem group by 2))"""
+
+
+def _marginals_sql(source: str) -> str:
+    return f"""mg as (select feature, value, n, n::double / sum(n) over (partition by feature) as p from (
+      select 'l_returnflag' as feature, l_returnflag as value, count(*) as n from {source} group by 2
+      union all select 'l_linestatus', l_linestatus, count(*) from {source} group by 2))"""
+
+
+_MARGINALS = _marginals_sql("lineitem")
 
 
 @register(f"with {_MARGINALS} select * from mg")
@@ -546,6 +593,17 @@ def sample_population_temp(spark, d):
     return _population(spark, d, _customers(spark, d), temperature=0.5)
 
 
+def _redraw_sql() -> str:
+    return _population_sql("n").replace(f"'{SEED}', cast(uid", f"'{SEED + 1}', cast(uid")
+
+
+@register(_redraw_sql())
+def redraw_population(spark, d):
+    marginals = population.fit_marginals(tb.responses(spark, d), FEATURES)
+    drawn = population.sample_population(marginals, _customers(spark, d), SEED + 1, hash_fn=HASH)
+    return drawn.select("uid", *FEATURES)
+
+
 @register(_population_sql("1"))
 def sample_population_uniform(spark, d):
     return _population(spark, d, _customers(spark, d), uniform=True)
@@ -740,13 +798,17 @@ def blend_scores_generative(spark, d):
     return _blended(spark, d, True, fixed_reference=2.5)
 
 
-_PROFILES = f"""{_MARGINALS}, {_draw_ctes('n')}, ids as (select s_suppkey as uid from supplier),
+_PROFILES = f"""{_draw_ctes('n')}, ids as (select s_suppkey as uid from supplier),
     pr as (select uid, [{', '.join(f"(l_{f} = '{v}')::int::double" for f, v in
       [('returnflag', 'A'), ('returnflag', 'N'), ('returnflag', 'R'), ('linestatus', 'F'), ('linestatus', 'O')])}] as pc
       from {_drawn('ids', 'uid', 'l_returnflag')} join {_drawn('ids', 'uid', 'l_linestatus')} using (uid))"""
 
 
-def _grid_sql(collapsed: bool) -> str:
+_TRAIN = f"""{R}, ks as ({sql.ranks('r', 'qid', SEED)}),
+    tr as (select r.* from r join ks on r.qid = ks.qid where rk > ceil(0.2::double * n))"""
+
+
+def _grid_sql(collapsed: bool, marginals: str = _MARGINALS, ref: str = "ref") -> str:
     """Layer by layer for every pair, without the rewrites of the operator."""
     eps = [sql.normal(SEED, "uid", "qid", str(j)) for j in range(LATENT)]
     z = ", ".join(f"mu[{j + 1}] + {e} * exp(0.5::double * lv[{j + 1}])" for j, e in enumerate(eps))
@@ -759,7 +821,7 @@ def _grid_sql(collapsed: bool) -> str:
           join (select unit as m, w from fc) using (m))"""
     else:
         extra, wz = "", ""
-    return f"""with {_NET}, {_TASKS}, {_BOUNDS}, {_PROFILES}{wz},
+    return f"""with {_NET}, {_TASKS}, {_BOUNDS}, {marginals}, {_PROFILES}{wz},
     pairs as (select qid, uid, ref, pc, list_concat(x, pc) as v from tk, pr),
     hx as (select qid, list(list_dot_product(w[1:64], x) + b order by unit) as a from tk, fc1 group by qid),
     hc as (select uid, list(list_dot_product(w[65:69], pc) order by unit) as a from pr, fc1 group by uid),
@@ -775,7 +837,7 @@ def _grid_sql(collapsed: bool) -> str:
     o2 as (select qid, uid, ref, lv, list_transform(range(1, 11), lambda i: list_dot_product(ws[i], o) + bs[i]) as o
            from o1, (select list(w order by unit) as ws, list(b order by unit) as bs from fcc)),
     o3 as (select qid, uid, ref, lv, list_dot_product(w, o) + b as bias from o2, gc1)
-    select uid, qid, round({sql.clamp(f"ref + bias{extra} + {sql.normal('42d', 'uid', 'qid')} * 0.5::double", 'lo', 'hi')}, 5) as score
+    select uid, qid, round({sql.clamp(f"{ref} + bias{extra} + {sql.normal('42d', 'uid', 'qid')} * 0.5::double", 'lo', 'hi')}, 5) as score
     from o3, bd{', wv' if collapsed else ''}"""
 
 
@@ -798,6 +860,15 @@ def score_grid_collapsed(spark, d):
     return _grid(spark, d, True)
 
 
+@register(_grid_sql(False, f"{_TRAIN}, {_marginals_sql('tr')}", "2.0::double"))
+def simulate(spark, d):
+    out = sim.simulate(
+        tb.responses(spark, d), tb.grid_tasks(spark, d), FEATURES, tb.worker_ids(spark, d), _weights(spark),
+        seed=SEED, fixed_reference=2.0, hash_fn=HASH, precision="float64",
+    )
+    return rounded(out, 5, "score")
+
+
 # --- training rows and batches ---------------------------------------------------------------------
 
 
