@@ -2,7 +2,7 @@
 
 "Choose k of n keys without replacement" takes the first k keys in the order ``(hash, key)``.
 The hash is uniform over distinct keys, so its top bits split the keys into even buckets: bucket
-counts give the place of any rank, and only the few buckets that hold a wanted rank are looked at.
+counts give the place of any rank, and only the few buckets that hold a wanted rank are looked into.
 The result is a *cut* ``(hash, key)`` per k. Membership of a row then is a comparison of its own
 hash with that cut: no join, no shuffle and no broadcast of keys, however many rows a key has.
 """
@@ -10,6 +10,7 @@ hash with that cut: no join, no shuffle and no broadcast of keys, however many r
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,10 +22,12 @@ from tallyframe.functions.hashing import HASH_BITS, HASH_FN, HASH_RANGE, hash48
 from tallyframe.session import checkpointed
 
 BUCKET_BITS = 12
+MAX_BUCKET_BITS = 20
 # A window task of a per-group rank never gets more than the larger of these two shares of the rows.
 GROUP_PARTS = 10_000
 MIN_SPLIT_ROWS = 1_000_000
 COPY_CHUNK = 65_536
+FETCH_KEYS = 20_000
 
 
 def split_size(n: int, size: float | int) -> int:
@@ -98,7 +101,7 @@ def choose_keys(
 ) -> KeyChoice:
     """Cuts for ``sizes(n)`` keys, given the number n of distinct keys.
 
-    One distinct over one column; the driver sees at most 2^bits bucket counts and one row per cut.
+    One distinct over one column; the driver sees bucket counts and at most FETCH_KEYS keys.
     """
     keys = (
         df.select(key).filter(F.col(key).isNotNull()).distinct()
@@ -121,34 +124,51 @@ def choose_keys(
 
 
 def _cuts(keys: DataFrame, key: str, counts: dict[int, int], ks: list[int], bits: int) -> list[Cut]:
-    """Looks only at the buckets that hold a wanted rank."""
-    wanted: dict[int, dict[int, int]] = {}
-    offset = 0
-    for bucket in sorted(counts):
-        for k in ks:
-            if offset < k <= offset + counts[bucket]:
-                wanted.setdefault(bucket, {})[k - offset] = k
-        offset += counts[bucket]
-    found = {0: Cut(-1)}
-    if wanted:
-        place = Window.partitionBy("_b").orderBy("_h", key)
-        is_wanted = reduce(
-            lambda a, b: a | b, [(F.col("_b") == b) & F.col("_r").isin(list(r)) for b, r in wanted.items()]
+    """Selects the wanted ranks by hash prefix: buckets that hold one are counted again by longer
+    prefixes until they are few keys together, and only those are fetched."""
+    inside = _locate(counts, [(k, None, k) for k in set(ks) if k > 0])
+    while sum(counts[b] for b in {b for b, _ in inside.values()}) > FETCH_KEYS and bits < HASH_BITS:
+        longer = min(bits + BUCKET_BITS, HASH_BITS)
+        buckets = sorted({b for b, _ in inside.values()})
+        finer = (
+            keys.filter(_bucket("_h", bits).isin(buckets))
+            .groupBy(_bucket("_h", longer).alias("_b")).count().collect()  # at most 2^12 counts per rank
         )
-        rows = (
-            keys.withColumn("_b", _bucket("_h", bits))
-            .filter(F.col("_b").isin(list(wanted)))
-            .withColumn("_r", F.row_number().over(place))
-            .withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy("_b", "_h")))
-            .filter(is_wanted)
-            .select("_b", "_r", "_h", "_same", key)
-            .collect()  # one row per wanted rank
+        counts = {r["_b"]: r["count"] for r in finer}
+        inside = _locate(counts, [(k, (b, longer - bits), rank) for k, (b, rank) in inside.items()])
+        bits = longer
+    found = {0: Cut(-1)}
+    if inside:
+        buckets = sorted({b for b, _ in inside.values()})
+        rows = sorted(
+            (b, h, value)
+            for b, h, value in keys.filter(_bucket("_h", bits).isin(buckets)).select(_bucket("_h", bits), "_h", key).collect()
         )
-        for b, r, h, same, value in rows:
-            found[wanted[b][r]] = Cut(h, value if same > 1 else None)
+        start = {b: bisect_left(rows, b, key=lambda r: r[0]) for b in buckets}
+        for k, (b, rank) in inside.items():
+            at = start[b] + rank - 1
+            shared = any(0 <= o < len(rows) and rows[o][1] == rows[at][1] for o in (at - 1, at + 1))
+            found[k] = Cut(rows[at][1], rows[at][2] if shared else None)
     return [found[k] for k in ks]
 
 
+def _locate(
+    counts: dict[int, int], wanted: list[tuple[int, tuple[int, int] | None, int]]
+) -> dict[int, tuple[int, int]]:
+    """k -> (bucket, rank inside it), for ranks among all buckets or below one shorter prefix."""
+    out = {}
+    buckets = sorted(counts)
+    for k, prefix, rank in wanted:
+        for bucket in buckets:
+            if prefix is not None and bucket >> prefix[1] != prefix[0]:
+                continue
+            if rank <= counts[bucket]:
+                out[k] = (bucket, rank)
+                break
+            rank -= counts[bucket]
+    return out
+
+
 def _bucket(h: str, bits: int) -> Column:
     return F.shiftright(h, HASH_BITS - bits)
 
@@ -268,6 +288,11 @@ def rank_in_group(
     return ranked.drop("_b")
 
 
+def bucket_bits(rows: int) -> int:
+    """Bits for buckets of about a million rows; at most 2^20 offsets."""
+    return min(max(BUCKET_BITS, math.ceil(math.log2(max(rows, 1) / MIN_SPLIT_ROWS))), MAX_BUCKET_BITS)
+
+
 def rank_rows(df: DataFrame, order: list[str], bits: int = BUCKET_BITS) -> DataFrame:
     """Rank ``_rk`` of all rows in the random order ``_h, …``; sorted per hash bucket, never as a whole."""
     bucketed = df.withColumn("_b", _bucket("_h", bits))

@@ -15,6 +15,7 @@ from tallyframe.session import checkpointed
 
 WEIGHT_UNIT = float(1 << 40)
 MIN_CELLS, MAX_CELLS = 64, 1 << 20
+FEW_CATEGORIES = 10_000
 
 
 def fit_marginals(df: DataFrame, features: list[str], drop_missing: bool = False) -> DataFrame:
@@ -73,14 +74,12 @@ def draw_weights(marginals: DataFrame, temperature: float = 1.0, uniform: bool =
     )
 
 
-def _intervals(weights: DataFrame, hash_fn: str) -> DataFrame:
+def _intervals(weights: DataFrame) -> DataFrame:
     """Half-open integer interval [lo, hi) per category, in hash order.
 
     Summed per hash bucket first, so categories of one feature are spread over many tasks.
     """
-    bucketed = weights.withColumn("_h", hash48("", "value", fn=hash_fn)).withColumn(
-        "_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS)
-    )
+    bucketed = weights.withColumn("_b", F.shiftright("_h", HASH_BITS - BUCKET_BITS))
     sums = bucketed.groupBy("feature", "_b").agg(F.sum("w").alias("_s"))
     running = Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = sums.select("feature", "_b", (F.sum("_s").over(running) - F.col("_s")).alias("_off"))
@@ -131,19 +130,23 @@ class Sampler:
 def sampler(
     marginals: DataFrame, temperature: float = 1.0, uniform: bool = False, hash_fn: str = HASH_FN
 ) -> Sampler:
-    """Prepares draws; the driver sees one row per feature.
-
-    The intervals are written once, so that the table they were counted from is not read again for
-    every feature and draw.
-    """
-    intervals = checkpointed(_intervals(draw_weights(marginals, temperature, uniform), hash_fn))
-    sizes = {
-        r["feature"]: (r["total"], r["n"])
-        for r in intervals.groupBy("feature").agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n"))
-        .orderBy("feature").collect()
-    }
-    if not sizes:
+    """Prepares draws. The intervals are fixed once, so that the table they were counted from is not
+    read again for every feature: few categories as a local table, any number in a written one."""
+    spark = marginals.sparkSession
+    weights = draw_weights(marginals, temperature, uniform).withColumn("_h", hash48("", "value", fn=hash_fn))
+    few = weights.limit(FEW_CATEGORIES + 1).collect()
+    if not few:
         raise ValueError("marginals must be fitted before a population is drawn")
+    if len(few) <= FEW_CATEGORIES:
+        rows, sizes = [], {}
+        for r in sorted(few, key=lambda r: (r["feature"], r["_h"], r["value"])):
+            total, n = sizes.get(r["feature"], (0, 0))
+            rows.append((r["feature"], r["value"], total, total + r["w"]))
+            sizes[r["feature"]] = (total + r["w"], n + 1)
+        return Sampler(spark.createDataFrame(rows, "feature string, value string, lo bigint, hi bigint"), sizes, hash_fn)
+    intervals = checkpointed(_intervals(weights))
+    bounds = intervals.groupBy("feature").agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n"))
+    sizes = {r["feature"]: (r["total"], r["n"]) for r in bounds.orderBy("feature").collect()}  # one row per feature
     return Sampler(intervals, sizes, hash_fn)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.constants import BASELINE, EMBEDDING, QID, REFERENCE, SCORE, UID
 from tallyframe.functions.columns import as_float_array, parse_embedding
 from tallyframe.functions.hashing import HASH_FN
-from tallyframe.operators.keyorder import BUCKET_BITS, number_copies, rank_rows, rank_sorted, with_row_hash
+from tallyframe.operators.keyorder import bucket_bits, number_copies, rank_rows, rank_sorted, with_row_hash
 from tallyframe.operators.responses import modal_length_filter
 
 
@@ -42,7 +42,7 @@ def assign_batches(
     row_key: list[str] | None = None,
     order_by: list[str] | None = None,
     hash_fn: str = HASH_FN,
-    bits: int = BUCKET_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Adds ``batch_id`` and ``pos``; the last batch may be short.
 
@@ -53,7 +53,7 @@ def assign_batches(
         raise ValueError("batch_size must be positive")
     if shuffle:
         hashed, ties = with_row_hash(df, f"{seed}/{epoch}", row_key, hash_fn=hash_fn)
-        ranked = rank_rows(hashed, ["_h", *ties], bits)
+        ranked = rank_rows(hashed, ["_h", *ties], bits if bits is not None else bucket_bits(df.count()))
     elif not order_by:
         raise ValueError("unshuffled batches need order_by")
     else:

@@ -37,6 +37,15 @@ def test_cuts_agree_with_ranks(spark, bits):
     }
 
 
+def test_cuts_by_longer_prefixes(spark, monkeypatch):
+    df = spark.range(5000).withColumnRenamed("id", "qid")
+    ks = [1, 17, 2500, 4999, 5000]
+    plain = ko.choose_keys(df, "qid", 3, lambda n: ks).cuts
+    monkeypatch.setattr(ko, "FETCH_KEYS", 2)
+    for bits in (0, 1, 5, 12):
+        assert ko.choose_keys(df, "qid", 3, lambda n: ks, bits=bits).cuts == plain
+
+
 def test_equal_hashes_are_told_apart_by_key(spark, monkeypatch):
     monkeypatch.setattr(ko, "hash48", lambda seed, *c, fn="": (hashing.as_column(c[-1]) % 3).cast("bigint"))
     df = answers(spark)

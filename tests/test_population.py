@@ -60,8 +60,16 @@ def test_redraw_and_independence(people):
     assert abs(both["bx"] - 0.27) < 0.02
 
 
+def test_written_intervals_draw_the_same(people, monkeypatch):
+    m = pop.fit_marginals(people, ["f", "g"])
+    local = sorted(map(tuple, pop.sample_population(m, 300).collect()))
+    monkeypatch.setattr(pop, "FEW_CATEGORIES", 1)
+    assert sorted(map(tuple, pop.sample_population(m, 300).collect())) == local
+
+
 def test_many_categories_are_joined_by_cell(spark, monkeypatch):
     monkeypatch.setattr(pop, "MAX_BROADCAST_ROWS", 10)
+    monkeypatch.setattr(pop, "FEW_CATEGORIES", 10)
     df = spark.range(5000).select(F.col("id").cast("string").alias("f"))
     drawn = pop.sample_population(pop.fit_marginals(df, ["f"]), 3000)
     assert drawn.count() == 3000 and drawn.select("f").distinct().count() > 1500
