@@ -47,25 +47,25 @@ def covers_all(part: DataFrame, whole: DataFrame) -> DataFrame:
     )
 
 
-def level_coverage(rows: DataFrame, positions: DataFrame) -> DataFrame:
+def level_coverage(rows: DataFrame, positions: DataFrame, by_pair: bool = False) -> DataFrame:
     """Coverage of nested samples, one row per position.
 
     ``rows(qid, uid, lvl)``: the first position at which a row is in the sample; ``positions(pos)``
     lists the positions, 0 being the smallest sample. A task, worker or pair is in a sample from its
     smallest ``lvl`` on, so one grouping-sets aggregate over the rows and a running sum over the
-    positions give all samples at once, without a copy of the rows per sample.
+    positions give all samples at once, without a copy of the rows per sample. ``by_pair`` says that
+    the level follows from task and worker, so rows can be counted with their pair.
     """
     leveled = rows.select("qid", "uid", "lvl", F.col("lvl").alias("_at"))
-    entities = leveled.groupingSets(
-        [[F.col("qid"), F.col("uid")], [F.col("qid")], [F.col("uid")], [F.col("_at")]], "qid", "uid", "_at"
-    ).agg(F.min("lvl").alias("pos"), F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_kind"))
+    sets = [[F.col("qid"), F.col("uid")], [F.col("qid")], [F.col("uid")], *([] if by_pair else [[F.col("_at")]])]
+    entities = leveled.groupingSets(sets, "qid", "uid", "_at").agg(F.min("lvl").alias("pos"), F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_kind"))
     # Fixed by the order (qid, uid, _at): a set bit marks a column that is not grouped on.
     pair, task, worker, level = 1, 3, 5, 6
     added = entities.groupBy("pos").agg(
         F.count_if(F.col("_kind") == task).alias("n_qid"),
         F.count_if(F.col("_kind") == worker).alias("n_uid"),
         F.count_if(F.col("_kind") == pair).alias("n_pairs"),
-        F.sum(F.when(F.col("_kind") == level, F.col("_n"))).alias("n_obs"),
+        F.sum(F.when(F.col("_kind") == (pair if by_pair else level), F.col("_n"))).alias("n_obs"),
     )
     running = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one row per position
     names = ["n_qid", "n_uid", "n_pairs", "n_obs"]

@@ -55,8 +55,8 @@ def _labels(spark: SparkSession, name: str, values: list) -> DataFrame:
     return spark.range(len(values)).select(pos.alias("pos"), table[pos].alias(name))
 
 
-def _study(name: str, labels: DataFrame, rows: DataFrame) -> Study:
-    stats = level_coverage(rows, labels.select("pos"))
+def _study(name: str, labels: DataFrame, rows: DataFrame, by_pair: bool = False) -> Study:
+    stats = level_coverage(rows, labels.select("pos"), by_pair)
     return Study(name, labels, rows, labels.join(stats, "pos").drop("pos"))
 
 
@@ -242,7 +242,7 @@ def ratio_ablation(
     choices = [
         choose_keys(df, key, f"{seed}{key}", lambda n: [floor_size(n, r) for r in ratios], hash_fn) for key in keys
     ]
-    return _study("ratio", labels, _keep_choices(df, choices))
+    return _study("ratio", labels, _keep_choices(df, choices), by_pair=True)
 
 
 def _draw(
@@ -372,7 +372,7 @@ def scenario(
         choice = choose_keys(df, key, seed, lambda n: [min(c, n) for c in wanted], hash_fn)
         labels = _labels(spark, name, choice.ks)
         if nested:
-            return _study(name, labels, _keep_choices(df, [choice]))
+            return _study(name, labels, _keep_choices(df, [choice]), by_pair=True)
         samples = [_draw(df, [key], f"{seed}", i, lambda n: k, hash_fn) for i, k in enumerate(choice.ks)]
         return _independent(name, labels, samples)
     if scenario_id in ("tasks_per_worker", "responses_per_task"):

@@ -245,13 +245,13 @@ def attach_baseline(spark, d):
     return out.select("qid", "uid", "l_orderkey", "l_linenumber", *_elements("baseline_llm_ratings_dist", 3))
 
 
-_PREPARE = ResponseConfig(
+PREPARE_CONFIG = ResponseConfig(
     qid_col="qid", uid_col="uid", human_score_col="human_score", embedding_col="vector_text", text_col="l_shipdate",
     categorical_features=tuple(FEATURES), baseline_prefix="r", num_baseline_ratings=3, test_size=0.2, seed=SEED,
 )
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
+def raw_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers with a vector written as text, as in the raw data."""
     return tb.responses(spark, d).withColumn("vector_text", F.to_json(F.array("human_score", "l_discount", "l_tax")))
 
@@ -269,7 +269,7 @@ def _vector_sum(column: str):
       {_ONE_HOT_SQL}, case when rk <= ceil(0.2::double * n) then 'test' else 'train' end as split
     from r join k on r.qid = k.qid left join labels on r.qid = doc_id left join part on r.qid = p_partkey""")
 def prepare(spark, d):
-    out = pp.prepare(_raw(spark, d), tb.task_reference(spark, d), tb.task_baseline(spark, d), _PREPARE, hash_fn=HASH)
+    out = pp.prepare(raw_answers(spark, d), tb.task_reference(spark, d), tb.task_baseline(spark, d), PREPARE_CONFIG, hash_fn=HASH)
     return out.table.select(
         "qid", "uid", F.col("human_score").cast("double").alias("human_score"),
         F.size("task_embedding").alias("vector_size"), _vector_sum("task_embedding").alias("vector_sum"),
@@ -876,7 +876,7 @@ def simulate(spark, d):
     select qid, uid, {_ONE_HOT_SQL}, {_VECTOR_SUM} as vector_sum, human_score, coalesce(quality, 0)::double as yref_llm
     from r left join labels on qid = doc_id)""")
 def training_rows(spark, d):
-    coded, names = rs.one_hot(_raw(spark, d), FEATURES)
+    coded, names = rs.one_hot(raw_answers(spark, d), FEATURES)
     rows = rs.attach_reference(coded.withColumnRenamed("vector_text", "task_embedding"), tb.task_reference(spark, d))
     out = training.training_rows(rows, names, "parsed")
     return out.select(
