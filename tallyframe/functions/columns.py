@@ -28,8 +28,8 @@ def category_text(df: DataFrame, name: str) -> Column:
 
 def parse_embedding(c: str | Column) -> Column:
     """Text list to float vector. Text that is no JSON list, or holds a null, gives NULL."""
-    parsed = F.from_json(as_column(c), "array<float>")
-    return F.when(F.exists(parsed, lambda x: x.isNull()), F.lit(None)).otherwise(parsed)
+    parsed = F.array(F.from_json(as_column(c), "array<float>"))  # a list of one, so that text is parsed once
+    return F.get(F.filter(parsed, lambda v: ~F.exists(v, lambda x: x.isNull())), F.lit(0))
 
 
 def as_float_array(df: DataFrame, name: str) -> Column:
