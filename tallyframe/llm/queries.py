@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common as c, exact_dedup, id_files, packing, slots
+from . import byte_bpe, common as c, exact_dedup, fingerprints, id_files, language, packing, slots
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.filter(c.fold("doc_id", 4) != 2))
+    rows = language.identified(docs.select("doc_id", "text"), profiles)
+    return rows.select("doc_id", (c.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -61,6 +72,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
+    "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op8_id_files": op8_id_files,
