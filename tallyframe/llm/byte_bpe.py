@@ -15,6 +15,8 @@ raise; all other columns of a table pass through.
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as c
-from .pieces import PIECES, Pieces
+from .pieces import Pieces
 
 #: Pairs of tokens that a worker remembers.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Matches of the pattern that it remembers.
+MATCHES = 1 << 16
+NONE = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,31 +45,42 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._found = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self._found.add_word(token.decode("latin-1"), (len(token), rank))
         self._found.make_automaton()
+        in_order = [self.tokens.get(x, b"") for x in range(max(self.tokens) + 1)]
+        self._sizes = np.array([len(x) for x in in_order])
+        self._begin = np.cumsum(self._sizes) - self._sizes
+        self._pool = np.frombuffer(b"".join(in_order), np.uint8)
 
     def merged(self, data: bytes) -> list[int]:
         """Merging by rank, step by step; only used on pairs of tokens."""
+        rank = self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            joint = [self.ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+        joint = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while joint:
             lowest = min(joint)
-            if lowest == 1 << 40:
+            if lowest == NONE:
                 break
             at = joint.index(lowest)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joint[at]
+            if at:
+                joint[at - 1] = rank(parts[at - 1] + parts[at], NONE)
+            if at < len(joint):
+                joint[at] = rank(parts[at] + parts[at + 1], NONE)
         return [self.ranks[x] for x in parts]
 
     def neighbours(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
     def encode(self, data: bytes) -> list[int]:
@@ -72,12 +88,16 @@ class ByteBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        signs = data.decode("latin-1")
+        ids = [rank for _, (_, rank) in self._found.iter_long(signs)]
+        if all(map(self.neighbours, ids, ids[1:])) and sum(len(self.tokens[x]) for x in ids) == len(data):
+            return ids  # the longest matches may stand as they are
         size = len(data)
         begin: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for last, (length, rank) in self._found.iter(data.decode("latin-1")):
+        for last, (length, rank) in self._found.iter(signs):
             begin[last + 1 - length].append((length, rank))  # for a byte, in order of length
         left = bytearray(size + 1)  # bytes from which no way leads to the end
-        ids: list[int] = []
+        ids = []
         taken: list[int] = []
         at, choice = 0, len(begin[0]) - 1
         while at < size:
@@ -100,8 +120,15 @@ class ByteBPE:
                 raise ValueError("the ranks lack a byte of the text")
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The joint bytes of the ids, and where those of each id begin and the last end."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self._sizes):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self._sizes[ids]
+        if (sizes == 0).any():
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self._pool[np.repeat(self._begin[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes(), ends
 
 
 _LOADED: dict[tuple[str, str], tuple[ByteBPE, Pieces]] = {}
@@ -116,16 +143,17 @@ def _loaded(path: str, pattern: str, white_space: bool) -> tuple[ByteBPE, Pieces
         def one(match: str) -> bytes:
             ids = memo.get(match)
             if ids is None:
-                ids = np.array(bpe.encode(match.encode()), "<u4").tobytes()
+                ids = array("I", bpe.encode(match.encode())).tobytes()
                 if len(match) <= 24:
-                    if len(memo) > 1 << 18:
+                    if len(memo) >= MATCHES:
                         memo.clear()
                     memo[match] = ids
             return ids
 
-        # a piece of a text holds several matches, such as a word and a full stop
-        pieces = Pieces(lambda new: [b"".join(map(one, split.findall(x))) for x in new], PIECES if white_space else split)
-        _LOADED[path, pattern] = bpe, pieces
+        def all_matches(new: list[bytes]) -> Iterator[bytes]:  # a piece may hold a word and a full stop
+            return (b"".join(map(one, split.findall(x.decode("utf-8", "replace")))) for x in new)
+
+        _LOADED[path, pattern] = bpe, Pieces(all_matches, white_space)
     return _LOADED[path, pattern]
 
 
@@ -139,34 +167,38 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         _, pieces = _loaded(path, pattern, white_space)
-        found = [pieces(x) for x in c.as_texts(c.column(batch, text))]
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+        flat, ends = pieces(c.as_bytes(c.column(batch, text)))
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view("<i4")))]
 
     return c.passing(docs, text, schema, work)
 
 
 def decoded(ids: str, path: str, pattern: str):
-    """The bytes of a list of ids, as a column."""
+    """The bytes of a list of ids, as a column; null for null."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         bpe, _ = _loaded(path, pattern, True)
-        return pa.array([bpe.decode(x or ()) for x in lists.to_pylist()], pa.binary())
+        if not len(lists):
+            return pa.array([], pa.binary())
+        joint, ends = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False))
+        own = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        return c.binary_array(joint, ends[own])
 
     return decode(F.col(ids))
 
 
-def id_bytes(ids: str):
-    """The ids as little-endian unsigned 32-bit integers, as a column."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", white_space: bool = True) -> DataFrame:
+    """Append n_ids, ids (little-endian unsigned 32-bit integers) and the bytes decoded from these ids.
 
-    @F.arrow_udf("binary")
-    def pack(lists: pa.Array) -> pa.Array:
-        if not len(lists):
-            return pa.array([], pa.binary())
-        lists = lists.fill_null([]) if lists.null_count else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) * 4
-        return pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+    The same as ``encode`` and then ``decoded``, in one pass and one worker.
+    """
+    schema = c.schema_with(docs, ("n_ids", T.LongType()), ("ids", T.BinaryType()), ("decoded", T.BinaryType()))
 
-    return pack(F.col(ids))
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        bpe, pieces = _loaded(path, pattern, white_space)
+        flat, ends = pieces(c.as_bytes(c.column(batch, text)))
+        joint, places = bpe.decode(flat)
+        return [pa.array(np.diff(ends)), c.binary_array(flat.tobytes(), ends * 4), c.binary_array(joint, places[ends])]
+
+    return c.passing(docs, text, schema, work)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 #: Rows of text that a Python worker handles at once; bounds its memory together with CHUNK_BYTES.
 CHUNK_ROWS = 1_000
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def fold(key: str, parts: int) -> Column:
@@ -111,7 +112,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def as_bytes(values: pa.Array) -> list[bytes]:
     """UTF-8 of every text; null is the empty text."""
-    return [x or b"" for x in values.cast(pa.large_binary()).to_pylist()]
+    return values.cast(pa.large_binary()).fill_null(b"").to_pylist()
 
 
 def as_texts(values: pa.Array) -> list[str]:
@@ -119,10 +120,9 @@ def as_texts(values: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in as_bytes(values)]
 
 
-def arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+def binary_array(data: bytes, ends: np.ndarray) -> pa.Array:
+    """Slices of ``data`` between neighbouring ends, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 
 def appended(batch: pa.RecordBatch, schema: T.StructType, *columns: pa.Array) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from .pieces import Pieces, tokenizer_pieces
+from .pieces import Pieces, tokenizer_pieces, with_end
 
 MAGIC = 0x31534449_42495431
 BLOCK = 4_096
@@ -107,14 +107,13 @@ class _File:
 
 def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): ids of every whole text and the end id, as little-endian unsigned 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "text"):
             pieces = _LOADED.get(path) or _LOADED.setdefault(path, tokenizer_pieces(path))
-            ids = [pieces(x) + end for x in c.as_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(flat.tobytes(), ends * 4)], names=["key", "ids"])
 
     return rows.mapInArrow(run, "key long, ids binary")
 
@@ -131,8 +130,10 @@ def write(ids: DataFrame, folder: str, vocabulary: int, splits: list[int]) -> Da
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slim = [np.frombuffer(x, np.uint8).reshape(-1, 4)[:, :take].tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slim, pa.binary())], names=["key", "ids"])
+            ids = batch.column(1)
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+            flat = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 4)[:, :take].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(flat, (ends - ends[0]) // 4 * take)], names=["key", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number = None, 0

@@ -14,13 +14,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .pieces import Pieces, tokenizer_pieces
+from .pieces import Pieces, tokenizer_pieces, with_end
 
 #: Parts of a bucket within which pieces are ranked: no task gets a whole bucket.
 CELLS = 4_096
@@ -40,18 +39,18 @@ def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str
         raise ValueError("the longest sequence must be a power of two")
     kind = docs.schema[key].dataType
     schema = f"`{key}` {kind.simpleString()}, start long, length int, ids binary, ids_crc32 long, doc_tokens long"
-    end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(key), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "__text"):
             pieces = _LOADED.get(path) or _LOADED.setdefault(path, tokenizer_pieces(path))
             parents, starts, lengths, ids, crcs, totals = [], [], [], [], [], []
-            for parent, one in enumerate(c.as_texts(batch.column(1))):
-                found = pieces(one) + end
-                at, tokens = 0, len(found) // 4
+            flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
+            joint = memoryview(flat.tobytes())
+            for parent, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                at, tokens = 0, b - a
                 for length in piece_lengths(tokens, longest):
-                    piece = found[4 * at : 4 * (at + length)]
+                    piece = joint[4 * (a + at) : 4 * (a + at + length)]
                     parents.append(parent)
                     starts.append(at)
                     lengths.append(length)

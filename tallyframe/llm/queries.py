@@ -36,12 +36,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(byte_bpe.id_bytes("ids"), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decoded("ids", BYTE_RANKS, public_tokenizers.PATTERN), 256).alias("decoded_sha256"),
+    coded = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
