@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common as c, exact_dedup, fingerprints, id_files, jaccard_join, language, packing, slots
+from . import byte_bpe, common as c, exact_dedup, fingerprints, id_files, jaccard_join, labelled, language, packing, quality, slots, toxicity
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = c.fold("doc_id", 5) == 0
+    sample = labelled.labelled_sample(docs.filter(~held), table(spark, sf_dir, "labels").filter(~held), "toxic")
+    return _judged(toxicity.scored(docs, toxicity.fit(sample)), held)
+
+
+def _judged(rows: DataFrame, held) -> DataFrame:
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -27,10 +38,26 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = c.fold("doc_id", 3) == 1
+    return _judged(quality.scored(docs, quality_model(docs, table(spark, sf_dir, "labels"))), held)
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Fitted on documents of the learning folds only."""
+    learns = c.fold("doc_id", 3) != 1
+    return quality.fit(labelled.labelled_sample(docs.filter(learns), labels.filter(learns), "quality"))
+
+
+def language_profiles(docs: DataFrame) -> dict:
+    """Learned from documents of the learning folds only."""
+    return language.learn(docs.filter(c.fold("doc_id", 4) != 2))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    profiles = language.learn(docs.filter(c.fold("doc_id", 4) != 2))
-    rows = language.identified(docs.select("doc_id", "text"), profiles)
+    rows = language.identified(docs.select("doc_id", "text"), language_profiles(docs))
     return rows.select("doc_id", (c.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -73,8 +100,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
+    "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
