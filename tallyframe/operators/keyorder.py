@@ -23,11 +23,11 @@ from tallyframe.session import checkpointed
 
 BUCKET_BITS = 12
 MAX_BUCKET_BITS = 20
-# A window task of a per-group rank never gets more than the larger of these two shares of the rows.
-GROUP_PARTS = 10_000
-MIN_SPLIT_ROWS = 1_000_000
+# A window task of a per-group rank gets pieces of about so many rows, however large the table is.
+SPLIT_ROWS = 1_000_000
 COPY_CHUNK = 65_536
 FETCH_KEYS = 20_000
+MAX_LISTED = 50_000  # groups or pieces of groups in a broadcast
 
 
 def split_size(n: int, size: float | int) -> int:
@@ -123,6 +123,36 @@ def choose_keys(
     return KeyChoice(key, str(seed), hash_fn, n, list(ks), cuts)
 
 
+def choose_many(
+    df: DataFrame,
+    key: str,
+    seed: int | str,
+    sizes: Callable[[int], list[int]],
+    hash_fn: str = HASH_FN,
+    bits: int = BUCKET_BITS,
+) -> list[KeyChoice]:
+    """One choice per size, each in an order of its own: level i has the seed "<seed>/<i>".
+
+    The distinct keys are found once. Bucket counts of all levels come from one aggregate over them;
+    at most 2^bits counts per level reach the driver.
+    """
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = keys.count()
+        ks = sizes(n)
+        hashes = [hash48(f"{seed}/{i}", key, fn=hash_fn) for i in range(len(ks))]
+        places = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(h, HASH_BITS - bits).alias("b")) for i, h in enumerate(hashes)])
+        counts: list[dict[int, int]] = [{} for _ in ks]
+        for r in keys.select(F.inline(places)).groupBy("i", "b").count().collect():
+            counts[r["i"]][r["b"]] = r["count"]
+        return [
+            KeyChoice(key, f"{seed}/{i}", hash_fn, n, [k], _cuts(keys.withColumn("_h", hashes[i]), key, counts[i], [min(k, n)], bits))
+            for i, k in enumerate(ks)
+        ]
+    finally:
+        keys.unpersist()
+
+
 def _cuts(keys: DataFrame, key: str, counts: dict[int, int], ks: list[int], bits: int) -> list[Cut]:
     """Selects the wanted ranks by hash prefix: buckets that hold one are counted again by longer
     prefixes until they are few keys together, and only those are fetched."""
@@ -174,14 +204,18 @@ def _bucket(h: str, bits: int) -> Column:
 
 
 def rank_keys(
-    df: DataFrame, key: str, seed: int | str, hash_fn: str = HASH_FN, bits: int = BUCKET_BITS
+    df: DataFrame, key: str, seed: int | str, hash_fn: str = HASH_FN, bits: int | None = None
 ) -> DataFrame:
     """K2: every distinct key with its 1-based rank in the random order.
 
-    Sorted per bucket; the running offsets are the only single-task step and hold 2^bits rows.
+    Sorted per bucket of about a million keys, for which the rows are estimated once if ``bits`` is not
+    given; the running offsets are the only single-task step and hold 2^bits rows.
     """
+    distinct = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    if bits is None:
+        bits = bucket_bits(df.agg(F.approx_count_distinct(key)).first()[0])
     keys = (
-        df.select(key).filter(F.col(key).isNotNull()).distinct()
+        distinct
         .withColumn("_h", hash48(seed, key, fn=hash_fn))
         .withColumn("_b", _bucket("_h", bits))
     )
@@ -198,19 +232,18 @@ def _offsets(df: DataFrame, within: list[str]) -> DataFrame:
     return counts.select(*within, "_b", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
 
 
-def number_copies(df: DataFrame, cap: int | Column | None = None) -> DataFrame:
+def number_copies(df: DataFrame) -> DataFrame:
     """Adds ``_copy`` = 1..c to the c copies of a row that is equal in every column.
 
-    Copies are folded before the shuffle and unfolded in chunks, so that copies of one row, however
-    many, are spread like any other rows once their copy number goes into the row hash. ``cap``
-    limits the numbers only where more can never be chosen (a per-group limit).
+    Copies are folded before the shuffle. Their numbers are unfolded in two steps with an exchange
+    between them, by row and chunk of COPY_CHUNK numbers, so the copies of one row leave many tasks.
     """
-    count = F.col("_c") if cap is None else F.least(F.col("_c"), cap if isinstance(cap, Column) else F.lit(cap))
     chunk = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"), F.lit(COPY_CHUNK).cast("bigint")))
+    content = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
     return (
         df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_c", count)
         .withColumn("_from", chunk)
+        .repartition(*content, "_from")
         .withColumn("_copy", F.explode(F.sequence("_from", F.least(F.col("_c"), F.col("_from") + COPY_CHUNK - 1))))
         .drop("_c", "_from")
     )
@@ -220,18 +253,17 @@ def with_row_hash(
     df: DataFrame,
     seed: int | str,
     row_key: list[str] | None = None,
-    cap: int | None = None,
     hash_fn: str = HASH_FN,
     salt: list[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Adds ``_h``, a hash that tells rows apart, and returns the columns that order equal hashes.
 
     ``row_key`` names columns that are unique per row. Without it all columns and a copy number
-    are used, so equal rows are told apart too.
+    are used, so equal rows are told apart too, and each of them can be drawn.
     """
     if row_key is None:
         row_key = [*df.columns, "_copy"]
-        df = number_copies(df, cap)
+        df = number_copies(df)
     cols = [*(salt or []), *[c for c in row_key if c not in (salt or [])]]
     return df.withColumn("_h", hash48(seed, *cols, fn=hash_fn)), list(row_key)
 
@@ -251,18 +283,16 @@ def rank_in_group(
     groups: list[str],
     order: list[str],
     sizes: DataFrame,
-    parts: int = GROUP_PARTS,
-    min_rows: int = MIN_SPLIT_ROWS,
+    piece_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Full rank ``_rk`` of the rows of each group in the order ``_h, …``.
 
-    ``sizes`` has one row per group: its number of rows ``_n`` and any columns to attach. Groups with
-    more than max(min_rows, total/parts) rows are split by hash range into pieces of about that size;
-    there are at most ``parts`` such groups and 2 * parts pieces, so their lists can be broadcast.
-    Rows are shuffled once, by group and piece, for the rank and for the attached columns.
+    ``sizes`` has one row per group: its number of rows ``_n`` and any columns to attach. Groups of more
+    than ``piece_rows`` rows are split by hash range into pieces of about that size. The lists of such
+    groups and of their pieces are broadcast if they are short, and joined by a shuffle if not. Rows are
+    shuffled by group and piece for the rank and for the attached columns.
     """
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    bound = max(min_rows, math.ceil(total / parts))
+    bound = piece_rows
     pieces = sizes.withColumn("_pieces", F.ceil(F.col("_n") / bound).cast("int")).drop("_n")
     hot = pieces.filter(F.col("_pieces") > 1).select(*groups, "_pieces")
     keys = [*groups, "_b"]
@@ -271,7 +301,7 @@ def rank_in_group(
     else:
         piece = F.floor(F.col("_h") / F.lit(HASH_RANGE) * F.col("_pieces")).cast("int")
         marked = (
-            df.join(F.broadcast(hot), groups, "left")
+            df.join(_listed(hot), groups, "left")
             .withColumn("_b", F.coalesce(piece, F.lit(0)))
             .withColumn("_hot", F.col("_pieces").isNotNull())
             .drop("_pieces")
@@ -282,15 +312,19 @@ def rank_in_group(
     place = Window.partitionBy(*keys).orderBy(*order)
     ranked = marked.join(attached, keys).withColumn("_rk", F.row_number().over(place))
     if offsets is not None:
-        ranked = ranked.join(F.broadcast(offsets), keys, "left").withColumn(
+        ranked = ranked.join(_listed(offsets), keys, "left").withColumn(
             "_rk", F.col("_rk") + F.coalesce("_off", F.lit(0))
         ).drop("_off")
     return ranked.drop("_b")
 
 
+def _listed(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(MAX_LISTED + 1).count() <= MAX_LISTED else table
+
+
 def bucket_bits(rows: int) -> int:
     """Bits for buckets of about a million rows; at most 2^20 offsets."""
-    return min(max(BUCKET_BITS, math.ceil(math.log2(max(rows, 1) / MIN_SPLIT_ROWS))), MAX_BUCKET_BITS)
+    return min(max(BUCKET_BITS, math.ceil(math.log2(max(rows, 1) / SPLIT_ROWS))), MAX_BUCKET_BITS)
 
 
 def rank_rows(df: DataFrame, order: list[str], bits: int = BUCKET_BITS) -> DataFrame:

@@ -21,10 +21,11 @@ from tallyframe.functions.hashing import HASH_FN, hash48
 from tallyframe.operators.coverage import level_coverage
 from tallyframe.operators.joins import MAX_BROADCAST_ROWS, join_by_key
 from tallyframe.operators.keyorder import (
-    GROUP_PARTS, MIN_SPLIT_ROWS, choose_keys, floor_size, rank_in_group, top_in_group, with_row_hash,
+    SPLIT_ROWS, choose_keys, choose_many, floor_size, rank_in_group, top_in_group, with_row_hash,
 )
 from tallyframe.session import checkpointed
 
+# Draws that stand side by side in one aggregate; more of them take further aggregates.
 UNROLLED_DRAWS = 64
 
 
@@ -88,12 +89,13 @@ def safe_ratio(
     drawn = F.explode(F.sequence(F.lit(1), F.lit(draws)))
     h = hash48(seed, "trial", target, fn=hash_fn)
 
-    if draws > UNROLLED_DRAWS:
-        reach = _mth_place(answers.distinct().withColumn("trial", drawn), target, holder, min_count, h)
-    elif min_count == 1:
-        reach = _first_place(answers, target, holder, draws, seed, hash_fn)
-    else:
-        reach = _later_place(answers, target, holder, draws, min_count, seed, hash_fn)
+    parts = [range(a, min(a + UNROLLED_DRAWS, draws + 1)) for a in range(1, draws + 1, UNROLLED_DRAWS)]
+    places = [
+        _first_place(answers, target, holder, part, seed, hash_fn) if min_count == 1
+        else _later_place(answers, target, holder, part, min_count, seed, hash_fn)
+        for part in parts
+    ]
+    reach = reduce(DataFrame.unionByName, places)
     everyone = answers.agg(F.count_distinct(holder)).scalar()
     all_met = F.lit(True) if min_count == 1 else F.min("n_holders") == everyone  # who answers has one answer
     required = (
@@ -137,18 +139,20 @@ def safe_ratio(
 
 
 def _first_place(
-    answers: DataFrame, target: str, holder: str, draws: int, seed: int | str, hash_fn: str
+    answers: DataFrame, target: str, holder: str, draws: range, seed: int | str, hash_fn: str
 ) -> DataFrame:
     """(trial, reach, n_holders): the latest first target of any holder, per trial.
 
     The trials stand side by side in one partial aggregate; rows are not unfolded by trial.
     """
-    names = [f"h{t}" for t in range(1, draws + 1)]
-    hashes = [hash48(seed, F.lit(t), target, fn=hash_fn) for t in range(1, draws + 1)]
+    names = [f"h{t}" for t in draws]
+    hashes = [hash48(seed, F.lit(t), target, fn=hash_fn) for t in draws]
     first = answers.groupBy(holder).agg(*[F.min(h).alias(n) for h, n in zip(hashes, names)])
     last = first.agg(F.count(F.lit(1)).alias("n_holders"), *[F.max(n).alias(n) for n in names])
-    trial = F.explode(F.sequence(F.lit(1), F.lit(draws)))
-    return last.withColumn("trial", trial).select("trial", F.array(*names)[F.col("trial") - 1].alias("reach"), "n_holders")
+    trial = F.explode(F.sequence(F.lit(draws[0]), F.lit(draws[-1])))
+    return last.withColumn("trial", trial).select(
+        "trial", F.array(*names)[F.col("trial") - draws[0]].alias("reach"), "n_holders"
+    )
 
 
 def _mth_place(drawn: DataFrame, target: str, holder: str, m: int, h: Column) -> DataFrame:
@@ -163,7 +167,7 @@ def _mth_place(drawn: DataFrame, target: str, holder: str, m: int, h: Column) ->
 
 
 def _later_place(
-    answers: DataFrame, target: str, holder: str, draws: int, m: int, seed: int | str, hash_fn: str
+    answers: DataFrame, target: str, holder: str, draws: range, m: int, seed: int | str, hash_fn: str
 ) -> DataFrame:
     """As above for m > 1 without sorting all pairs of all trials.
 
@@ -180,8 +184,8 @@ def _later_place(
     early = [
         F.count_if(hash48(seed, F.lit(t), target, fn=hash_fn) <= F.lit(b)).alias(f"n{t}") for t, b in sorted(bounds.items())
     ]
-    counts = F.array(*[F.col(f"n{t}") for t in sorted(bounds)])
-    short = F.filter(F.sequence(F.lit(1), F.lit(len(bounds))), lambda t: counts[t - 1] < m)
+    counts = F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"n{t}").alias("n")) for t in sorted(bounds)])
+    short = F.transform(F.filter(counts, lambda x: x["n"] < m), lambda x: x["t"])
     late = checkpointed(
         pairs.groupBy(holder).agg(*early).select(holder, short.alias("_trials")).filter(F.size("_trials") > 0)
     )
@@ -223,7 +227,7 @@ def ratio_ablation(
 ) -> Study:
     """Coverage of samples of workers, tasks or both, from all of them down to the safe ratio.
 
-    ``nested=False`` draws every level on its own, at the price of one pass per level.
+    ``nested=False`` draws every level on its own.
     """
     if mode not in ("worker", "task", "both"):
         raise ValueError("mode must be 'worker', 'task' or 'both'")
@@ -236,28 +240,27 @@ def ratio_ablation(
     labels = _labels(df.sparkSession, "ratio", [round(r, 2) for r in ratios])
     keys = {"worker": ["uid"], "task": ["qid"], "both": ["uid", "qid"]}[mode]
     if not nested:
-        return _independent(
-            "ratio", labels, [_draw(df, keys, f"{seed}", i, lambda n: floor_size(n, r), hash_fn) for i, r in enumerate(ratios)]
-        )
+        return _independent("ratio", labels, df, keys, seed, lambda n: [floor_size(n, r) for r in ratios], hash_fn)
     choices = [
         choose_keys(df, key, f"{seed}{key}", lambda n: [floor_size(n, r) for r in ratios], hash_fn) for key in keys
     ]
     return _study("ratio", labels, _keep_choices(df, choices), by_pair=True)
 
 
-def _draw(
-    df: DataFrame, keys: list[str], seed: str, level: int, size: Callable[[int], int], hash_fn: str
-) -> DataFrame:
-    """One sample of its own: the seed is salted with the level."""
-    sample = df
-    for key in keys:
-        sample = sample.filter(choose_keys(df, key, f"{seed}{key}/{level}", lambda n: [size(n)], hash_fn).chosen())
-    return sample
-
+def _independent(
+    name: str, labels: DataFrame, df: DataFrame, keys: list[str], seed: int | str,
+    sizes: Callable[[int], list[int]], hash_fn: str,
+) -> "IndependentStudy":
+    """Study of samples drawn apart from each other: the order of the keys is salted with the level.
 
-def _independent(name: str, labels: DataFrame, samples: list[DataFrame]) -> "IndependentStudy":
-    """Study of samples drawn apart from each other, one pass over the rows per level."""
-    rows = reduce(DataFrame.unionByName, [s.withColumn("_pos", F.lit(i)) for i, s in enumerate(samples)])
+    The cuts of all levels come from one pass over the distinct keys. One scan of the rows then tells
+    for each row the levels that hold it; only those are unfolded.
+    """
+    choices = [choose_many(df, key, f"{seed}{key}", sizes, hash_fn) for key in keys]
+    held = [
+        F.when(reduce(lambda a, b: a & b, [c.chosen() for c in level]), F.lit(i)) for i, level in enumerate(zip(*choices))
+    ]
+    rows = df.withColumn("_pos", F.explode(F.array_compact(F.array(*held))))
     return IndependentStudy(name, labels, rows, _sample_stats(name, labels, rows))
 
 
@@ -283,7 +286,7 @@ class IndependentStudy(Study):
     """As :class:`Study`; ``rows`` already holds each sample, marked by ``_pos``."""
 
     def samples(self) -> DataFrame:
-        levels = self.labels.groupBy(self.name).agg(F.max("pos").alias("_pos"))
+        levels = self.labels.groupBy(self.name).agg(F.min("pos").alias("_pos"))  # of equal labels the smallest sample
         return self.rows.join(F.broadcast(levels), "_pos").select(  # one row per level
             self.name, *[c for c in self.rows.columns if c != "_pos"]
         )
@@ -298,8 +301,7 @@ def fixed_entity_ablation(
     row_key: list[str] | None = None,
     hash_fn: str = HASH_FN,
     nested: bool = True,
-    parts: int = GROUP_PARTS,
-    min_rows: int = MIN_SPLIT_ROWS,
+    piece_rows: int = SPLIT_ROWS,
 ) -> Study:
     """Remove more and more rows of every group while all tasks and workers remain.
 
@@ -316,10 +318,11 @@ def fixed_entity_ablation(
         raise ValueError("mode must be 'responses_per_task' or 'tasks_per_worker'")
     sizes = checkpointed(df.groupBy(group).agg(F.count_distinct(entity).alias("_d"), F.count(F.lit(1)).alias("_n")))
     least = sizes.agg(F.min("_d")).first()[0]
-    removed = list(range(0, max((least or 0) - min_keep, 0) + 1, step))
-    labels = _labels(df.sparkSession, "remove", removed[::-1])
+    removed = range(0, max((least or 0) - min_keep, 0) + 1, step)
+    pos = F.col("id").cast("int")
+    labels = df.sparkSession.range(len(removed)).select(pos.alias("pos"), (F.lit(removed[-1]) - pos * step).cast("int").alias("remove"))
     kept_rows = F.greatest(F.col("_d") - F.col("remove"), F.lit(min_keep))
-    levels = F.explode(F.array(*[F.lit(r) for r in removed]))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(removed[-1]), F.lit(step)))
     groups, entities = sizes.count(), df.agg(F.count_distinct(entity)).scalar()
     complete = (F.col(f"n_{group}") == groups) & (F.col(f"n_{entity}") == entities)
 
@@ -327,7 +330,7 @@ def fixed_entity_ablation(
         hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
         salted = hashed.withColumn("remove", levels).withColumn("_h", hash48(seed, "remove", "_h", fn=hash_fn))
         ranked = rank_in_group(
-            salted, [group, "remove"], ["_h", *ties], sizes.withColumn("remove", levels), parts, min_rows
+            salted, [group, "remove"], ["_h", *ties], sizes.withColumn("remove", levels), piece_rows
         )
         place = F.lit(len(removed) - 1) - (F.col("remove") / step).cast("int")
         rows = ranked.filter(F.col("_rk") <= kept_rows).select(*df.columns, place.alias("_pos"))
@@ -338,7 +341,7 @@ def fixed_entity_ablation(
         return IndependentStudy("remove", kept, rows, stats)
 
     hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
-    ranked = rank_in_group(hashed, [group], ["_h", *ties], sizes, parts, min_rows)
+    ranked = rank_in_group(hashed, [group], ["_h", *ties], sizes, piece_rows)
     last = F.when(F.col("_rk") <= min_keep, F.lit(len(removed) - 1)).otherwise(
         F.least(F.floor((F.col("_d") - F.col("_rk")) / step), F.lit(len(removed) - 1))
     )
@@ -373,8 +376,7 @@ def scenario(
         labels = _labels(spark, name, choice.ks)
         if nested:
             return _study(name, labels, _keep_choices(df, [choice]), by_pair=True)
-        samples = [_draw(df, [key], f"{seed}", i, lambda n: k, hash_fn) for i, k in enumerate(choice.ks)]
-        return _independent(name, labels, samples)
+        return _independent(name, labels, df, [key], seed, lambda n: choice.ks, hash_fn)
     if scenario_id in ("tasks_per_worker", "responses_per_task"):
         group, name, default = (
             ("uid", "tasks_per_worker", MAX_TASKS_PER_WORKER)
@@ -384,14 +386,17 @@ def scenario(
         wanted = counts or list(range(1, default + 1))
         labels = _labels(spark, name, wanted)
 
-        def first_rows(salt: str, most: int) -> DataFrame:
-            hashed, ties = with_row_hash(df, salt, row_key, cap=most, hash_fn=hash_fn)
-            return top_in_group(hashed, group, ["_h", *ties], most)
-
+        hashed, ties = with_row_hash(df, str(seed), row_key, hash_fn=hash_fn)
         if not nested:
-            samples = [first_rows(f"{seed}/{i}", c).select(*df.columns) for i, c in enumerate(wanted)]
-            return _independent(name, labels, samples)
+            # a group keeps its first rows of every level before the shuffle, so levels are unfolded map-side only
+            unfolded = hashed.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.lit(len(wanted) - 1))))
+            unfolded = unfolded.withColumn("_h", hash48(f"{seed}", "_pos", "_h", fn=hash_fn))
+            place = Window.partitionBy(group, "_pos").orderBy("_h", *ties)
+            most = F.array(*[F.lit(c) for c in wanted])[F.col("_pos")]
+            ranked = unfolded.withColumn("_rk", F.row_number().over(place)).filter(F.col("_rk") <= max(wanted))
+            rows = ranked.filter(F.col("_rk") <= most).select(*df.columns, "_pos")
+            return IndependentStudy(name, labels, rows, _sample_stats(name, labels, rows))
         level = sum((F.when(F.col("_rk") > c, 1).otherwise(0) for c in wanted[:-1]), F.lit(0))
-        rows = first_rows(str(seed), wanted[-1]).withColumn("lvl", level).select(*df.columns, "lvl")
+        rows = top_in_group(hashed, group, ["_h", *ties], wanted[-1]).withColumn("lvl", level).select(*df.columns, "lvl")
         return _study(name, labels, rows)
     raise ValueError("scenario_id must be 'worker', 'task', 'tasks_per_worker' or 'responses_per_task'")

@@ -447,6 +447,99 @@ def scenario_samples(spark, d):
     return reduction.scenario(tb.answer_rows(spark, d), "responses_per_task", SEED, hash_fn=HASH).samples()
 
 
+# Rows that repeat: every copy has a number and can be drawn.
+_EVENT_COPIES = """e as (select event_type as qid, user_id as uid,
+    row_number() over (partition by event_type, user_id order by event_id) as copy from events)"""
+
+
+def _copies_sql(group: str, name: str, most: int) -> str:
+    order = f"{sql.h(SEED, 'qid', 'uid', 'copy')}, qid, uid, copy"
+    return f"""with {_EVENT_COPIES},
+    x as (select qid, uid, row_number() over (partition by {group} order by {order}) as rk from e)
+    select c::int as {name}, {sql.COVERAGE} from x, (select unnest(range(1, {most + 1})) as c) where rk <= c group by c"""
+
+
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    return tb.event_answers(spark, d).select("qid", "uid")
+
+
+@register(_copies_sql("uid", "tasks_per_worker", 20))
+def scenario_tasks_per_worker_copies(spark, d):
+    return reduction.scenario(_repeated(spark, d), "tasks_per_worker", SEED, hash_fn=HASH).stats
+
+
+@register(_copies_sql("qid", "workers_per_task", 7))
+def scenario_responses_per_task_copies(spark, d):
+    return reduction.scenario(_repeated(spark, d), "responses_per_task", SEED, hash_fn=HASH).stats
+
+
+# The mode in which every level has a draw of its own.
+def _key_independent_sql(key: str, name: str, counts: list[int]) -> str:
+    levels = " union all ".join(
+        f"select {i} as pos, {c} as c, {key} as k, row_number() over (order by {sql.h(f'{SEED}{key}/{i}', key)}, {key}) as rk "
+        f"from (select distinct {key} from r)" for i, c in enumerate(counts)
+    )
+    return f"""with {R}, k as ({levels})
+    select any_value(least(c, (select count(distinct {key}) from r)))::int as {name}, {sql.COVERAGE}
+    from r join k on r.{key} = k.k where rk <= c group by pos"""
+
+
+@register(_key_independent_sql("uid", "workers", WORKER_COUNTS))
+def scenario_worker_independent(spark, d):
+    return reduction.scenario(tb.responses(spark, d), "worker", SEED, hash_fn=HASH, nested=False).stats
+
+
+@register(_key_independent_sql("qid", "tasks", TASK_COUNTS))
+def scenario_task_independent(spark, d):
+    return reduction.scenario(tb.responses(spark, d), "task", SEED, hash_fn=HASH, nested=False).stats
+
+
+def _group_independent_sql(group: str, name: str, most: int) -> str:
+    first = sql.h(SEED, "event_id")
+    return f"""with a as (select event_type as qid, user_id as uid, event_id, {first} as hh from events),
+    x as (select c, qid, uid, row_number() over (partition by {group}, c order by {sql.h(SEED, 'c - 1', 'hh')}, event_id) as rk
+          from a, (select unnest(range(1, {most + 1})) as c))
+    select c::int as {name}, {sql.COVERAGE} from x where rk <= c group by c"""
+
+
+@register(_group_independent_sql("uid", "tasks_per_worker", 20))
+def scenario_tasks_per_worker_independent(spark, d):
+    return reduction.scenario(
+        tb.event_answers(spark, d), "tasks_per_worker", SEED, row_key=["event_id"], hash_fn=HASH, nested=False
+    ).stats
+
+
+@register(_group_independent_sql("qid", "workers_per_task", 7))
+def scenario_responses_per_task_independent(spark, d):
+    return reduction.scenario(
+        tb.event_answers(spark, d), "responses_per_task", SEED, row_key=["event_id"], hash_fn=HASH, nested=False
+    ).stats
+
+
+def _safe_independent_ctes(trials: int = 20, points: int = 50) -> str:
+    """CTE ``safe`` where every point of the grid has trials of its own; workers answer, tasks are drawn."""
+    return f"""
+    p as (select distinct qid as t, uid as o from r),
+    d as (select trial, t, {sql.h(42, 'trial', 't')} as hh
+          from (select distinct t from p), (select unnest(range(1, {trials * points + 1})) as trial)),
+    first as (select trial, o, min(hh) as hh from p join d using (t) group by trial, o),
+    reach as (select trial, max(hh) as reach from first group by trial),
+    tg as (select trial, count(*) as total, count(*) filter (where hh <= reach) as rk from d join reach using (trial) group by trial),
+    need as (select (trial - 1) // {trials} as i, max(total) as total, max(rk) as required_k from tg group by 1),
+    grid as (select i, {sql.linspace('1.0::double', '0.1::double', str(points), 'i')} as ratio
+             from (select unnest(range(0, {points})) as i)),
+    judged as (select coalesce(min(case when greatest(floor(total * ratio)::bigint, 1) < required_k then i end), {points}) - 1 as good,
+               max(required_k) as required_k, max(total) as total from need join grid using (i)),
+    safe as (select case when good < 0 then 1.0::double else (select ratio from grid where i = good) end as safe_ratio,
+                    required_k, total, true as feasible from judged)"""
+
+
+@register(f"with r as (select qid, uid from (select event_type as uid, user_id as qid from events)), {_safe_independent_ctes()} select * from safe")
+def safe_ratio_independent(spark, d):
+    answers = tb.event_answers(spark, d).select(F.col("uid").alias("qid"), F.col("qid").alias("uid"))
+    return reduction.safe_ratio(answers, "task", hash_fn=HASH, nested=False)
+
+
 # --- summaries -------------------------------------------------------------------------------------
 
 _ERRORS = "e as (select event_type as agent, (user_id % 20 + 1)::int as num_workers, value as error from events)"

@@ -116,7 +116,16 @@ def test_copies_are_numbered_across_chunks(spark, monkeypatch):
     df = spark.range(23).select(F.when(F.col("id") < 20, 1).otherwise(2).alias("a"))
     got = sorted((r["a"], r["_copy"]) for r in ko.number_copies(df).collect())
     assert got == [(1, i) for i in range(1, 21)] + [(2, i) for i in range(1, 4)]
-    assert ko.number_copies(df, cap=5).count() == 8
+
+
+def test_copies_of_one_row_leave_many_tasks(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("a"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = ko.number_copies(df).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in made) == 1_000_000 and len(made) > 1
 
 
 def test_split_groups_rank_like_whole_groups(spark):
@@ -124,7 +133,7 @@ def test_split_groups_rank_like_whole_groups(spark):
     hashed, ties = ko.with_row_hash(df, 4, ["row"])
     sizes = df.groupBy("g").agg(F.count("*").alias("_n"))
     whole = ko.rank_in_group(hashed, ["g"], ["_h", *ties], sizes)
-    pieces = ko.rank_in_group(hashed, ["g"], ["_h", *ties], sizes, parts=1000, min_rows=25)
+    pieces = ko.rank_in_group(hashed, ["g"], ["_h", *ties], sizes, piece_rows=25)
     a = sorted((r["g"], r["row"], r["_rk"]) for r in whole.collect())
     assert a == sorted((r["g"], r["row"], r["_rk"]) for r in pieces.collect())
     assert sorted(k for g, _, k in a if g == 0) == list(range(1, sum(1 for g, _, _ in a if g == 0) + 1))
@@ -134,7 +143,7 @@ def test_pieces_bound_the_window(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("row"))
     hashed, ties = ko.with_row_hash(df, 4, ["row"])
     sizes = df.groupBy("g").agg(F.count("*").alias("_n"))
-    pieces = ko.rank_in_group(hashed, ["g"], ["_h", *ties], sizes, parts=1000, min_rows=500)
+    pieces = ko.rank_in_group(hashed, ["g"], ["_h", *ties], sizes, piece_rows=500)
     plan = pieces._jdf.queryExecution().executedPlan().toString()
     assert "_b" in plan.split("Window [row_number()")[1].split("\n")[0]
 

@@ -102,7 +102,7 @@ def test_ratio_ablation_with_an_empty_level(spark):
 
 
 @pytest.mark.parametrize("mode", ["responses_per_task", "tasks_per_worker"])
-@pytest.mark.parametrize("options", [{}, {"min_rows": 7, "parts": 100}, {"step": 2, "min_keep": 2}, {"nested": False}])
+@pytest.mark.parametrize("options", [{}, {"piece_rows": 7}, {"step": 2, "min_keep": 2}, {"nested": False}])
 def test_fixed_entity(answers, mode, options):
     group, entity = ("qid", "uid") if mode == "responses_per_task" else ("uid", "qid")
     study = rd.fixed_entity_ablation(answers, mode, row_key=["row"], **options)
@@ -125,7 +125,7 @@ def test_fixed_entity(answers, mode, options):
 
 def test_fixed_entity_splits_do_not_change_the_sample(answers):
     whole = rd.fixed_entity_ablation(answers, row_key=["row"]).samples()
-    split = rd.fixed_entity_ablation(answers, row_key=["row"], min_rows=5, parts=1000).samples()
+    split = rd.fixed_entity_ablation(answers, row_key=["row"], piece_rows=5).samples()
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
 
 
@@ -190,3 +190,29 @@ def test_hot_group_of_equal_rows(spark):
 def test_covers_all(answers):
     assert tuple(coverage.covers_all(answers, answers).first()) == (True, True)
     assert tuple(coverage.covers_all(answers.filter("qid <> 3"), answers).first()) == (False, True)
+
+
+def test_copies_are_drawn_like_rows(spark):
+    """200 groups of 1,000 copies of one row and 10 of another: 7 rows of a group are nearly all of the first."""
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("uid") == 0, 1000).otherwise(10)))
+    rows = spark.range(400).select((F.col("id") % 200).alias("qid"), F.floor(F.col("id") / 200).alias("uid"))
+    rows = rows.withColumn("n", copies).drop("n")
+    kept = rd.scenario(rows, "responses_per_task", counts=[7]).samples()
+    counts = {r["uid"]: r["count"] for r in kept.groupBy("uid").count().collect()}
+    assert sum(counts.values()) == 1400 and counts.get(1, 0) < 60
+
+
+def test_independent_levels_come_from_one_scan(spark):
+    rows = spark.range(3000).select((F.col("id") % 40).alias("qid"), (F.col("id") % 31).alias("uid"))
+    study = rd.ratio_ablation(rows, "worker", points=6, check_points=5, trials=3, nested=False)
+    plan = study.rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 3000") == 1 and "Union" not in plan
+    whole = study.rows.groupBy("_pos").agg(F.count_distinct("uid").alias("n")).orderBy("_pos").collect()
+    assert [r["n"] for r in whole] == sorted(r["n"] for r in whole) and whole[-1]["n"] == 31
+
+
+def test_equal_labels_keep_the_smallest_independent_sample(spark):
+    rows = spark.range(100).select(F.lit(0).alias("qid"), F.col("id").alias("uid"))
+    labels = rd._labels(spark, "ratio", [0.98, 0.98, 1.0])
+    study = rd._independent("ratio", labels, rows, ["uid"], 1, lambda n: [97, 98, 100], "xxhash64")
+    assert study.samples().filter("ratio = 0.98").count() == 97
