@@ -105,35 +105,31 @@ class _File:
         return path.rpartition("/")[2]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): ids of every whole text and the end id, as little-endian unsigned 32-bit integers."""
+def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 4) -> DataFrame:
+    """(key, ids): ids of every whole text and the end id, little-endian, ``id_bytes`` bytes each."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "text"):
             pieces = _LOADED.get(path) or _LOADED.setdefault(path, tokenizer_pieces(path))
             flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(flat.tobytes(), ends * 4)], names=["key", "ids"])
+            narrow = flat.view(np.uint8).reshape(-1, 4)
+            if narrow[:, id_bytes:].any():
+                raise ValueError("an id needs more bytes")
+            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(narrow[:, :id_bytes].tobytes(), ends * id_bytes)], names=["key", "ids"])
 
     return rows.mapInArrow(run, "key long, ids binary")
 
 
-def write(ids: DataFrame, folder: str, vocabulary: int, splits: list[int]) -> DataFrame:
+def write(ids: DataFrame, folder: str, vocabulary: int, splits: list[int], id_bytes: int = 4) -> DataFrame:
     """Write (key, ids) in ascending order of keys, one range per task at a time; returns the manifest.
 
-    ``splits`` are the keys between ranges, as ``common.range_splits`` gives them. What is shuffled are
-    ids in the width of the vocabulary rounded up to bytes.
+    ``splits`` are the keys between ranges, as ``common.range_splits`` gives them. Ids of fewer bytes
+    make a smaller shuffle.
     """
     bits = width(vocabulary)
     spark = ids.sparkSession
-    take = (bits + 7) // 8
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
-            flat = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 4)[:, :take].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(flat, (ends - ends[0]) // 4 * take)], names=["key", "ids"])
+    take = id_bytes
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number = None, 0
@@ -158,8 +154,7 @@ def write(ids: DataFrame, folder: str, vocabulary: int, splits: list[int]) -> Da
         if file is not None:
             yield done()
 
-    slim = ids.mapInArrow(narrow, "key long, ids binary")
-    ranged = slim.select(c.range_bucket(F.col("key"), splits).alias("bucket"), "key", "ids")
+    ranged = ids.select(c.range_bucket(F.col("key"), splits).alias("bucket"), "key", "ids")
     dealt = ranged.repartition(c.partitions(spark), "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "ids")
     return c.written(dealt.mapInArrow(store, "bucket int, part int, file string, ids long, docs long"), f"{folder}/manifest")
 

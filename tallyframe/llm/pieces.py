@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers twice over: recent ones, and those before them. The longest that it does.
-MEMO = 1 << 17
+MEMO = 1 << 18
 LONGEST = 32
 
 SPACE, LINE = 0x20, 0x0A

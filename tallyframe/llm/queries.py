@@ -79,7 +79,9 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = c.shared_folder(spark)
     splits = c.range_splits(docs, "doc_id", c.partitions(spark))
-    id_files.write(id_files.encoded(docs, BYTE_TOKENIZER, end_id=0), folder, BYTE_VOCABULARY, splits)
+    id_bytes = (id_files.width(BYTE_VOCABULARY) + 7) // 8
+    ids = id_files.encoded(docs, BYTE_TOKENIZER, end_id=0, id_bytes=id_bytes)
+    id_files.write(ids, folder, BYTE_VOCABULARY, splits, id_bytes)
     return id_files.read(spark, folder).select(
         F.col("key").alias("doc_id"),
         "start",
