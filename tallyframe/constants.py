@@ -38,7 +38,6 @@ BLEND_SIZE = 10
 RANDOM_VECTOR_SIZE = 768
 
 # Persona attributes and districts.
-PERSONA_COLUMNS = ["gender", "race", "age", "occupation", "education"]
 DISTRICTS = ["District_Nord", "District_Ost", "District_S", "District_West"]
 PREFERENCE_SCORES = ["how_connected", "f_district", "f_topic", "f_cost", "f_likelihood"]
 

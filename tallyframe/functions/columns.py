@@ -27,8 +27,9 @@ def category_text(df: DataFrame, name: str) -> Column:
 
 
 def parse_embedding(c: str | Column) -> Column:
-    """Text list to float vector. Text that is no JSON list, or holds a null, gives NULL."""
-    parsed = F.array(F.from_json(as_column(c), "array<float>"))  # a list of one, so that text is parsed once
+    """Text list, in square or round brackets, to float vector. Any other text, or one with a null, gives NULL."""
+    text = F.regexp_replace(as_column(c), r"^\s*\(([^()]*?),?\s*\)\s*$", "[$1]")
+    parsed = F.array(F.from_json(text, "array<float>"))  # a list of one, so that text is parsed once
     return F.get(F.filter(parsed, lambda v: ~F.exists(v, lambda x: x.isNull())), F.lit(0))
 
 

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Narrow rows (a key and a few numbers): 200,000 of them stay in the low tens of megabytes.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 HOT_PARTS = 1_000
-SALTS = 64
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Looks at no more than ``max_rows + 1`` rows: their number, and the bytes of numbers, texts and lists."""
+    sizes = [F.lit(16)]
+    for name, kind in table.dtypes:
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(name), F.lit(0)))
+        elif kind.startswith(("array", "map", "struct")):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)))
+        else:
+            sizes.append(F.lit(8))
+    size = sum(sizes[1:], sizes[0]).cast("bigint")
+    row = table.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return row[0] <= max_rows and row[1] <= max_bytes
 
 
 def join_by_key(
@@ -22,32 +31,29 @@ def join_by_key(
     how: str = "left",
     max_rows: int = MAX_BROADCAST_ROWS,
     hot_parts: int = HOT_PARTS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join of many rows with a table per key; ``how`` is inner, left or left_semi.
 
-    A table of checked size is broadcast. Beyond that both sides are shuffled, and keys that hold
-    more than 1/hot_parts of the rows (so at most ``hot_parts`` of them) are salted: their rows are
-    spread over ``salts`` tasks and only their table rows are repeated.
+    A table of checked size is broadcast. Beyond that both sides are shuffled, and a key that holds
+    more than 1/hot_parts of the rows (there are fewer than ``hot_parts`` of them) is salted: its rows go
+    to as many tasks as it has such parts, and its table rows are repeated that often. Rows without
+    a key match nothing and are spread over all salts.
     """
     if fits_broadcast(table, max_rows):
         return rows.join(F.broadcast(table), key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(key).isNotNull())
     total = rows.count()
-    hot = (
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") * hot_parts > total)
-        .select(key, F.lit(True).alias("_hot"))
+    hot = counts.filter(F.col("_n") * hot_parts > total).select(
+        key, F.ceil(F.col("_n") * hot_parts / F.lit(max(total, 1))).cast("int").alias("_salts")
     )
     # Row content and map partition: spreads equal rows too, and a retried task repeats its salts.
     content = [c for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]
-    spread = F.pmod(F.xxhash64(*content, F.spark_partition_id()), F.lit(salts)).cast("int")
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    ).drop("_hot")
+    spread = F.xxhash64(*content, F.spark_partition_id(), F.monotonically_increasing_id())
+    salts = F.when(F.col(key).isNull(), F.lit(hot_parts)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("_salts")
     right = table.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    ).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

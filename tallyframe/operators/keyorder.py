@@ -98,11 +98,15 @@ def choose_keys(
     sizes: Callable[[int], list[int]],
     hash_fn: str = HASH_FN,
     bits: int = BUCKET_BITS,
+    reject_null: bool = False,
 ) -> KeyChoice:
     """Cuts for ``sizes(n)`` keys, given the number n of distinct keys.
 
-    One distinct over one column; the driver sees bucket counts and at most FETCH_KEYS keys.
+    One distinct over one column; the driver sees bucket counts and at most FETCH_KEYS keys. A missing
+    key is no key: it is left out, or with ``reject_null`` an error.
     """
+    if reject_null and not df.filter(F.col(key).isNull()).select(key).isEmpty():
+        raise ValueError(f"{key} is missing in some rows")
     keys = (
         df.select(key).filter(F.col(key).isNotNull()).distinct()
         .withColumn("_h", hash48(seed, key, fn=hash_fn))

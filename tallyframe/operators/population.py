@@ -46,31 +46,39 @@ def marginals_from_one_hot(df: DataFrame, groups: dict[str, dict[str, str]]) ->
     columns = [(f, v, c) for f, values in groups.items() for v, c in values.items()]
     if not columns:
         raise ValueError("no features to learn")
-    sums = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"c{i}") for i, (_, _, c) in enumerate(columns)])
+    sums = df.agg(*[F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)).alias(f"c{i}") for i, (_, _, c) in enumerate(columns)])
     cells = [
-        F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value"), F.col(f"c{i}").alias("n"))
+        F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value"), F.col(f"c{i}").alias("_s"))
         for i, (f, v, _) in enumerate(columns)
     ]
-    return _shares(sums.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*"), F.col("n"))
+    shares = _shares(sums.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*"), F.col("_s"))
+    return shares.select("feature", "value", F.round("_s").cast("bigint").alias("n"), "p")  # n: whole counts of soft shares
 
 
 def draw_weights(marginals: DataFrame, temperature: float = 1.0, uniform: bool = False) -> DataFrame:
     """Integer weight ``w`` per category, so that sums do not depend on their order.
 
-    T = 1 uses the shares themselves, any other T the softmax of share / T, ``uniform`` none of them.
+    T = 1 uses the counts, or, where they are not whole, the shares in steps of 2^-40; any other T the
+    softmax of share / T in the same steps, ``uniform`` none of them. No category with a share loses it
+    to rounding: the least weight is 1.
     """
     if uniform:
         return marginals.select("feature", "value", F.lit(1).cast("bigint").alias("w"))
     if temperature == 1.0:
+        off = F.abs(F.col("p") * F.col("_t") - F.col("n")) > 1e-6 * F.greatest(F.col("n"), F.lit(1))
         totals = marginals.groupBy("feature").agg(F.sum("n").alias("_t"))
-        counted = F.when(F.col("_t") > 0, F.col("n")).otherwise(1)
-        return marginals.join(F.broadcast(totals), "feature").select(
+        soft = marginals.join(F.broadcast(totals), "feature").groupBy("feature").agg(
+            F.max("_t").alias("_t"), F.max(off).alias("_soft")
+        )
+        share = F.when(F.col("p") > 0, F.greatest(F.round(F.col("p") * WEIGHT_UNIT), F.lit(1.0))).otherwise(0)
+        counted = F.when(F.col("_soft"), share).when(F.col("_t") > 0, F.col("n")).otherwise(1)
+        return marginals.join(F.broadcast(soft), "feature").select(  # one row per feature
             "feature", "value", counted.cast("bigint").alias("w")
         )
     top = marginals.groupBy("feature").agg(F.max("p").alias("_top"))
     soft = F.exp((F.col("p") - F.col("_top")) / F.lit(float(temperature)))
     return marginals.join(F.broadcast(top), "feature").select(
-        "feature", "value", F.round(soft * WEIGHT_UNIT).cast("bigint").alias("w")
+        "feature", "value", F.greatest(F.round(soft * WEIGHT_UNIT), F.lit(1.0)).cast("bigint").alias("w")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,8 +12,8 @@ from tallyframe.constants import (
     MANY_NUMBERS, NO_NUMBER, NO_PERSONA, PERSONA_SEPARATOR, STATUS_INVALID, STATUS_VALID,
 )
 from tallyframe.functions.hashing import as_column
+from tallyframe.session import checkpointed
 
-SYSTEM_TEXT = "Reply with one whole number from 1 to 5 and nothing else."
 TEMPLATE = """Answer as this person would: {persona}.
 
 How hard would it be for you to answer the question below?
@@ -40,11 +41,16 @@ def persona_text(columns: list[str] | None) -> Column:
 def build_prompts(
     tasks: DataFrame, persona_columns: list[str] | None = None, template: str = TEMPLATE, text: str = "text"
 ) -> DataFrame:
-    """Adds ``prompt`` from the slots {persona} and {text} of the template."""
-    before, _, rest = template.partition("{persona}")
-    middle, _, after = rest.partition("{text}")
-    prompt = F.concat(F.lit(before), persona_text(persona_columns), F.lit(middle), F.col(text), F.lit(after))
-    return tasks.withColumn("prompt", stripped(prompt))
+    """Adds ``prompt`` from the slots {persona} and {text} of the template, in any order and number.
+
+    A template without {text} is an error, one without {persona} asks everybody alike. A task without
+    a text has no prompt.
+    """
+    if "{text}" not in template:
+        raise ValueError("the template has no {text}")
+    slots = {"{persona}": persona_text(persona_columns), "{text}": F.col(text)}
+    parts = [slots[x] if x in slots else F.lit(x) for x in re.split(r"(\{persona\}|\{text\})", template) if x]
+    return tasks.withColumn("prompt", stripped(F.concat(*parts)))
 
 
 def validate_ratings(df: DataFrame, column: str, lo: int = 1, hi: int = 5, error: str | None = None) -> DataFrame:
@@ -85,21 +91,28 @@ def _replies(responder: Callable[[list[str]], list[str]], prompts: list[str]) ->
 
 def rate(
     df: DataFrame, responder: Callable[[list[str]], list[str]], concurrency: int, prompt: str = "prompt",
-    lo: int = 1, hi: int = 5,
+    lo: int = 1, hi: int = 5, keep: bool = True,
 ) -> DataFrame:
     """T4: asks the caller's model function for every prompt, at most ``concurrency`` batches at a time.
 
     Each task streams its prompts in Arrow batches; the function must be safe to ask twice, since a
-    lost executor's prompts are asked again.
+    lost executor's prompts are asked again. A row without a prompt is invalid and not asked.
+
+    The replies are kept in a reliable checkpoint, so later actions on the result ask nobody again;
+    ``keep=False`` leaves that to the caller.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("_error", T.StringType())])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = _replies(responder, batch[prompt].tolist())
+            there = batch[prompt].notna()
+            found = iter(_replies(responder, batch.loc[there, prompt].tolist()) if there.any() else [])
+            answers = [next(found) if x else (None, None) for x in there]
             yield batch.assign(reply=[a for a, _ in answers], _error=[e for _, e in answers])
 
     asked = df.repartition(concurrency).mapInPandas(ask, schema)
+    if keep:
+        asked = checkpointed(asked)
     return validate_ratings(asked, "reply", lo, hi, error="_error").drop("_error")
 
 

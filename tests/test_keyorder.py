@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import hashing
 from tallyframe.operators import keyorder as ko
-from tallyframe.operators.joins import join_by_key, keep_keys
+from tallyframe.operators.joins import fits_broadcast, join_by_key, keep_keys
 from tallyframe.operators.splits import group_split, side, train_val_split
 
 
@@ -162,7 +162,7 @@ def test_salted_join_equals_plain_join(spark, how):
     rows = spark.range(900).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id") % 50).alias("qid"), (F.col("id") % 4).alias("x"))
     table = spark.range(40).select(F.col("id").alias("qid"), (F.col("id") * 10).alias("v"))
     plain = rows.join(table, "qid", how)
-    salted = join_by_key(rows, table, "qid", how, max_rows=5, hot_parts=10, salts=4)
+    salted = join_by_key(rows, table, "qid", how, max_rows=5, hot_parts=10)
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.select(plain.columns).collect()), key=str)
     assert join_by_key(rows, table, "qid", how).count() == plain.count()
@@ -171,7 +171,7 @@ def test_salted_join_equals_plain_join(spark, how):
 def test_salted_join_survives_equal_rows_and_duplicates(spark):
     rows = spark.range(1000).select(F.lit(1).alias("qid"))
     table = spark.createDataFrame([(1, "a"), (1, "b")] + [(i, "c") for i in range(2, 20)], "qid long, v string")
-    assert join_by_key(rows, table, "qid", max_rows=5, hot_parts=10, salts=8).count() == 2000
+    assert join_by_key(rows, table, "qid", max_rows=5, hot_parts=10).count() == 2000
 
 
 def test_keep_keys(spark):
@@ -187,3 +187,11 @@ def test_draws(spark):
     assert abs(r[3]) < 0.03 and abs(r[4] - 1) < 0.03 and abs(r[5]) < 0.03 and abs(r[6] - 1) < 0.03
     with pytest.raises(ValueError):
         hashing.hash48(1, "id", fn="crc")
+
+
+def test_salts_follow_the_heat_and_null_keys_are_spread(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 500, 1).when(F.col("id") < 800, F.lit(None)).otherwise(F.col("id")).alias("qid"))
+    table = spark.range(900).select(F.col("id").alias("qid"), F.lit("v").alias("v"))
+    joined = join_by_key(rows, table, "qid", max_rows=5, hot_parts=20)
+    assert joined.count() == 1000 and joined.filter("v is null").count() == 400
+    assert not fits_broadcast(spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t")), max_bytes=5000)

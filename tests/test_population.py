@@ -99,3 +99,13 @@ def test_vectors(spark):
     got = pop.random_vectors(spark, 3, dim=5).collect()
     assert all(len(r["comment"]) == 5 and 0 < sum(r["comment"]) < 5 for r in got)
     assert len({tuple(r["comment"]) for r in got}) == 3
+
+
+def test_soft_shares_keep_their_fractions(spark):
+    df = spark.createDataFrame([(0.3, 0.7)] * 3 + [(0.2, 0.8)], "a double, b double")
+    rows = pop.marginals_from_one_hot(df, {"f": {"a": "a", "b": "b"}})
+    assert {r["value"]: round(r["p"], 6) for r in rows.collect()} == {"a": 0.275, "b": 0.725}
+    weights = {r["value"]: r["w"] for r in pop.draw_weights(rows).collect()}
+    assert abs(weights["a"] / sum(weights.values()) - 0.275) < 1e-9
+    cold = {r["value"]: r["w"] for r in pop.draw_weights(rows, temperature=0.001).collect()}
+    assert cold["a"] == 1 and cold["b"] > 1 << 39

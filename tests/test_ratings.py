@@ -73,3 +73,30 @@ def test_rules_run_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert sorted(r["llm_rating"] or 0 for r in spark.table("rated").collect()) == [0, 3]
+
+
+def test_slots_in_any_order(spark):
+    df = spark.createDataFrame([(1, "What?"), (2, None)], "qid long, text string")
+    got = {r["qid"]: r["prompt"] for r in ratings.build_prompts(df, None, "Q: {text} P: {persona} Q: {text}").collect()}
+    assert got == {1: "Q: What? P: general human Q: What?", 2: None}
+    assert ratings.build_prompts(df, ["qid"], "only {text}").first()["prompt"] == "only What?"
+    with pytest.raises(ValueError):
+        ratings.build_prompts(df, None, "no slot {persona}")
+
+
+def test_two_actions_ask_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def model(prompts):
+        import os
+        import uuid
+
+        for _ in prompts:
+            open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return ["4"] * len(prompts)
+
+    df = spark.createDataFrame([(i, None if i == 3 else f"p{i}") for i in range(10)], "qid long, prompt string")
+    rated = ratings.rate(df, model, 2)
+    assert rated.count() == 10 and rated.filter("llm_rating = 4").count() == 9
+    assert rated.filter("qid = 3").first()["validation_status"].startswith("INVALID")
+    assert len(list(tmp_path.iterdir())) == 9
