@@ -9,16 +9,18 @@ classes are compared.
    size class of the smaller set, and a set also deals itself as the next smaller class does. Empty
    parts are left out unless a set has more than e of them, so no link is lost and no part is common
    to all. Sets that share no signature need no look at each other.
-2. Groups. In every meeting place each class is checked against the smallest class there; those that
-   link form the groups of similar documents (components so far), in pieces of bounded size.
-3. Token-group matrix. For each piece the union of its members' shingles is stored. A class that met a
-   piece of another group counts its overlap with the union, which bounds its overlap with every
-   member; only a piece that reaches what a link needs is opened and its members are compared.
-4. Links join the groups to components.
-
-Step 2 is the same search with pieces of one member. Neither step lists the pairs within a group.
-Pieces with many queries are dealt to several tasks. A signature is 64 bits, as is a class; the chance
-that any two of n different classes share a number is n^2 / 2^65.
+2. Groups. The class that meets most others leads each meeting place. A class belongs to the family of
+   the leader that it meets most often, and is compared with that leader at once; these links give
+   the components so far. A family is cut into pieces of bounded size.
+3. Token-group matrix. For each piece the union of its members' shingles is stored, and which member has
+   which. A class that met a member of another, larger component in a family asks that family's pieces:
+   its overlap with the union bounds that with every member. Only a piece that reaches what a link
+   needs is opened, and the overlaps with its members are counted.
+4. Links join the components.
+
+Step 2 is the same search with pieces of one member. No step lists the pairs within a group. Pieces
+with many queries are dealt to several tasks. A signature is 64 bits, as is a class; the chance that
+any two of n different classes share a number is n^2 / 2^65.
 
 Defined cases: null or empty texts, and texts of white space, have no shingles and link with nothing;
 with fewer words than ``words`` the whole sequence is the one shingle; rows of equal keys are rows of
@@ -214,62 +216,64 @@ def needed(a: int, b: np.ndarray | int, num: int, den: int):
     return -(-num * (a + b) // (den + num))
 
 
-def common_count(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted sets without repeats."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
 class Piece:
-    """Members of a group, with the union of their shingles."""
-
-    def __init__(self, members: list[tuple[int, np.ndarray]]):
-        self.members = members
-        self.sizes = np.array([len(x) for _, x in members])
-        self.union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([x for _, x in members]))
-
-    def links(self, number: int, query: np.ndarray, num: int, den: int) -> list[int]:
+    """Members (number, order, shingles) of a group: the union of their shingles, and who has which."""
+
+    def __init__(self, members: list[tuple[int, tuple[int, int], np.ndarray]]):
+        self.numbers = np.array([x[0] for x in members], np.int64)
+        self.rank = np.array([x[1][0] for x in members], np.int64)
+        self.group = np.array([x[1][1] for x in members], np.int64)
+        self.sizes = np.array([len(x[2]) for x in members])
+        joint = np.concatenate([x[2] for x in members])
+        self.union = np.unique(joint) if len(members) > 1 else joint
+        self.place = np.searchsorted(self.union, joint)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def links(self, order: tuple[int, int], query: np.ndarray, num: int, den: int) -> list[int]:
+        """Members of a higher order that link with the query."""
         size = len(query)
-        fits = np.flatnonzero((self.sizes * den >= size * num) & (size * den >= self.sizes * num))
-        if not len(fits):
+        able = (self.sizes * den >= size * num) & (size * den >= self.sizes * num)
+        able &= (self.rank > order[0]) | (self.rank == order[0]) & (self.group > order[1])
+        if not able.any():
             return []
-        if common_count(query, self.union) < needed(size, int(self.sizes[fits].min()), num, den):
+        at = np.searchsorted(self.union, query)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == query]
+        if len(at) < needed(size, int(self.sizes[able].min()), num, den):
             return []  # no member can have enough in common
-        return [
-            self.members[k][0]
-            for k in fits
-            if self.members[k][0] != number and common_count(query, self.members[k][1]) >= needed(size, int(self.sizes[k]), num, den)
-        ]
+        has = np.zeros(len(self.union), bool)
+        has[at] = True
+        common = np.add.reduceat(has[self.place], self.begin, dtype=np.int64)
+        return self.numbers[able & (common >= needed(size, self.sizes, num, den))].tolist()
 
 
 def search(sets: DataFrame, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between queries (piece, class) and members (piece, class) of the same piece.
+    """Links (a, b) between queries and members (piece, class, rank, group) of the same piece.
 
-    A piece goes, with all its members, to as many tasks as its queries fill; a task holds one piece.
+    A query looks for members of a higher (rank, group) than its own. A piece goes, with all its
+    members, to as many tasks as its queries fill; a task holds one piece at a time.
     """
     spark = sets.sparkSession
-    tasks = queries.groupBy("piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks"))
-    asked = queries.join(_small(tasks), "piece").select("class", "piece", F.pmod(F.xxhash64("class"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"))
-    held = members.join(_small(tasks), "piece").select("class", "piece", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"))
+    tasks = c.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks")))
+    columns = ["class", "piece", "rank", "group"]
+    asked = queries.join(_small(tasks), "piece").select(*columns, F.pmod(F.xxhash64("class"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"))
+    held = members.join(_small(tasks), "piece").select(*columns, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"))
     rows = sets.join(_small(c.written(asked.unionByName(held))), "class")
-    rows = rows.select("piece", "task", "kind", "class", "shingles").repartition(c.partitions(spark), "piece", "task")
+    rows = rows.select("piece", "task", "kind", "class", "rank", "group", "shingles").repartition(c.partitions(spark), "piece", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members, piece = None, {}, None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for p, t, kind, number, data in zip(*(x.to_pylist() for x in batch.columns)):
+            for p, t, kind, number, rank, group, data in zip(*(x.to_pylist() for x in batch.columns)):
                 if (p, t) != at:
                     at, members, piece = (p, t), {}, None
                 one = np.frombuffer(data, np.uint64)
                 if kind == 0:
-                    members[number] = one
+                    members[number] = (number, (rank, group), one)
                 elif members:
-                    piece = piece or Piece(list(members.items()))
-                    found += [(max(number, x), min(number, x)) for x in piece.links(number, one, num, den)]
+                    piece = piece or Piece(list(members.values()))
+                    found += [(max(number, x), min(number, x)) for x in piece.links((rank, group), one, num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     return rows.sortWithinPartitions("piece", "task", "kind").mapInArrow(run, "a long, b long").distinct()
@@ -302,25 +306,41 @@ def class_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     dealt = _signature_table(docs, words, num, den)
     same = Window.partitionBy("signature")
     met = dealt.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same))
-    met = c.written(met.filter("low < high").select("signature", "class", "low").distinct())
-    sets = c.written(_sets_of(docs, met.select("class").distinct(), words))
-    # groups: each class with the smallest that it met
-    stars = c.written(met.groupBy("class").agg(F.min("low").alias("piece")))
-    first = c.written(search(sets, stars.filter("class <> piece"), stars.select("piece", F.col("piece").alias("class")).distinct(), num, den))
-    groups = components(first)
-    groups = c.written(stars.select("class").join(groups.withColumnRenamed("a", "class"), "class", "left").select("class", F.coalesce("b", "class").alias("group")))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    piece = F.xxhash64("group", F.pmod(F.xxhash64(F.lit(5), "class"), F.ceil(F.col("size") / PIECE)))
-    pieces = c.written(groups.join(_small(sizes), "group").select("class", "group", "size", piece.alias("piece")))
-    # meeting places of several groups: a class of the smaller group asks the pieces of the larger
-    several = met.select("signature", "class").join(_small(pieces), "class")
-    spread = several.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature")
-    several = c.written(several.join(_small(c.written(spread)), "signature"))
-    there = several.select("signature", F.col("group").alias("other"), F.col("size").alias("other_size"), "piece").distinct()
-    smaller = F.struct("size", "group") < F.struct("other_size", "other")
-    asked = several.drop("piece").join(there, "signature").filter(smaller).select("class", "piece").distinct()
-    asked = c.written(asked)
-    members = pieces.select("piece", "class").join(_small(asked.select("piece").distinct()), "piece")
+    met = c.written(met.filter("low < high").select("signature", "class").distinct())
+    # families: the leader of a place is the class that meets most others, here and elsewhere
+    places = c.written(met.groupBy("signature").agg(F.count("*").alias("n")))
+    weight = met.join(places, "signature").groupBy("class").agg(F.sum("n").alias("weight"))
+    weighed = met.join(_small(c.written(weight)), "class")
+    leads = weighed.groupBy("signature").agg(F.max(F.struct("weight", "class")).alias("top"))
+    pairs = met.join(leads.select("signature", F.col("top.class").alias("leader")), "signature").groupBy("class", "leader").agg(F.count("*").alias("n"))
+    best = F.max(F.when(F.col("class") != F.col("leader"), F.struct("n", "leader"))).alias("best")
+    family = F.coalesce("best.leader", "class").alias("family")
+    families = c.written(pairs.groupBy("class").agg(best).select("class", family))
+    sets = c.written(_sets_of(docs, families.select("class"), words))
+    # every class with its leader
+    zero = F.lit(0).cast("long")
+    asked = families.filter("class <> family").select("class", F.col("family").alias("piece"), zero.alias("rank"), zero.alias("group"))
+    leaders = asked.select("piece").distinct().select("piece", F.col("piece").alias("class"), F.lit(1).cast("long").alias("rank"), zero.alias("group"))
+    first = c.written(search(sets, asked, leaders, num, den))
+    groups = components(first).withColumnRenamed("a", "class")
+    groups = families.join(groups, "class", "left").select("class", "family", F.coalesce("b", "class").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("rank"))
+    groups = c.written(groups.join(sizes, "group"))
+    pieces = groups.groupBy("family").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    # who met a member of a higher component in a family asks all pieces of that family
+    several = met.join(_small(groups), "class")
+    several = several.join(
+        _small(c.written(several.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature"))),
+        "signature",
+    )
+    several = c.written(several)
+    there = several.groupBy("signature", F.col("family").alias("other")).agg(F.max(F.struct("rank", "group")).alias("top"))
+    asked = several.join(there, "signature").filter(F.struct("rank", "group") < F.col("top")).select("class", "rank", "group", F.col("other").alias("family")).distinct()
+    number = lambda n: F.xxhash64("family", n)
+    asked = asked.join(_small(pieces), "family").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    asked = c.written(asked.select("class", "rank", "group", number(F.col("n")).alias("piece")))
+    members = groups.join(_small(pieces), "family").withColumn("n", F.pmod(F.xxhash64(F.lit(5), "class"), F.col("pieces")))
+    members = members.select("class", "rank", "group", number(F.col("n")).alias("piece"))
     return first.unionByName(c.written(search(sets, asked, members, num, den)))
 
 

@@ -127,10 +127,12 @@ def test_linked_sets_share_a_signature():
 
 
 def test_pieces_open_only_when_the_union_allows():
-    members = [(1, np.arange(0, 100, dtype=np.uint64)), (2, np.arange(50, 150, dtype=np.uint64))]
+    members = [(1, (3, 7), np.arange(0, 100, dtype=np.uint64)), (2, (1, 8), np.arange(50, 150, dtype=np.uint64))]
     piece = jj.Piece(members)
-    assert piece.links(9, np.arange(0, 98, dtype=np.uint64), 85, 100) == [1]
-    assert piece.links(9, np.arange(1000, 1100, dtype=np.uint64), 85, 100) == [] and piece.links(9, np.arange(0, 5, dtype=np.uint64), 85, 100) == []
+    assert piece.links((1, 9), np.arange(0, 98, dtype=np.uint64), 85, 100) == [1]
+    assert piece.links((3, 7), np.arange(0, 98, dtype=np.uint64), 85, 100) == []  # not of a higher order
+    assert piece.links((1, 9), np.arange(1000, 1100, dtype=np.uint64), 85, 100) == [] and piece.links((0, 0), np.arange(0, 5, dtype=np.uint64), 85, 100) == []
+    assert piece.links((0, 0), np.arange(20, 120, dtype=np.uint64), 50, 100) == [1, 2]
 
 
 def test_components(spark):
