@@ -14,6 +14,7 @@ from tallyframe.functions import columns as fc, hashing
 from tallyframe.operators import (
     coverage, joins, keyorder, population, ratings, reduction, responses as rs, scoring, splits, summary,
 )
+from tallyframe.plans.answer import answer_tasks
 from tallyframe.plans import prepare as pp, simulate as sim, sql, tables as tb, training
 from tallyframe.sources import tables as sources
 from tallyframe.plans.tables import FEATURES, HASH, SEED
@@ -820,6 +821,36 @@ def rating_summary(spark, d):
     return ratings.rating_summary(_rated(spark, d))
 
 
+_TASK_PERSONA = f"""with mg as (select distinct 'o_orderstatus' as feature, o_orderstatus as value from orders
+      union select distinct 'o_orderpriority', o_orderpriority from orders),
+    {_draw_ctes('1')}, ids as (select doc_id as qid from documents),
+    who as (select qid, o_orderstatus, o_orderpriority from {_drawn('ids', 'qid', 'o_orderstatus')}
+            join {_drawn('ids', 'qid', 'o_orderpriority')} using (qid))"""
+_WHO = "'O_orderstatus: ' || o_orderstatus || ' | O_orderpriority: ' || o_orderpriority"
+_ASKED = f"select qid, 'Difficulty: ' || (length({_prompt_sql(_WHO)}) % 7) as reply from who join documents on doc_id = qid"
+
+
+def _answered(spark: SparkSession, d: str, **options) -> DataFrame:
+    docs = tb.table(spark, d, "documents").select(F.col("doc_id").alias("qid"), "text")
+    return answer_tasks(docs, length_responder, seed=SEED, hash_fn=HASH, **options).select("qid", "reply", "llm_rating", "validation_status")
+
+
+@register(f"{_TASK_PERSONA} select qid, reply, llm_rating, validation_status from ({_validated_sql(_ASKED)})")
+def answer_tasks_personas(spark, d):
+    return _answered(spark, d, attributes=tb.table(spark, d, "orders"), columns=["o_orderstatus", "o_orderpriority"])
+
+
+@register(f"""select qid, reply, llm_rating, validation_status from ({_validated_sql(
+    "select doc_id as qid, 'Difficulty: ' || (length(" + _prompt_sql(_quoted('general human')) + ") % 7) as reply from documents")})""")
+def answer_tasks_general(spark, d):
+    return _answered(spark, d, multi_persona=False)
+
+
+@register("select doc_id as qid, 'Q: ' || text || ' P: Lang: ' || lang || ' | Source: ' || source || '.' as prompt from documents")
+def prompts_text_first(spark, d):
+    return ratings.build_prompts(_documents(spark, d), ["lang", "source"], "Q: {text} P: {persona}.").select("qid", "prompt")
+
+
 # --- scoring ---------------------------------------------------------------------------------------
 
 
