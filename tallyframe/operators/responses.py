@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.config import ResponseConfig
 from tallyframe.constants import BASELINE, DEFAULT_SCORE_MAX, DEFAULT_SCORE_MIN, EMBEDDING, QID, REFERENCE, SCORE, UID
-from tallyframe.functions.columns import category_text, fill_zero, missing_as_null, ratings_to_array, zeros
+from tallyframe.functions.columns import category_text, fill_zero, missing_as_null, parse_embedding, ratings_to_array, zeros
 from tallyframe.operators.joins import MAX_BROADCAST_ROWS, join_by_key
 from tallyframe.operators.keyorder import rank_sorted
 
@@ -44,6 +46,24 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[missing(f) for f in df.schema.fields]).unpivot([], df.columns, "column", "n_missing")
 
 
+def vector_report(df: DataFrame, column: str | None, keys: tuple[str, ...] = (QID, UID)) -> DataFrame:
+    """One row of counts: rows, rows without a key, missing vectors, vectors that cannot be read
+    (no list, or a null in it), and the shortest and longest length of the others."""
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).alias("n_without_key")]
+    if column is None:
+        return df.agg(*counts)
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    read = parse_embedding(column) if text else F.when(~F.exists(column, lambda x: x.isNull()), F.col(column))
+    length = F.when(F.col("_v").isNotNull(), F.size("_v"))
+    return df.withColumn("_v", read).agg(
+        *counts,
+        F.count_if(F.col(column).isNull()).alias("n_missing"),
+        F.count_if(F.col(column).isNotNull() & F.col("_v").isNull()).alias("n_unreadable"),
+        F.min(length).alias("shortest"),
+        F.max(length).alias("longest"),
+    )
+
+
 def profile_frame(df: DataFrame, rows: int = 3) -> DataFrame:
     """A few rows to look at."""
     return df.limit(rows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -279,6 +280,45 @@ def prepare(spark, d):
     )
 
 
+_SPARSE_CONFIG = ResponseConfig(
+    qid_col="qid", uid_col="uid", human_score_col="human_score", embedding_col="vector_text", text_col="l_shipdate",
+    categorical_features=("l_returnflag", "l_orderkey"), baseline_prefix="r", num_baseline_ratings=3, test_size=0.2, seed=SEED,
+)
+
+
+@register(f"""with {R}, k as ({sql.ranks('r', 'qid', SEED)}),
+    v as (select position, value, row_number() over (order by position, value) - 1 as idx from (
+      select distinct 0 as position, l_returnflag as value from r union select distinct 1, l_orderkey::varchar from r))
+    select r.qid, uid, l_linenumber, a.idx::bigint as first_place, b.idx::bigint as second_place, {_VECTOR_SUM} as vector_sum,
+      case when rk <= ceil(0.2::double * n) then 'test' else 'train' end as split
+    from r join k on r.qid = k.qid join v a on a.position = 0 and a.value = l_returnflag
+      join v b on b.position = 1 and b.value = l_orderkey::varchar""")
+def prepare_sparse(spark, d):
+    """A feature of far more categories than there could be columns."""
+    config = replace(_SPARSE_CONFIG, uid_col="who")
+    raw = raw_answers(spark, d).withColumn("who", F.struct("uid", "l_linenumber")).drop("uid")  # keeps the row's number
+    out = pp.prepare(raw, tb.task_reference(spark, d), tb.task_baseline(spark, d), config, hash_fn=HASH, encoding="sparse")
+    return out.table.select(
+        "qid", F.col("uid.uid").alias("uid"), F.col("uid.l_linenumber").alias("l_linenumber"),
+        F.col("context_idx")[0].alias("first_place"), F.col("context_idx")[1].alias("second_place"),
+        _vector_sum("task_embedding").alias("vector_sum"), "split",
+    )
+
+
+@register("""with v as (select *, case when event_type = 'click' then null when event_type = 'view' then props
+        when user_id % 3 = 0 then '(' || user_id || ', 2)' else '[1, ' || user_id || ', 3.5]' end as t from events)
+    select count(*) as n_rows, count(*) filter (where user_id is null or event_id is null) as n_without_key,
+      count(*) filter (where t is null) as n_missing, count(*) filter (where event_type = 'view' and t is not null) as n_unreadable,
+      min(case when event_type not in ('click', 'view') then case when user_id % 3 = 0 then 2 else 3 end end)::int as shortest,
+      max(case when event_type not in ('click', 'view') then case when user_id % 3 = 0 then 2 else 3 end end)::int as longest
+    from v""")
+def vector_report(spark, d):
+    text = F.when(F.col("event_type") == "click", None).when(F.col("event_type") == "view", F.col("props")).when(
+        F.col("user_id") % 3 == 0, F.concat(F.lit("("), "user_id", F.lit(", 2)"))
+    ).otherwise(F.concat(F.lit("[1, "), "user_id", F.lit(", 3.5]")))
+    return rs.vector_report(tb.table(spark, d, "events").withColumn("t", text), "t", ("user_id", "event_id"))
+
+
 @register("""select vec_id, len(embedding)::int as dim, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total
     from embeddings""")
 def parse_embedding(spark, d):
@@ -379,14 +419,14 @@ _ROW_HASH = sql.h(SEED, "qid", "uid", "l_orderkey", "l_linenumber", "cp")
 _ROW_ORDER = f"{_ROW_HASH}, qid, uid, l_orderkey, l_linenumber, cp"
 
 
-def _fixed_sql(mode: str, rows: str, order: str) -> str:
+def _fixed_sql(mode: str, rows: str, order: str, step: int = 1, least: int = 1) -> str:
     group, entity = ("qid", "uid") if mode == "responses_per_task" else ("uid", "qid")
     return f"""with {rows},
     g as (select {group} as g, count(distinct {entity}) as dd from a group by 1),
     x as (select a.qid, a.uid, row_number() over (partition by {group} order by {order}) as rk, dd
           from a join g on a.{group} = g.g),
-    l as (select unnest(range(0, greatest((select min(dd) from g) - 1, 0) + 1)) as remove),
-    s as (select remove, {sql.COVERAGE} from x, l where rk <= greatest(dd - remove, 1) group by remove),
+    l as (select unnest(range(0, greatest((select min(dd) from g) - {least}, 0) + 1, {step})) as remove),
+    s as (select remove, {sql.COVERAGE} from x, l where rk <= greatest(dd - remove, {least}) group by remove),
     t as (select count(distinct qid) as q, count(distinct uid) as u from a)
     select '{mode}' as mode, s.* from s, t
     where remove < coalesce((select min(remove) from s, t where n_qid < q or n_uid < u), 1000000)"""
@@ -407,6 +447,13 @@ def fixed_entity_tasks_per_worker(spark, d):
     ).stats
 
 
+@register(_fixed_sql("responses_per_task", f"{R}, {_COPIES}", _ROW_ORDER, 2, 2))
+def fixed_entity_steps(spark, d):
+    return reduction.fixed_entity_ablation(
+        tb.answer_rows(spark, d), "responses_per_task", step=2, min_keep=2, seed=SEED, hash_fn=HASH
+    ).stats
+
+
 def _key_scenario_sql(key: str, name: str, counts: list[int]) -> str:
     return f"""with {R}, k as ({sql.ranks('r', key, SEED)}),
     l as (select i, {counts}[i] as c from (select unnest(range(1, {len(counts) + 1})) as i)),
