@@ -258,11 +258,13 @@ def raw_answers(spark: SparkSession, d: str) -> DataFrame:
     return tb.responses(spark, d).withColumn("vector_text", F.to_json(F.array("human_score", "l_discount", "l_tax")))
 
 
-_VECTOR_SUM = "round(l_quantity::float::double + l_discount::float::double + l_tax::float::double, 4)"
+# Cells are weighed by their places, so that a vector in another order gives another number.
+_VECTOR_SUM = "round(l_quantity::float::double + 2 * l_discount::float::double + 3 * l_tax::float::double, 4)"
 
 
 def _vector_sum(column: str):
-    return F.round(F.aggregate(column, F.lit(0.0), lambda s, x: s + x), 4)
+    weighed = F.transform(column, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x), 4)
 
 
 @register(f"""with {R}, k as ({sql.ranks('r', 'qid', SEED)})
@@ -319,7 +321,7 @@ def vector_report(spark, d):
     return rs.vector_report(tb.table(spark, d, "events").withColumn("t", text), "t", ("user_id", "event_id"))
 
 
-@register("""select vec_id, len(embedding)::int as dim, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total
+@register("""select vec_id, len(embedding)::int as dim, round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 4) as total
     from embeddings""")
 def parse_embedding(spark, d):
     text = tb.table(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("text"))
@@ -328,22 +330,22 @@ def parse_embedding(spark, d):
     )
 
 
-@register("""select vec_id, list_sum(list_transform(embedding, lambda x: trunc(x::double * 10)::bigint))::bigint as total
+@register("""select vec_id, list_sum(list_transform(embedding, lambda x, i: trunc(x::double * 10)::bigint * i))::bigint as total
     from embeddings""")
 def long_array(spark, d):
     df = tb.table(spark, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double") * 10))
     return df.select("vec_id", fc.as_long_array(df, "v").alias("v")).select(
-        "vec_id", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total")
+        "vec_id", F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total")
     )
 
 
-@register("select p_partkey as qid, round(p_size::float::double + p_retailprice::float::double, 3) as total from part")
+@register("select p_partkey as qid, round(p_size::float::double + 2 * p_retailprice::float::double, 3) as total from part")
 def float_array(spark, d):
     df = tb.table(spark, d, "part").select(
         F.col("p_partkey").alias("qid"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v")
     )
     v = fc.as_float_array(df, "v")
-    return df.select("qid", F.round(v[0].cast("double") + v[1].cast("double"), 3).alias("total"))
+    return df.select("qid", F.round(v[0].cast("double") + 2 * v[1].cast("double"), 3).alias("total"))
 
 
 _WORDS = "select conv_id, turn, len(string_split(text, ' '))::int as dim from conversations"
@@ -783,7 +785,7 @@ def random_preferences(spark, d):
     return population.random_preferences(spark, _customers(spark, d), SEED, hash_fn=HASH)
 
 
-@register(f"""select s_suppkey as uid, count(*)::int as dim, round(sum({sql.u(SEED, 's_suppkey', 'j')}::float::double), 4) as total
+@register(f"""select s_suppkey as uid, count(*)::int as dim, round(sum({sql.u(SEED, 's_suppkey', 'j')}::float::double * (j + 1)), 4) as total
     from supplier, (select unnest(range({RANDOM_VECTOR_SIZE})) as j) group by s_suppkey""")
 def random_vectors(spark, d):
     vectors = population.random_vectors(spark, tb.worker_ids(spark, d), seed=SEED, hash_fn=HASH)
@@ -1043,7 +1045,7 @@ def simulate(spark, d):
 # --- training rows and batches ---------------------------------------------------------------------
 
 
-@register(f"""with {R} select qid, uid, l_returnflag_A, l_linestatus_O, vector_sum, human_score, yref_llm from (
+@register(f"""with {R} select qid, uid, l_returnflag_A, l_returnflag_N, l_returnflag_R, l_linestatus_F, l_linestatus_O, vector_sum, human_score, yref_llm from (
     select qid, uid, {_ONE_HOT_SQL}, {_VECTOR_SUM} as vector_sum, human_score, coalesce(quality, 0)::double as yref_llm
     from r left join labels on qid = doc_id)""")
 def training_rows(spark, d):
@@ -1051,12 +1053,42 @@ def training_rows(spark, d):
     rows = rs.attach_reference(coded.withColumnRenamed("vector_text", "task_embedding"), tb.task_reference(spark, d))
     out = training.training_rows(rows, names, "parsed")
     return out.select(
-        "qid", "uid", F.col("context")[0].alias("l_returnflag_A"), F.col("context")[4].alias("l_linestatus_O"),
+        "qid", "uid", *[F.col("context")[i].alias(n) for i, n in enumerate(names)],
         _vector_sum("task_embedding").alias("vector_sum"), F.col("human_score").cast("double").alias("human_score"),
         F.col("yref_llm").cast("double").alias("yref_llm"),
     )
 
 
+@register(f"""with {R} select qid, uid, l_returnflag_A, l_returnflag_N, l_returnflag_R, l_linestatus_F, l_linestatus_O,
+      vector_sum, human_score, yref_llm, b1, b2, b3 from (
+    select qid, uid, {_ONE_HOT_SQL}, {_VECTOR_SUM} as vector_sum, human_score, coalesce(quality, 0)::double as yref_llm,
+      coalesce(p_size, 0)::float::double as b1, round(coalesce(p_retailprice, 0)::float::double, 3) as b2, 0.0::double as b3
+    from r left join labels on qid = doc_id left join part on qid = p_partkey)""")
+def training_rows_full(spark, d):
+    out = pp.prepare(raw_answers(spark, d), tb.task_reference(spark, d), tb.task_baseline(spark, d), PREPARE_CONFIG, hash_fn=HASH)
+    rows = training.training_rows(out.table, out.features)
+    return rows.select(
+        "qid", "uid", *[F.col("context")[i].alias(n) for i, n in enumerate(out.features)],
+        _vector_sum("task_embedding").alias("vector_sum"), F.col("human_score").cast("double").alias("human_score"),
+        F.col("yref_llm").cast("double").alias("yref_llm"), *_elements("baseline_llm_ratings_dist", 3),
+    )
+
+
+@register("""select vec_id as qid, label as uid, round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 4) as context_sum,
+      round(embedding[1]::double * 1 + embedding[2]::double * 2, 4) as vector_sum, label::double as human_score, 2.5::double as yref_llm
+    from embeddings""")
+def training_rows_vector_context(spark, d):
+    df = tb.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("qid"), F.col("label").alias("uid"), F.col("embedding").alias("comment"),
+        F.slice("embedding", 1, 2).alias("task_embedding"), F.col("label").alias("human_score"), F.lit(2.5).alias("yref_llm"),
+    )
+    rows = training.training_rows(df, [], "vector_context")
+    return rows.select(
+        "qid", "uid", _vector_sum("context").alias("context_sum"), _vector_sum("task_embedding").alias("vector_sum"),
+        F.col("human_score").cast("double").alias("human_score"), F.col("yref_llm").cast("double").alias("yref_llm"),
+    )
+
+
 def _batch_sql(source: str, key: str, order: str) -> str:
     return f"""select {key}, ((rk - 1) // 64)::bigint as batch_id, ((rk - 1) % 64)::int as pos
     from (select {key}, row_number() over (order by {order}) as rk from {source})"""
