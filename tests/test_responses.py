@@ -21,7 +21,7 @@ RAW = "question_id long, worker_id long, rating double, embedding string, text s
 def raw(spark):
     rows = [
         (1, 10, 4.0, "[0.1, 0.2]", "a", "f", True), (1, 11, 2.0, "[0.1, 0.2]", "a", None, False),
-        (2, 10, 3.0, "[1, 2.5]", "b", "f", True), (3, 12, 5.0, "(1,2)", "c", "m", None),
+        (2, 10, 3.0, "[1, 2.5]", "b", "f", True), (3, 12, 5.0, "1,2", "c", "m", None),
     ]
     return spark.createDataFrame(rows, RAW)
 
@@ -55,9 +55,27 @@ def test_one_hot_sparse_has_no_limit(spark):
 
 
 def test_parse_embedding(spark):
-    df = spark.createDataFrame([("[1, 2.5, -3e-2]",), ("(1,2)",), ("[1,None]",), ("[1,null]",), (None,)], "t string")
+    df = spark.createDataFrame([("[1, 2.5, -3e-2]",), ("1,2",), ("[1,None]",), ("[1,null]",), (None,)], "t string")
     got = [r[0] for r in df.select(fc.parse_embedding("t")).collect()]
     assert [round(x, 4) for x in got[0]] == [1.0, 2.5, -0.03] and got[1:] == [None] * 4
+    round_ones = spark.createDataFrame([("(1, 2)",), (" ( 3,) ",), ("(1, 2",), ("(a)",)], "t string")  # brackets of both kinds are read
+    assert [r[0] for r in round_ones.select(fc.parse_embedding("t")).collect()] == [[1.0, 2.0], [3.0], None, None]
+
+
+def test_vector_report(spark, raw):
+    row = rs.vector_report(rs.canonicalize(raw, CFG), "task_embedding").first()
+    assert row["n_unreadable"] == 1 and row["n_without_key"] == 0 and (row["shortest"], row["longest"]) == (2, 2)
+    assert prepare(raw, *(spark.createDataFrame([], t) for t in ("question_id long, llm_score double", "question_id long, r1 double")), CFG).report.first() == row
+
+
+def test_split_rejects_missing_keys(spark):
+    from tallyframe.operators.splits import group_split, train_val_split
+
+    rows = spark.createDataFrame([(i if i else None, 1) for i in range(12)], "qid long, uid long")
+    with pytest.raises(ValueError, match="qid is missing"):
+        group_split(rows, "qid", 0.2)
+    with pytest.raises(ValueError, match="qid is missing"):
+        train_val_split(rows, 0.2)
 
 
 def test_vector_casts(spark):
