@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, with the ids of each."""
-    return packing.packed(docs, q.WORD_TOKENIZER, end_id=1)
+    return packing.packed(docs, q.WORD_TOKENIZER, end_id=1, added=True)
 
 
 STAGES = [

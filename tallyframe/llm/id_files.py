@@ -35,7 +35,7 @@ BLOCK = 4_096
 #: Payload after which a range goes on in a further file; bounds the memory of writer and reader.
 FILE_BYTES = 32 << 20
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[tuple[str, bool], Pieces] = {}
 
 
 def width(vocabulary: int) -> int:
@@ -105,13 +105,13 @@ class _File:
         return path.rpartition("/")[2]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 4) -> DataFrame:
-    """(key, ids): ids of every whole text and the end id, little-endian, ``id_bytes`` bytes each."""
+def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", id_bytes: int = 4, added: bool = False) -> DataFrame:
+    """(key, ids): ids of every whole text and the end id, little-endian, ``id_bytes`` bytes each; ``added`` as in ``tokenizer_pieces``."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "text"):
-            pieces = _LOADED.get(path) or _LOADED.setdefault(path, tokenizer_pieces(path))
+            pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
             flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
             narrow = flat.view(np.uint8).reshape(-1, 4)
             if narrow[:, id_bytes:].any():

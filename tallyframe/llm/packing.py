@@ -24,7 +24,7 @@ from .pieces import Pieces, tokenizer_pieces, with_end
 #: Parts of a bucket within which pieces are ranked: no task gets a whole bucket.
 CELLS = 4_096
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[tuple[str, bool], Pieces] = {}
 
 
 def piece_lengths(tokens: int, longest: int) -> list[int]:
@@ -33,8 +33,8 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * (tokens // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces: key, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens."""
+def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
+    """Pieces: key, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens; ``added`` as in ``tokenizer_pieces``."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
     kind = docs.schema[key].dataType
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "__text"):
-            pieces = _LOADED.get(path) or _LOADED.setdefault(path, tokenizer_pieces(path))
+            pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
             parents, starts, lengths, ids, crcs, totals = [], [], [], [], [], []
             flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
             joint = memoryview(flat.tobytes())
@@ -80,6 +80,6 @@ def bucketed(pieces: DataFrame, key: str = "doc_id", cells: int = CELLS) -> Data
     return placed.withColumn("sequence_id", F.col("bucket_rank") * 64 + bits).withColumn("offset", F.lit(0).cast("long"))
 
 
-def packed(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Pieces with their sequences; drop ``ids`` where they are not wanted, they are then not shuffled."""
-    return bucketed(cut(docs, path, end_id, longest, key, text), key)
+    return bucketed(cut(docs, path, end_id, longest, key, text, added), key)

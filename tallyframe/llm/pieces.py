@@ -5,11 +5,15 @@ between an ASCII letter and ASCII punctuation. There byte-level vocabularies sta
 pattern, and word vocabularies a word or a sign, so the ids of a text are the ids of its pieces in
 turn. The pieces of a batch are found with numpy and folded to distinct ones by Arrow; of those most
 recur, and are looked up.
+
+Where the strings of added tokens count, each is a piece of its own, and what lies between them is cut
+as if it were a text, which is what the library does.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -44,10 +48,15 @@ def starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of whole texts. ``encode`` gives the ids of some pieces as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts. ``encode`` gives the ids of some pieces as little-endian unsigned 32-bit integers.
+
+    ``apart`` are strings that are pieces of their own wherever they stand; of several at one place the longest.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], white_space: bool = True):
+    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], white_space: bool = True, apart: Iterable[bytes] = ()):
         self._encode, self._cut = encode, white_space
+        self._apart = sorted(apart, key=len, reverse=True)
+        self._any = re.compile(b"|".join(map(re.escape, self._apart)))
         self._memo: dict[bytes, bytes] = {}
         self._before: dict[bytes, bytes] = {}
 
@@ -69,6 +78,17 @@ class Pieces:
                 memo[pieces[k]] = ids
         return found
 
+    def _set_apart(self, begin: np.ndarray, texts: list[bytes], bounds: np.ndarray) -> np.ndarray:
+        """Where pieces begin when every string of ``apart`` is one, and none is cut within."""
+        spans = [(a + x.start(), a + x.end()) for text, a in zip(texts, bounds[:-1].tolist()) for x in self._any.finditer(text)]
+        if not spans:  # the strings stood across the ends of texts only
+            return begin
+        first, last = np.array(spans, np.int64).T
+        span = np.searchsorted(first, begin, "right") - 1
+        outside = (span < 0) | (begin >= last[span])
+        joint = np.unique(np.concatenate([begin[outside], first, last]))
+        return joint[joint < bounds[-1]]
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text begin and the last end."""
         joint = b"".join(texts)
@@ -78,6 +98,8 @@ class Pieces:
         data = np.frombuffer(joint, np.uint8)
         filled = bounds[:-1][np.diff(bounds) > 0]
         begin = starts(data, filled) if self._cut else filled
+        if any(x in joint for x in self._apart):
+            begin = self._set_apart(begin, texts, bounds)
         ends = np.append(begin, len(data))
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(joint)])
         folded = pieces.dictionary_encode()
@@ -92,20 +114,27 @@ class Pieces:
         return flat, np.concatenate([[0], after])[np.searchsorted(begin, bounds)]
 
 
-def tokenizer_pieces(path: str) -> Pieces:
-    """Pieces of a vocabulary file of the tokenizers library; strings of special tokens are ordinary text."""
+def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
+    """Pieces of a vocabulary file of the tokenizers library.
+
+    With ``added`` the strings of added tokens give their ids, as the library does when it is loaded;
+    without, those of special tokens are ordinary text. Added tokens that look at what stands around
+    them, or at normalized text, leave texts uncut.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
+    tokens = tokenizer.get_added_tokens_decoder().values() if added else ()
+    plain = not any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in tokens)
 
     def encode(pieces: list[bytes]) -> Iterable[bytes]:
         texts = [x.decode("utf-8", "replace") for x in pieces]
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return (array("I", x.ids).tobytes() for x in found)
 
-    return Pieces(encode)
+    return Pieces(encode, plain, [x.content.encode() for x in tokens] if plain else ())
 
 
 def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

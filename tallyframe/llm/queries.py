@@ -70,7 +70,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
+    pieces = packing.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1, added=True)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket_rank"]
     return pieces.select(*columns).withColumn("length", F.col("length").cast("long"))
 
@@ -80,7 +80,7 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = c.shared_folder(spark)
     splits = c.range_splits(docs, "doc_id", c.partitions(spark))
     id_bytes = (id_files.width(BYTE_VOCABULARY) + 7) // 8
-    ids = id_files.encoded(docs, BYTE_TOKENIZER, end_id=0, id_bytes=id_bytes)
+    ids = id_files.encoded(docs, BYTE_TOKENIZER, end_id=0, id_bytes=id_bytes, added=True)
     id_files.write(ids, folder, BYTE_VOCABULARY, splits, id_bytes)
     return id_files.read(spark, folder).select(
         F.col("key").alias("doc_id"),

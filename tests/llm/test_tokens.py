@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tallyframe.llm import byte_bpe, common as c, id_files, packing, pieces, queries as q
 
 DOCS = [
@@ -158,3 +159,43 @@ def test_queries_against_the_libraries(spark, sf):
     for r in parts:
         ids = np.array([*tokens[r["doc_id"]], 1], "<u4")
         assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+ADDED = [
+    "hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "a<|startoftext|>b", "<|endoftext", "|><|endoftext|>'s <|ENDOFTEXT|>",
+    " <|endoftext|>  x", "<|", "endoftext|>", "", "é<|endoftext|>é",
+]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_give_their_ids(texts, name):
+    rnd = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", " ", "\n", "a", "'s", "é", "<", "1", "\x85"]
+    rows = ADDED + texts + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 30))) for _ in range(300)]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [x.ids for x in library.encode_batch(rows, add_special_tokens=False)]
+    held = pieces.tokenizer_pieces(public_tokenizers.path(name), added=True)
+    for _ in range(2):
+        flat, ends = held([t.encode() for t in rows])
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+    flat, ends = held([b"<|endof", b"text|>"])  # not across texts
+    assert flat.tolist() == [i for t in ("<|endof", "text|>") for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_queries_keep_added_tokens(spark, tmp_path):
+    rows = list(enumerate(ADDED))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    byte, word = (Tokenizer.from_file(p) for p in (q.BYTE_TOKENIZER, q.WORD_TOKENIZER))
+    at, got = 0, {r["doc_id"]: r for r in q.op8_id_files(spark, str(tmp_path)).collect()}
+    for key, text in rows:
+        ids = np.array([*byte.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(got[key]) == (key, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for parts in (q.op7_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        found = parts.collect()
+        for key, text in rows:
+            ids = np.array([*word.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            own = [r for r in found if r["doc_id"] == key]
+            assert sum(r["length"] for r in own) == len(ids)
+            assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
