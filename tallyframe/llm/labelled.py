@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 #: Rows of each class, and bytes of text in all, that a classifier is fitted on.
 ROWS, BYTES = 1_500, 24 << 20
+#: Documents of each class that the choice looks at, in multiples of those it takes.
+SPARE = 4
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", rows: int = ROWS, size: int = BYTES) -> list[tuple[str, int]]:
     """(text, label) of at most ``rows`` documents of each class, at most ``size`` bytes together.
 
     Keys are drawn by a hash; those without a document, and labels other than 0 and 1, do not count.
-    Only the drawn keys meet the documents, whose texts are not shuffled.
+    The choice looks at sizes alone: a document that does not fit is passed over for the next one. Only
+    the chosen keys meet the texts. A class of which no document fits raises.
     """
+    spark = docs.sparkSession
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key is not null and label in (0, 1)")
-    keys = docs.select(F.col(key).alias("key")).filter("key is not null")
-    marked = marked.groupBy("key").agg(F.max("label").alias("label")).join(keys.distinct(), "key", "left_semi")
-    order = F.xxhash64(F.lit(41), "key")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(order, "key"))
-    drawn = marked.withColumn("rank", rank).filter(F.col("rank") <= rows)
-    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "key")
-    alone = Window.orderBy("rank", "label", "text")  # at most 2 x rows documents, unless keys recur
-    held = F.sum(F.octet_length("text") + 1).over(alone.rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("text"))).filter("nth = 1")
-    return [(r["text"], r["label"]) for r in found.withColumn("held", held).filter(F.col("held") <= size).select("text", "label").collect()]
+    found = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("key is not null")
+    found = found.select("key", (F.octet_length("text") + 1).alias("bytes"), F.xxhash64("text").alias("hash"), "text")
+    one = found.groupBy("key").agg(F.min(F.struct("bytes", "hash")).alias("one")).select("key", "one.bytes", "one.hash")
+    marked = marked.groupBy("key").agg(F.max("label").alias("label")).join(one, "key")
+    order = Window.partitionBy("label").orderBy(F.col("bytes") > size, F.xxhash64(F.lit(41), "key"), "key")
+    drawn = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SPARE * rows)
+    chosen, left, room = [], size, {}
+    for r in sorted(drawn.collect(), key=lambda r: (r["rank"], r["label"])):  # numbers only, at most 2 x SPARE x rows
+        if room.setdefault(r["label"], rows) and r["bytes"] <= left:
+            chosen.append((r["key"], r["bytes"], r["hash"], r["label"], len(chosen)))
+            left -= r["bytes"]
+            room[r["label"]] -= 1
+    if lost := [k for k, free in room.items() if free == rows > 0]:
+        raise ValueError(f"no document of class {lost} fits into {size} bytes beside those drawn before")
+    if not chosen:
+        return []
+    types = drawn.select("key", "bytes", "hash", "label", "rank").schema
+    keys = F.broadcast(spark.createDataFrame(chosen, types))
+    texts = found.join(keys, ["key", "bytes", "hash"]).groupBy("rank", "label").agg(F.min("text").alias("text"))
+    return [(r["text"], r["label"]) for r in sorted(texts.collect(), key=lambda r: r["rank"])]

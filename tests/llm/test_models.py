@@ -183,6 +183,24 @@ def test_sample_is_bounded(spark):
     assert labelled.labelled_sample(docs.limit(0), labels, "toxic") == []
 
 
+def test_sample_passes_over_what_does_not_fit(spark):
+    rows = [(i, "x" * i) for i in range(1, 41)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 61)], "doc_id long, toxic int")
+
+    def sample(*long, **bounds):
+        return labelled.labelled_sample(spark.createDataFrame(rows + list(long), "doc_id long, text string"), labels, "toxic", **bounds)
+
+    whole = sample(rows=60)
+    assert Counter(whole) == Counter((t, i % 2) for i, t in rows)
+    assert sample(*[(i, "y" * 5_000) for i in range(41, 61)], rows=60, size=2_000) == whole  # whatever their rank
+    few = sample(*[(i, "y" * 600) for i in range(41, 61)], rows=60, size=1_000)
+    assert {y for _, y in few} == {0, 1} and 900 < sum(len(t) + 1 for t, _ in few) <= 1_000
+    odd = spark.createDataFrame([(1, "y" * 600), (2, "x"), (4, "xx")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="class"):
+        labelled.labelled_sample(odd, labels, "toxic", size=100)
+    assert labelled.labelled_sample(odd.filter("doc_id > 1"), labels, "toxic", size=100)
+
+
 def test_pipeline_equals_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
