@@ -363,8 +363,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows that stay when one document of every component does: that with the smallest key.
 
-    Rows of a null key, and rows that share their key, stay together.
+    Rows go by themselves, not by their key: of rows that share the smallest key of a component one
+    stays, and a row of no component stays whatever becomes of others with its key. Rows of a null
+    key stay.
     """
-    gone = joined(docs, key, text, words, num, den).filter(~F.col(key).eqNullSafe(F.col("component_id")))
-    gone = c.written(gone.filter(F.col(key).isNotNull()).select(F.col(key)).distinct())
-    return docs.join(_small(gone), key, "left_anti").select(*docs.columns)
+    row, own = c.fresh(docs, "row"), F.col(key)
+    tagged = c.written(docs.withColumn(row, F.monotonically_increasing_id()))  # numbers that stay the same
+    ends = joined(tagged, row, text, words, num, den).select(row, "component_id")
+    keys = tagged.filter(own.isNotNull()).select(F.col(row), own.alias("__key"))
+    named = c.written(keys.join(ends, row))
+    firsts = named.groupBy("component_id").agg(F.count("*").alias("rows"), F.min(F.struct("__key", row)).alias("first"))
+    firsts = c.written(firsts.filter("rows > 1").select("component_id", F.col(f"first.{row}").alias("first")))
+    gone = c.written(named.join(_small(firsts), "component_id").filter(F.col(row) != F.col("first")).select(row))
+    return tagged.join(_small(gone), row, "left_anti").select(*docs.columns)

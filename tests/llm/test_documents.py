@@ -111,6 +111,16 @@ def test_join_edge_cases(spark, edge):
         jj.joined(edge, num=0)
 
 
+def test_one_of_each_goes_by_rows(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(7, one + " end"), (7, "a text of its own"), (3, one), (3, one), (9, two), (9, two + " end"), (12, two), (5, None), (5, ""), (None, one)]
+    kept = jj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    nine = got.pop((9, two), 0) + got.pop((9, two + " end"), 0)
+    assert nine == 1 and got == Counter([(7, "a text of its own"), (3, one), (5, None), (5, ""), (None, one)])
+    assert kept.columns == ["doc_id", "text"]
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(5)
     parts = jj.Parts(85, 100)
