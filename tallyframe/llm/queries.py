@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common as c, exact_dedup, fingerprints, id_files, jaccard_join, labelled, language, packing, quality, slots, toxicity
+from . import byte_bpe, common as c, exact_dedup, fingerprints, id_files, identifiers, jaccard_join, labelled, language, packing, quality, runs, slots, spelling, toxicity
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +101,46 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.echoed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.collapsed(docs).withColumn("best", runs.foremost("runs"))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: One of so many runs of letters loses a letter.
+RARE = 199
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(table(spark, sf_dir, "documents"), rare=RARE))
+
+
+def op13_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.identified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("identifiers", lambda x: ~x["disguised"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, identifiers.KINDS),
+        F.sha2(identifiers.listed(base), 256).alias("base_sha256"),
+        identifiers.listed(F.col("identifiers")).alias("spans"),
+        F.size(F.filter("identifiers", lambda x: x["disguised"])).cast("long").alias("n_disguised"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -112,6 +152,9 @@ QUERIES = {
     "op8_id_files": op8_id_files,
     "op9_slots": op9_slots,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_runs": op11_runs,
+    "op12_spelling": op12_spelling,
+    "op13_identifiers": op13_identifiers,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
