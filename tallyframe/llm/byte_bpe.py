@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -150,8 +148,9 @@ def _loaded(path: str, pattern: str, white_space: bool) -> tuple[ByteBPE, Pieces
                     memo[match] = ids
             return ids
 
-        def all_matches(new: list[bytes]) -> Iterator[bytes]:  # a piece may hold a word and a full stop
-            return (b"".join(map(one, split.findall(x.decode("utf-8", "replace")))) for x in new)
+        def all_matches(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:  # a piece may hold a word and a full stop
+            ids = [b"".join(map(one, split.findall(x.decode("utf-8", "replace")))) for x in new]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
 
         _LOADED[path, pattern] = bpe, Pieces(all_matches, white_space)
     return _LOADED[path, pattern]

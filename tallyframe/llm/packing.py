@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,20 @@ def piece_lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * (tokens // longest) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def cuts(tokens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all pieces of documents of so many tokens: the document, where the piece starts in it, its length."""
+    whole, rest = np.divmod(tokens, longest)
+    counts = whole + np.bitwise_count(rest)
+    first = np.cumsum(counts) - counts
+    lengths = np.full(int(counts.sum()), longest, np.int64)
+    for k in range(longest.bit_length() - 1):
+        has = np.flatnonzero(rest >> k & 1)
+        lengths[(first + whole + np.bitwise_count(rest >> (k + 1)))[has]] = 1 << k  # behind the larger ones
+    parents = np.repeat(np.arange(len(tokens)), counts)
+    after = np.cumsum(lengths) - lengths
+    return parents, after - np.repeat(np.cumsum(tokens) - tokens, counts), lengths
+
+
 def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
     """Pieces: key, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens; ``added`` as in ``tokenizer_pieces``."""
     if longest < 1 or longest & (longest - 1):
@@ -44,22 +60,15 @@ def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in c.small_batches(batches, "__text"):
             pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
-            parents, starts, lengths, ids, crcs, totals = [], [], [], [], [], []
             flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
-            joint = memoryview(flat.tobytes())
-            for parent, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                at, tokens = 0, b - a
-                for length in piece_lengths(tokens, longest):
-                    piece = joint[4 * (a + at) : 4 * (a + at + length)]
-                    parents.append(parent)
-                    starts.append(at)
-                    lengths.append(length)
-                    ids.append(piece)
-                    crcs.append(zlib.crc32(piece))
-                    totals.append(tokens)
-                    at += length
-            keys = batch.column(0).take(pa.array(parents, pa.int64()))
-            arrays = [keys, pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), pa.array(ids, pa.binary()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64())]
+            parents, starts, lengths = cuts(np.diff(ends), longest)
+            bounds = np.append(ends[:-1][parents] + starts, len(flat))  # pieces lie one after the other
+            joint = flat.tobytes()
+            view = memoryview(joint)
+            crcs = [zlib.crc32(view[a:b]) for a, b in pairwise((4 * bounds).tolist())]
+            keys = batch.column(0).take(pa.array(parents))
+            totals = pa.array(np.diff(ends)[parents], pa.int64())
+            arrays = [keys, pa.array(starts), pa.array(lengths, pa.int32()), c.binary_array(joint, 4 * bounds), pa.array(crcs, pa.int64()), totals]
             yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     return rows.mapInArrow(run, schema)

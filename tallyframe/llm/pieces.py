@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers twice over: recent ones, and those before them. The longest that it does.
-MEMO = 1 << 18
+#: Pieces that a worker remembers, and their bytes with all that belongs to them. The longest that it does.
+MEMO, MEMO_BYTES = 1 << 19, 16 << 20
 LONGEST = 32
+#: Pieces that are encoded in one call.
+TOGETHER = 64
 
 SPACE, LINE = 0x20, 0x0A
 _LETTER = np.zeros(256, bool)
@@ -47,36 +49,75 @@ def starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return joint[np.concatenate([[True], joint[1:] != joint[:-1]])]
 
 
+class Memo:
+    """Ids of pieces: Arrow holds the bytes of the pieces, and one pool the ids of all, so an entry takes some 20
+    bytes beside them. Never more than MEMO entries and MEMO_BYTES: where new ones do not fit, the half that
+    batches ask for most often stays, and what was counted is halved."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_binary())
+        self.first, self.size = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool = np.empty(0, "<u4")
+        self.asked = np.empty(0, np.uint16)  # batches that held the piece
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.first.nbytes + self.size.nbytes + self.pool.nbytes + self.asked.nbytes
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece stands, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(pieces), -1, np.int32)
+        found = pc.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy()
+        self.asked[found[found >= 0]] += 1
+        return found
+
+    def _keep(self, which: np.ndarray) -> None:
+        at, size = self.first[which], self.size[which]
+        self.keys = self.keys.take(pa.array(which))
+        self.pool, self.first = _slices(self.pool, at, size)
+        self.size, self.asked = size, self.asked[which] >> 1
+
+    def add(self, pieces: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        """Pieces not known yet, and the ids of one after the other."""
+        length = pc.binary_length(pieces).to_numpy()
+        first = np.cumsum(size) - size
+        which = np.flatnonzero(length <= LONGEST)
+        cost = np.cumsum((length + 4 * size + 18)[which])
+        if len(which) and (len(self.keys) + len(which) > MEMO or self.nbytes + int(cost[-1]) > MEMO_BYTES):
+            oftener = np.argsort(~self.asked, kind="stable")[: len(self.keys) // 2]
+            self._keep(np.sort(oftener))
+            which = which[: MEMO - len(self.keys)]
+            which = which[cost[: len(which)] <= MEMO_BYTES - self.nbytes - 64]
+        if not len(which):
+            return
+        pool, begin = _slices(ids, first[which], size[which])
+        self.keys = pa.concat_arrays([self.keys, pieces.take(pa.array(which))])
+        self.first = np.concatenate([self.first, begin + np.int32(len(self.pool))]).astype(np.int32)
+        self.size = np.concatenate([self.size, size[which]]).astype(np.int32)
+        self.pool = np.concatenate([self.pool, pool])
+        self.asked = np.concatenate([self.asked, np.ones(len(which), np.uint16)])
+
+
+def _slices(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of ``data`` one after the other, and where each begins."""
+    total = int(size.sum(dtype=np.int64))
+    kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+    begin = np.cumsum(size, dtype=kind) - size.astype(kind)
+    return data[np.repeat(first.astype(kind) - begin, size) + np.arange(total, dtype=kind)], begin
+
+
 class Pieces:
-    """Ids of whole texts. ``encode`` gives the ids of some pieces as little-endian unsigned 32-bit integers.
+    """Ids of whole texts. ``encode`` gives the ids of some pieces, one after the other, and the number of each.
 
     ``apart`` are strings that are pieces of their own wherever they stand; of several at one place the longest.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], white_space: bool = True, apart: Iterable[bytes] = ()):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], white_space: bool = True, apart: Iterable[bytes] = ()):
         self._encode, self._cut = encode, white_space
         self._apart = sorted(apart, key=len, reverse=True)
         self._any = re.compile(b"|".join(map(re.escape, self._apart)))
-        self._memo: dict[bytes, bytes] = {}
-        self._before: dict[bytes, bytes] = {}
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        found = list(map(self._memo.get, pieces))
-        lacking = [k for k, ids in enumerate(found) if ids is None]
-        if len(self._memo) + len(lacking) > MEMO:
-            self._memo, self._before = {}, self._memo
-        memo, before, new = self._memo, self._before, []
-        for k in lacking:
-            ids = before.get(pieces[k])
-            if ids is None:
-                new.append(k)
-            else:
-                found[k] = memo[pieces[k]] = ids
-        for k, ids in zip(new, self._encode([pieces[k] for k in new]), strict=True):
-            found[k] = ids
-            if len(pieces[k]) <= LONGEST:
-                memo[pieces[k]] = ids
-        return found
+        self.memo = Memo()
 
     def _set_apart(self, begin: np.ndarray, texts: list[bytes], bounds: np.ndarray) -> np.ndarray:
         """Where pieces begin when every string of ``apart`` is one, and none is cut within."""
@@ -103,15 +144,16 @@ class Pieces:
         ends = np.append(begin, len(data))
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(joint)])
         folded = pieces.dictionary_encode()
-        which = folded.indices.to_numpy()
-        ids = self._ids(folded.dictionary.to_pylist())
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        own = sizes[which]
-        after = np.cumsum(own)
-        first = (np.cumsum(sizes) - sizes)[which]
-        flat = pool[np.repeat(first - (after - own), own) + np.arange(after[-1])]
-        return flat, np.concatenate([[0], after])[np.searchsorted(begin, bounds)]
+        which, distinct = folded.indices.to_numpy(), folded.dictionary
+        known = self.memo.places(distinct)
+        new = distinct.filter(pa.array(known < 0))
+        ids, counts = self._encode(new.to_pylist())
+        sizes, first = np.empty(len(distinct), np.int32), np.empty(len(distinct), np.int64)
+        sizes[known >= 0], first[known >= 0] = self.memo.size[known[known >= 0]], self.memo.first[known[known >= 0]]
+        sizes[known < 0], first[known < 0] = counts, np.cumsum(counts) - counts + len(self.memo.pool)
+        flat, after = _slices(np.concatenate([self.memo.pool, ids]), first[which], sizes[which])
+        self.memo.add(new, ids, counts)
+        return flat, np.append(after, len(flat))[np.searchsorted(begin, bounds)]
 
 
 def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
@@ -126,15 +168,37 @@ def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not added
-    tokens = tokenizer.get_added_tokens_decoder().values() if added else ()
-    plain = not any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in tokens)
-
-    def encode(pieces: list[bytes]) -> Iterable[bytes]:
-        texts = [x.decode("utf-8", "replace") for x in pieces]
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return (array("I", x.ids).tobytes() for x in found)
-
-    return Pieces(encode, plain, [x.content.encode() for x in tokens] if plain else ())
+    tokens = tokenizer.get_added_tokens_decoder() if added else {}
+    plain = not any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in tokens.values())
+    apart = [x.content for x in tokens.values()] if plain else []
+    mark = next((k for k, x in tokens.items() if plain and not any(_overlap(x.content, y) for y in apart)), None)
+
+    def each(pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        found = [x.ids for x in tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in pieces], add_special_tokens=False)]
+        return [i for ids in found for i in ids], list(map(len, found))
+
+    def joint(pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        """Many pieces in one text, with a mark behind each: what lies between marks is encoded by itself."""
+        sign = tokens[mark].content.encode()
+        ids = np.array(tokenizer.encode_batch_fast([(sign.join(pieces) + sign).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ids == mark)
+        if len(at) != len(pieces):  # a piece holds the mark, or gives its id
+            return each(pieces)
+        return ids[ids != mark], np.diff(at, prepend=-1) - 1
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        work = each if mark is None else joint
+        parts = [work(pieces[at : at + TOGETHER]) for at in range(0, len(pieces), TOGETHER)]
+        ids = [np.asarray(x, "<u4") for x, _ in parts]
+        sizes = [np.asarray(x, np.int64) for _, x in parts]
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+    return Pieces(encode, plain, [x.encode() for x in apart])
+
+
+def _overlap(one: str, other: str) -> bool:
+    """Whether an end of one string is a begin of the other, or the other way round, short of all of both."""
+    return any(a[-k:] == b[:k] for a, b in ((one, other), (other, one)) for k in range(1, min(len(a), len(b)) + (a != b)))
 
 
 def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

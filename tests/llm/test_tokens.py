@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -199,3 +200,27 @@ def test_queries_keep_added_tokens(spark, tmp_path):
             own = [r for r in found if r["doc_id"] == key]
             assert sum(r["length"] for r in own) == len(ids)
             assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
+
+def test_memo_stays_within_its_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO_BYTES", 20_000)
+    rnd = random.Random(9)
+    held = pieces.tokenizer_pieces(q.BYTE_TOKENIZER, added=True)
+    library = Tokenizer.from_file(q.BYTE_TOKENIZER)
+    for size in (50, 5, 4_000, 0, 300, 20_000, 7):  # whatever a chunk brings
+        text = " ".join("".join(rnd.choice("abcdé<|x") for _ in range(rnd.randint(1, 40))) for _ in range(size)) + " the of <|endoftext|> the"
+        flat, ends = held([text.encode()])
+        assert flat.tolist() == library.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(flat)]
+        assert held.memo.nbytes <= 20_000 and len(held.memo.keys) > 0
+    frequent = held.memo.places(pa.array([b" the"], pa.large_binary()))
+    assert frequent[0] >= 0  # what batches ask for most often stays
+
+
+def test_cuts_of_many_documents():
+    tokens = np.array([1, 2, 3, 63, 64, 65, 200, 1, 4096, 4095])
+    parents, starts, lengths = packing.cuts(tokens, 64)
+    for k, n in enumerate(tokens.tolist()):
+        own = lengths[parents == k].tolist()
+        assert own == packing.piece_lengths(n, 64)
+        assert starts[parents == k].tolist() == np.concatenate([[0], np.cumsum(own)])[:-1].tolist()
+    assert all(len(x) == 0 for x in packing.cuts(np.empty(0, np.int64), 64))
