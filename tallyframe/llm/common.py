@@ -121,7 +121,9 @@ def as_texts(values: pa.Array) -> list[str]:
 
 
 def binary_array(data: bytes, ends: np.ndarray) -> pa.Array:
-    """Slices of ``data`` between neighbouring ends, without a copy."""
+    """Slices of ``data`` between neighbouring ends, without a copy. Beyond 2 GB, which a single text must bring, it raises."""
+    if len(ends) and int(ends[-1]) >= 1 << 31:
+        raise ValueError("a text gives more than 2 GB")
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
 

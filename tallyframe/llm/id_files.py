@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -44,17 +44,32 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in ``bits`` bits each, highest bit first."""
-    shifts = np.arange(bits - 1, -1, -1, dtype=np.uint32)
-    return np.packbits((ids.astype(np.uint32)[:, None] >> shifts & 1).astype(np.uint8)).tobytes()
+    """Ids in ``bits`` bits each, highest bit first. Ids are put into 64-bit lanes; one that crosses an edge goes in two parts."""
+    if not len(ids):
+        return b""
+    at = np.arange(len(ids), dtype=np.int64) * bits
+    lane, shift = at >> 6, 64 - bits - (at & 63)
+    wide = ids.astype(np.uint64)
+    first = np.flatnonzero(np.diff(lane, prepend=-1))
+    over = np.flatnonzero(shift < 0)
+    parts = wide << np.maximum(shift, 0).astype(np.uint64)
+    parts[over] = wide[over] >> (-shift[over]).astype(np.uint64)
+    lanes = np.zeros(int(lane[-1]) + 2, np.uint64)
+    lanes[lane[first]] = np.bitwise_or.reduceat(parts, first)
+    lanes[lane[over] + 1] |= wide[over] << (64 + shift[over]).astype(np.uint64)
+    return lanes.astype(">u8").tobytes()[: (len(ids) * bits + 7) // 8]
 
 
 def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
     """The first ``count`` ids of one block."""
-    cells = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits).reshape(count, bits)
-    wide = np.zeros((count, 32), np.uint8)
-    wide[:, 32 - bits :] = cells
-    return np.packbits(wide, axis=1).view(">u4").ravel().astype("<u4")
+    size = (count * bits + 63) // 64 + 1
+    lanes = np.frombuffer(data[: 8 * size].ljust(8 * size, b"\0"), ">u8").astype(np.uint64)
+    at = np.arange(count, dtype=np.int64) * bits
+    lane, off = at >> 6, (at & 63).astype(np.uint64)
+    found = lanes[lane] << off
+    over = np.flatnonzero(off > 64 - bits)
+    found[over] |= lanes[lane[over] + 1] >> (np.uint64(64) - off[over])
+    return (found >> np.uint64(64 - bits)).astype("<u4")
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -155,7 +170,7 @@ def write(ids: DataFrame, folder: str, vocabulary: int, splits: list[int], id_by
             yield done()
 
     ranged = ids.select(c.range_bucket(F.col("key"), splits).alias("bucket"), "key", "ids")
-    dealt = ranged.repartition(c.partitions(spark), "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "ids")
+    dealt = ranged.repartitionById(len(splits) + 1, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "ids")
     return c.written(dealt.mapInArrow(store, "bucket int, part int, file string, ids long, docs long"), f"{folder}/manifest")
 
 
@@ -204,12 +219,14 @@ class Reader:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(key, start, ids): every document of the manifest's files, with the ids before it."""
     files = spark.read.schema("bucket int, part int, file string, ids long, docs long").parquet(f"{folder}/manifest")
-    listed = files.orderBy("bucket", "part").collect()  # one small row per file of FILE_BYTES or per range
-    before, rows = 0, []
-    for x in listed:
-        rows.append((x.file, before))
-        before += x.ids
-    table = spark.createDataFrame(rows, "file string, start long").repartition(max(1, min(len(rows), 4 * c.partitions(spark))))
+    # ids before a file: those of the ranges before its own, of which there are few, and of the files before it in its range
+    ranges = files.groupBy("bucket").agg(F.sum("ids").alias("whole"))
+    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("bucket", F.coalesce(F.sum("whole").over(ahead), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("ahead") + F.coalesce(F.sum("ids").over(within), F.lit(0))
+    table = files.join(F.broadcast(ranges), "bucket").select("file", start.alias("start"))
+    table = table.repartition(4 * c.partitions(spark), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
