@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyframe.session import checkpointed
+
+# Levels of samples that one number marks, a bit for each.
+MASK_BITS = 62
+
 
 def _ratios() -> list[Column]:
     """Mean distinct partners per key = distinct pairs / distinct keys; NULL without keys."""
@@ -13,8 +20,14 @@ def _ratios() -> list[Column]:
     ]
 
 
-def entity_counts(df: DataFrame) -> DataFrame:
-    """A2: distinct tasks, distinct workers and rows, in one pass."""
+def entity_counts(df: DataFrame, approx: bool = False) -> DataFrame:
+    """A2: distinct tasks, distinct workers and rows, in one pass; with ``approx`` within a few percent and without a shuffle of keys."""
+    if approx:
+        return df.agg(
+            F.approx_count_distinct("qid", 0.02).alias("n_qid"),
+            F.approx_count_distinct("uid", 0.02).alias("n_uid"),
+            F.count(F.lit(1)).alias("n_obs"),
+        )
     return df.agg(
         F.count_distinct("qid").alias("n_qid"),
         F.count_distinct("uid").alias("n_uid"),
@@ -73,3 +86,54 @@ def level_coverage(rows: DataFrame, positions: DataFrame, by_pair: bool = False)
         "pos", *[F.coalesce(F.sum(n).over(running), F.lit(0)).alias(n) for n in names]
     )
     return sums.select("pos", "n_qid", "n_uid", *_ratios(), "n_obs")
+
+
+def level_masks(held: list[Column]) -> list[Column]:
+    """The levels that hold a row as bits of as few numbers as they need; ``held`` has a condition per level."""
+    one = F.lit(1).cast("bigint")
+    bits = [F.when(h, F.shiftleft(one, i % MASK_BITS)).otherwise(0) for i, h in enumerate(held)]
+    return [reduce(lambda a, b: a.bitwiseOR(b), bits[at:at + MASK_BITS]) for at in range(0, len(bits), MASK_BITS)]
+
+
+def mask_bit(mask: str | Column, i: int) -> Column:
+    """Condition: bit ``i`` of a mask is set."""
+    column = F.col(mask) if isinstance(mask, str) else mask
+    return column.bitwiseAND(F.lit(1 << i)) != 0
+
+
+def masked_coverage(rows: DataFrame, masks: list[str], levels: int, n_obs: DataFrame | None = None) -> DataFrame:
+    """Coverage counts of samples that need not be nested, one row (_pos, n_qid, n_uid, n_pairs, n_obs) per level.
+
+    A task, worker or pair is in the samples of all its rows, so its mask is the OR of theirs: one
+    grouping-sets aggregate, combined before the shuffle, and then counts per bit. Rows are never
+    unfolded by level. Rows are counted with their pair, whose mask then must follow from task and
+    worker; where it does not, ``n_obs`` (_pos, n_obs) gives their numbers.
+    """
+    held = rows.filter(reduce(lambda a, b: a | b, [F.col(m) != 0 for m in masks])).select("qid", "uid", *masks)
+    sets = [[F.col("qid"), F.col("uid")], [F.col("qid")], [F.col("uid")]]
+    entities = held.groupingSets(sets, "qid", "uid").agg(
+        *[F.bit_or(m).alias(m) for m in masks], F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_kind")
+    )
+    if len(masks) > 1:
+        entities = checkpointed(entities)
+    # Fixed by the order (qid, uid): a set bit marks a column that is not grouped on.
+    pair, task, worker = (F.col("_kind") == k for k in (0, 1, 2))
+    kinds = {
+        "n_qid": task & F.col("qid").isNotNull(),
+        "n_uid": worker & F.col("uid").isNotNull(),
+        "n_pairs": pair & F.col("qid").isNotNull() & F.col("uid").isNotNull(),
+    }
+    parts = []
+    for word, mask in enumerate(masks):
+        own = range(min(MASK_BITS, levels - word * MASK_BITS))
+        counts = [F.count_if(k & mask_bit(mask, i)).alias(f"{n}{i}") for i in own for n, k in kinds.items()]
+        if n_obs is None:
+            counts += [F.sum(F.when(pair & mask_bit(mask, i), F.col("_n"))).alias(f"n_obs{i}") for i in own]
+        names = [*kinds, "n_obs"] if n_obs is None else list(kinds)
+        row = [
+            F.struct(F.lit(word * MASK_BITS + i).alias("_pos"), *[F.coalesce(f"{n}{i}", F.lit(0)).alias(n) for n in names])
+            for i in own
+        ]
+        parts.append(entities.agg(*counts).select(F.inline(F.array(*row))))
+    found = reduce(DataFrame.unionByName, parts)
+    return found if n_obs is None else found.join(F.broadcast(n_obs), "_pos")  # one row per level

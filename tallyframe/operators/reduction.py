@@ -6,6 +6,7 @@ levels come from one pass (see ``level_coverage``). ``samples`` unfolds the leve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,8 +18,8 @@ from tallyframe.constants import (
     TASK_COUNTS, TRIALS, WORKER_COUNTS,
 )
 from tallyframe.functions.columns import linspace_values
-from tallyframe.functions.hashing import HASH_FN, hash48
-from tallyframe.operators.coverage import level_coverage
+from tallyframe.functions.hashing import HASH_FN, HASH_RANGE, hash48
+from tallyframe.operators.coverage import MASK_BITS, level_coverage, level_masks, mask_bit, masked_coverage
 from tallyframe.operators.joins import MAX_BROADCAST_ROWS, join_by_key
 from tallyframe.operators.keyorder import (
     SPLIT_ROWS, choose_keys, choose_many, floor_size, rank_in_group, top_in_group, with_row_hash,
@@ -27,6 +28,8 @@ from tallyframe.session import checkpointed
 
 # Draws that stand side by side in one aggregate; more of them take further aggregates.
 UNROLLED_DRAWS = 64
+# Holders that give the bound for many draws; their number changes the work, not the result.
+MAX_LEADERS = 10_000
 
 
 @dataclass(frozen=True)
@@ -89,13 +92,17 @@ def safe_ratio(
     drawn = F.explode(F.sequence(F.lit(1), F.lit(draws)))
     h = hash48(seed, "trial", target, fn=hash_fn)
 
-    parts = [range(a, min(a + UNROLLED_DRAWS, draws + 1)) for a in range(1, draws + 1, UNROLLED_DRAWS)]
-    places = [
-        _first_place(answers, target, holder, part, seed, hash_fn) if min_count == 1
-        else _later_place(answers, target, holder, part, min_count, seed, hash_fn)
-        for part in parts
-    ]
-    reach = reduce(DataFrame.unionByName, places)
+    if nested:
+        parts = [range(a, min(a + UNROLLED_DRAWS, draws + 1)) for a in range(1, draws + 1, UNROLLED_DRAWS)]
+        places = [
+            _first_place(answers, target, holder, part, seed, hash_fn) if min_count == 1
+            else _later_place(answers, target, holder, part, min_count, seed, hash_fn)
+            for part in parts
+        ]
+        reach = reduce(DataFrame.unionByName, places)
+    else:
+        answers = checkpointed(answers.filter(F.col(target).isNotNull() & F.col(holder).isNotNull()).distinct())
+        reach = _place_by_leaders(answers, target, holder, draws, min_count, seed, hash_fn)
     everyone = answers.agg(F.count_distinct(holder)).scalar()
     all_met = F.lit(True) if min_count == 1 else F.min("n_holders") == everyone  # who answers has one answer
     required = (
@@ -203,6 +210,80 @@ def _later_place(
     )
 
 
+def _place_by_leaders(
+    pairs: DataFrame, target: str, holder: str, draws: int, m: int, seed: int | str, hash_fn: str
+) -> DataFrame:
+    """(trial, reach, n_holders) as above for very many draws, from distinct pairs.
+
+    The holders with the fewest targets lead: the latest m-th target among them is a bound that the
+    answer cannot be below. Every target gets a mask of the trials in which it comes up to that bound;
+    masks are made once per target, and joined by OR for each holder. Only holders that lack their m-th
+    target up to there in some trial are ranked, in those trials alone. For m > 1 a holder's targets are
+    dealt to some cells: a trial in the masks of m cells has m targets, and one that is not is ranked.
+    """
+    degrees = checkpointed(pairs.groupBy(holder).agg(F.count(F.lit(1)).alias("_deg")).filter(F.col("_deg") >= m))
+    able = degrees.count()
+    leaders = degrees.orderBy("_deg", holder).limit(min(MAX_LEADERS, math.ceil(math.sqrt(able)))).select(holder)
+    every = F.sequence(F.lit(1), F.lit(draws))
+    h = hash48(seed, "trial", target, fn=hash_fn)
+    led = pairs.join(F.broadcast(leaders), holder).select(target, holder, F.explode(every).alias("trial"))
+    least = checkpointed(_mth_place(led, target, holder, m, h).select("trial", "reach"))
+    bounds = {r["trial"]: r["reach"] for r in least.collect()}  # one row per trial
+    if not bounds:
+        return pairs.sparkSession.range(1, draws + 1).select(
+            F.col("id").cast("int").alias("trial"), F.lit(None).cast("bigint").alias("reach"), F.lit(0).cast("bigint").alias("n_holders")
+        )
+
+    bound = F.array(*[F.lit(bounds[t]) for t in range(1, draws + 1)])
+    words = -(-draws // MASK_BITS)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    size = lambda j: F.least(F.lit(MASK_BITS), F.lit(draws) - j * MASK_BITS)
+
+    def word(j: Column) -> Column:
+        def mark(mask: Column, i: Column) -> Column:
+            trial = j * MASK_BITS + i + 1
+            early = hash48(seed, trial, target, fn=hash_fn) <= F.element_at(bound, trial)
+            return mask.bitwiseOR(F.when(early, bit(i)).otherwise(F.lit(0).cast("bigint")))
+
+        return F.aggregate(F.sequence(F.lit(0), size(j) - 1), F.lit(0).cast("bigint"), mark)
+
+    place = F.sequence(F.lit(0), F.lit(words - 1))
+    masks = checkpointed(pairs.select(target).distinct().withColumn("_masks", F.transform(place, word)))
+    cells = 1 if m == 1 else 4 * m
+    joined = [F.bit_or(F.col("_masks")[j]).alias(f"_w{j}") for j in range(words)]
+    marked = join_by_key(pairs.join(degrees.select(holder), holder, "left_semi"), masks, target, "inner")
+    marked = marked.withColumn("_cell", F.pmod(F.xxhash64(F.lit(31), target), F.lit(cells)))
+    held = marked.groupBy(holder, "_cell").agg(*joined).select(holder, F.array(*[f"_w{j}" for j in range(words)]).alias("_masks"))
+    if m > 1:
+        held = held.groupBy(holder).agg(F.collect_list("_masks").alias("_cells")).select(holder, _mth_mask("_cells", words, m).alias("_masks"))
+
+    def missing(trial: Column) -> Column:
+        at = trial - 1
+        return F.get("_masks", (at / MASK_BITS).cast("int")).bitwiseAND(bit(at % MASK_BITS)) == 0
+
+    late = checkpointed(held.select(holder, F.filter(every, missing).alias("_trials")).filter(F.size("_trials") > 0))
+    unfolded = join_by_key(pairs, late, holder, "inner").select(target, holder, F.explode("_trials").alias("trial"))
+    further = _mth_place(unfolded, target, holder, m, h).select("trial", F.col("reach").alias("_further"))
+    return least.join(F.broadcast(further), "trial", "left").select(  # one row per trial
+        "trial", F.greatest("reach", "_further").alias("reach"), F.lit(able).cast("bigint").alias("n_holders")
+    )
+
+
+def _mth_mask(cells: str, words: int, m: int) -> Column:
+    """Bits that are set in at least m of the masks of a list: masks are put one by one into m levels,
+    of which each takes what it shares with the one below."""
+    none = F.array_repeat(F.lit(0).cast("bigint"), words)
+
+    def put(levels: Column, mask: Column) -> Column:
+        def level(k: Column) -> Column:
+            below = F.when(k == 0, mask).otherwise(F.zip_with(F.get(levels, k - 1), mask, lambda a, b: a.bitwiseAND(b)))
+            return F.zip_with(F.get(levels, k), below, lambda a, b: a.bitwiseOR(b))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), level)
+
+    return F.aggregate(cells, F.array_repeat(none, m), put, lambda levels: F.get(levels, F.lit(m - 1)))
+
+
 def _keep_choices(df: DataFrame, choices: list) -> DataFrame:
     """Rows in the largest sample with ``lvl``; with two choices a row must be in both samples."""
     rows = df
@@ -253,23 +334,19 @@ def _independent(
 ) -> "IndependentStudy":
     """Study of samples drawn apart from each other: the order of the keys is salted with the level.
 
-    The cuts of all levels come from one pass over the distinct keys. One scan of the rows then tells
-    for each row the levels that hold it; only those are unfolded.
+    The cuts of all levels come from one pass over the distinct keys. A row is marked with the levels
+    that hold it, a bit for each; rows are unfolded only where the samples themselves are asked for.
     """
-    choices = [choose_many(df, key, f"{seed}{key}", sizes, hash_fn) for key in keys]
-    held = [
-        F.when(reduce(lambda a, b: a & b, [c.chosen() for c in level]), F.lit(i)) for i, level in enumerate(zip(*choices))
-    ]
-    rows = df.withColumn("_pos", F.explode(F.array_compact(F.array(*held))))
-    return IndependentStudy(name, labels, rows, _sample_stats(name, labels, rows))
+    levels = list(zip(*[choose_many(df, key, f"{seed}{key}", sizes, hash_fn) for key in keys]))
+    held = [reduce(lambda a, b: a & b, [c.chosen() for c in level]) for level in levels]
+    masks = {f"_m{j}": word for j, word in enumerate(level_masks(held))}
+    counts = masked_coverage(df.select("qid", "uid").withColumns(masks), list(masks), len(held))
+    rows = df.withColumn("_pos", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(held)]))))
+    return IndependentStudy(name, labels, rows, _sample_stats(name, labels, counts))
 
 
-def _sample_stats(name: str, labels: DataFrame, rows: DataFrame) -> DataFrame:
+def _sample_stats(name: str, labels: DataFrame, counts: DataFrame) -> DataFrame:
     names = ["n_qid", "n_uid", "n_pairs", "n_obs"]
-    counts = rows.groupBy("_pos").agg(
-        F.count_distinct("qid").alias("n_qid"), F.count_distinct("uid").alias("n_uid"),
-        F.count_distinct("qid", "uid").alias("n_pairs"), F.count(F.lit(1)).alias("n_obs"),
-    )
     full = labels.join(counts, labels["pos"] == counts["_pos"], "left").select(
         name, *[F.coalesce(n, F.lit(0)).alias(n) for n in names]
     )
@@ -281,6 +358,14 @@ def _sample_stats(name: str, labels: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def _unfolded_counts(rows: DataFrame) -> DataFrame:
+    """Counts of samples whose rows are already marked by ``_pos``."""
+    return rows.groupBy("_pos").agg(
+        F.count_distinct("qid").alias("n_qid"), F.count_distinct("uid").alias("n_uid"),
+        F.count_distinct("qid", "uid").alias("n_pairs"), F.count(F.lit(1)).alias("n_obs"),
+    )
+
+
 @dataclass(frozen=True)
 class IndependentStudy(Study):
     """As :class:`Study`; ``rows`` already holds each sample, marked by ``_pos``."""
@@ -292,6 +377,111 @@ class IndependentStudy(Study):
         )
 
 
+@dataclass(frozen=True)
+class _LevelDraw:
+    """The first rows of every group in an order of its own at each level, without a rank of all rows.
+
+    For every group and level the last kept row is found; a row then compares its own hash with that
+    cut, and marks the levels that hold it. The hashes of a group of up to ``piece_rows`` rows are sorted
+    where they were gathered. In a larger one the cut lies near the same share of the range of
+    hashes: rows below that neighbourhood are counted, and only those within it are ranked. A
+    neighbourhood that turns out not to hold the cut is widened. Rows are told apart by 48 bits of the
+    level's hash and 64 of the row's.
+    """
+
+    group: str
+    levels: int
+    last: int
+    step: int
+    min_keep: int
+    seed: int | str
+    hash_fn: str
+
+    def remove(self, pos: Column) -> Column:
+        return (F.lit(self.last) - pos * self.step).cast("int")
+
+    def kept(self, pos: Column) -> Column:
+        return F.greatest(F.col("_d") - self.remove(pos), F.lit(self.min_keep))
+
+    def hash(self, pos: Column, h: str | Column = "_h") -> Column:
+        return hash48(self.seed, self.remove(pos), h, fn=self.hash_fn)
+
+    @property
+    def _all(self) -> Column:
+        return F.sequence(F.lit(0), F.lit(self.levels - 1))
+
+    def marked(self, keyed: DataFrame, sizes: DataFrame, piece_rows: int) -> DataFrame:
+        """Rows with masks ``_m0``, …: bit i % MASK_BITS of number i // MASK_BITS for position i."""
+        cuts = self._gathered(keyed, sizes.filter(F.col("_n") <= piece_rows))
+        large = checkpointed(sizes.filter(F.col("_n") > piece_rows))
+        if not large.isEmpty():
+            found = self._narrowed(keyed, large)
+            listed = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_cut"))), lambda x: x["_cut"])
+            cuts = cuts.unionByName(found.groupBy(self.group).agg(listed.alias("_cuts")))
+        rows = join_by_key(keyed, checkpointed(cuts), self.group, "inner")
+
+        def word(first: int) -> Column:
+            def mark(mask: Column, i: Column) -> Column:
+                cut, h = F.get("_cuts", i + first), self.hash(i + first)
+                held = (h < cut["h"]) | ((h == cut["h"]) & (F.col("_t") <= cut["t"]))
+                return mask.bitwiseOR(F.when(held, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+
+            size = min(MASK_BITS, self.levels - first)
+            return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0).cast("bigint"), mark)
+
+        words = range(0, self.levels, MASK_BITS)
+        return rows.withColumns({f"_m{j}": word(first) for j, first in enumerate(words)}).drop("_cuts", "_h", "_t")
+
+    def _gathered(self, keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(group, _cuts) of groups whose hashes fit into a list."""
+        hashes = join_by_key(keyed.select(self.group, "_h", "_t"), sizes, self.group, "inner")
+        lists = hashes.groupBy(self.group).agg(F.collect_list(F.struct("_h", "_t")).alias("_all"), F.first("_d").alias("_d"))
+
+        def cut(pos: Column) -> Column:
+            own = F.transform("_all", lambda x: F.struct(self.hash(pos, x["_h"]).alias("h"), x["_t"].alias("t")))
+            return F.get(F.sort_array(own), F.least(self.kept(pos).cast("int"), F.size("_all")) - 1)
+
+        nothing = F.struct(F.lit(-1).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("t"))
+        return lists.select(self.group, F.transform(self._all, lambda pos: F.coalesce(cut(pos), nothing)).alias("_cuts"))
+
+    def _narrowed(self, keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+        """(group, _pos, _cut) of groups of any size."""
+        sought = sizes.withColumn("_pos", F.explode(self._all)).withColumn("_k", F.least("_n", self.kept(F.col("_pos"))))
+        none = F.struct(F.lit(-1).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("t")).alias("_cut")
+        parts, width = [sought.filter(F.col("_k") < 1).select(self.group, "_pos", none)], 8.0
+        sought = sought.filter(F.col("_k") > 0)
+        while True:
+            share = F.col("_k") / F.col("_n")
+            spread = F.sqrt(share * (1 - share) / F.col("_n")) + 1 / F.col("_n")
+            low = F.greatest((share - width * spread) * HASH_RANGE, F.lit(-1.0)).cast("bigint")
+            high = F.least((share + width * spread) * HASH_RANGE, F.lit(HASH_RANGE)).cast("bigint")
+            ranges = F.array_sort(F.collect_list(F.struct("_pos", low.alias("low"), high.alias("high"), "_k"))).alias("_ranges")
+            rows = join_by_key(keyed.select(self.group, "_h", "_t"), checkpointed(sought.groupBy(self.group).agg(ranges)), self.group, "inner")
+            placed = F.transform("_ranges", lambda x: F.struct(x["_pos"], x["low"], x["high"], x["_k"], self.hash(x["_pos"]).alias("h")))
+            rows = rows.withColumn("_placed", placed)
+            below = F.transform("_placed", lambda x: (x["h"] < x["low"]).cast("bigint"))
+            counts = None
+            for first in range(0, self.levels, UNROLLED_DRAWS):  # of all levels but one word side by side
+                own = range(first, min(first + UNROLLED_DRAWS, self.levels))
+                sums = rows.select(self.group, "_ranges", below.alias("_below")).groupBy(self.group).agg(
+                    F.first("_ranges").alias("_ranges"), *[F.sum(F.get("_below", F.lit(i))).alias(f"_b{i}") for i in own]
+                )
+                at = F.array(*[F.struct(F.get("_ranges", F.lit(i))["_pos"].alias("_pos"), F.col(f"_b{i}").alias("_before")) for i in own])
+                part = sums.select(self.group, F.inline(F.filter(at, lambda x: x["_pos"].isNotNull())))
+                counts = part if counts is None else counts.unionByName(part)
+            near = F.filter("_placed", lambda x: (x["h"] >= x["low"]) & (x["h"] <= x["high"]))
+            near = rows.select(self.group, "_t", F.inline(near))
+            place = Window.partitionBy(self.group, "_pos").orderBy("h", "_t")
+            ranked = near.withColumn("_rk", F.row_number().over(place)).join(counts, [self.group, "_pos"])
+            cut = F.struct(F.col("h"), F.col("_t").alias("t")).alias("_cut")
+            found = checkpointed(ranked.filter(F.col("_before") + F.col("_rk") == F.col("_k")).select(self.group, "_pos", cut))
+            parts.append(found)
+            sought = checkpointed(sought.join(found, [self.group, "_pos"], "left_anti"))
+            if sought.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
+            width *= 8
+
+
 def fixed_entity_ablation(
     df: DataFrame,
     mode: str = "responses_per_task",
@@ -308,7 +498,7 @@ def fixed_entity_ablation(
     At level ``remove`` a group with d distinct partners keeps its first max(d - remove, min_keep)
     rows, so the row at place j is last kept at level d - j (at every level if j <= min_keep).
     Levels after the first one that loses a task or a worker are left out. ``nested=False`` orders
-    the rows anew for every level, so rows are unfolded by level before the shuffle.
+    the rows anew for every level (see ``_LevelDraw``).
     """
     if mode == "responses_per_task":
         group, entity = "qid", "uid"
@@ -328,17 +518,18 @@ def fixed_entity_ablation(
 
     if not nested:
         hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
-        salted = hashed.withColumn("remove", levels).withColumn("_h", hash48(seed, "remove", "_h", fn=hash_fn))
-        ranked = rank_in_group(
-            salted, [group, "remove"], ["_h", *ties], sizes.withColumn("remove", levels), piece_rows
-        )
-        place = F.lit(len(removed) - 1) - (F.col("remove") / step).cast("int")
-        rows = ranked.filter(F.col("_rk") <= kept_rows).select(*df.columns, place.alias("_pos"))
-        every = _sample_stats("remove", labels, rows)
+        keyed = hashed.withColumn("_t", F.xxhash64(F.lit(7), *ties))
+        draw = _LevelDraw(group, len(removed), removed[-1], step, min_keep, seed, hash_fn)
+        marked = draw.marked(keyed, sizes, piece_rows)
+        masks = [f"_m{j}" for j in range(-(-len(removed) // MASK_BITS))]
+        every = F.explode(F.sequence(F.lit(0), F.lit(len(removed) - 1)))
+        n_obs = sizes.withColumn("_pos", every).groupBy("_pos").agg(F.sum(F.least("_n", draw.kept(F.col("_pos")))).alias("n_obs"))
+        every = _sample_stats("remove", labels, masked_coverage(marked, masks, len(removed), n_obs))
         failed = every.filter(~complete).agg(F.coalesce(F.min("remove"), F.lit(removed[-1] + 1))).scalar()
         stats = every.filter(F.col("remove") < failed).select(F.lit(mode).alias("mode"), *every.columns)
         kept = labels.join(stats.select("remove"), "remove", "left_semi")
-        return IndependentStudy("remove", kept, rows, stats)
+        held = F.array_compact(F.array(*[F.when(mask_bit(masks[i // MASK_BITS], i % MASK_BITS), F.lit(i)) for i in range(len(removed))]))
+        return IndependentStudy("remove", kept, marked.withColumn("_pos", F.explode(held)).select(*df.columns, "_pos"), stats)
 
     hashed, ties = with_row_hash(df, seed, row_key, hash_fn=hash_fn)
     ranked = rank_in_group(hashed, [group], ["_h", *ties], sizes, piece_rows)
@@ -395,7 +586,7 @@ def scenario(
             most = F.array(*[F.lit(c) for c in wanted])[F.col("_pos")]
             ranked = unfolded.withColumn("_rk", F.row_number().over(place)).filter(F.col("_rk") <= max(wanted))
             rows = ranked.filter(F.col("_rk") <= most).select(*df.columns, "_pos")
-            return IndependentStudy(name, labels, rows, _sample_stats(name, labels, rows))
+            return IndependentStudy(name, labels, rows, _sample_stats(name, labels, _unfolded_counts(rows)))
         level = sum((F.when(F.col("_rk") > c, 1).otherwise(0) for c in wanted[:-1]), F.lit(0))
         rows = top_in_group(hashed, group, ["_h", *ties], wanted[-1]).withColumn("lvl", level).select(*df.columns, "lvl")
         return _study(name, labels, rows)

@@ -216,3 +216,101 @@ def test_equal_labels_keep_the_smallest_independent_sample(spark):
     labels = rd._labels(spark, "ratio", [0.98, 0.98, 1.0])
     study = rd._independent("ratio", labels, rows, ["uid"], 1, lambda n: [97, 98, 100], "xxhash64")
     assert study.samples().filter("ratio = 0.98").count() == 97
+
+
+@pytest.mark.parametrize("mode,m", [("task", 1), ("task", 2), ("worker", 1), ("worker", 3)])
+def test_many_draws_equal_brute_force(spark, answers, mode, m, monkeypatch):
+    target, holder = ("qid", "uid") if mode == "task" else ("uid", "qid")
+    points, trials = 9, 8  # more draws than a mask has bits
+    data = pairs(answers) if mode == "task" else {(b, a) for a, b in pairs(answers)}
+    targets, holders = sorted({t for t, _ in data}), {h for _, h in data}
+    grid = spark.createDataFrame([(t, i) for t in targets for i in range(1, points * trials + 1)], "t int, trial int")
+    order = {}
+    for r in grid.select("t", "trial", hash48(42, "trial", "t").alias("h")).collect():
+        order.setdefault(r["trial"], []).append((r["h"], r["t"]))
+    need = {}
+    for trial, hashes in order.items():
+        place = {t: k for k, (_, t) in enumerate(sorted(hashes), 1)}
+        need[trial] = max(sorted(place[t] for t, g in data if g == h)[m - 1] for h in holders)
+    failed = points
+    for i, ratio in reversed(list(enumerate(linspace_values(1.0, 0.1, points)))):
+        if max(int(len(targets) * ratio), m) < max(need[t] for t in need if (t - 1) // trials == i):
+            failed = i
+    want = linspace_values(1.0, 0.1, points)[max(failed - 1, 0)] if failed else 1.0
+    for leaders in (1, 10_000):
+        monkeypatch.setattr(rd, "MAX_LEADERS", leaders)
+        row = rd.safe_ratio(answers, mode, m, points, trials, nested=False).first()
+        assert row["safe_ratio"] == want and row["required_k"] == max(need.values()) and row["total"] == len(targets) and row["feasible"]
+
+
+def test_many_draws_with_too_few_targets(spark):
+    few = spark.createDataFrame([(1, 1), (2, 1), (1, 2)], "qid int, uid int")
+    assert tuple(rd.safe_ratio(few, "task", 2, 4, 3, nested=False).first()) == (1.0, None, 2, False)
+
+
+def test_many_draws_read_the_rows_twice_at_most(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnsRenamed({"l_partkey": "qid", "l_suppkey": "uid"})
+    plan = rd.safe_ratio(df, "task", 2, 10, 5, nested=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2
+
+
+def test_masks_of_levels(spark, answers):
+    """As many levels as take several masks, each a sample of its own."""
+    held = [(F.col("qid") * 7 + F.col("uid") * 3 + i) % (2 + i % 5) == 0 for i in range(130)]
+    masks = {f"_m{j}": w for j, w in enumerate(coverage.level_masks(held))}
+    assert len(masks) == 3
+    got = {r["_pos"]: r for r in coverage.masked_coverage(answers.withColumns(masks), list(masks), 130).collect()}
+    rows = [(r["qid"], r["uid"]) for r in answers.collect()]
+    assert set(got) == set(range(130))
+    for i, r in got.items():
+        own = [(q, u) for q, u in rows if (q * 7 + u * 3 + i) % (2 + i % 5) == 0]
+        assert tuple(r)[1:] == (len({q for q, _ in own}), len({u for _, u in own}), len(set(own)), len(own))
+
+
+def test_independent_studies_unfold_no_rows(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumnsRenamed({"l_partkey": "qid", "l_suppkey": "uid"})
+    study = rd.scenario(df, "worker", nested=False)
+    assert "Generate" not in study.stats._jdf.queryExecution().executedPlan().toString().split("Scan parquet")[-1]
+    plan = study.stats._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # of the one row of counts
+    samples = study.samples().groupBy("workers").agg(F.count_distinct("uid").alias("u"), F.count("*").alias("n"))
+    want = {r["workers"]: (r["n_uid"], r["n_obs"]) for r in study.stats.collect()}
+    assert {r["workers"]: (r["u"], r["n"]) for r in samples.collect()} == want
+
+
+@pytest.mark.parametrize("piece_rows", [3, 1_000])
+@pytest.mark.parametrize("mode", ["responses_per_task", "tasks_per_worker"])
+def test_independent_fixed_entity_by_definition(spark, answers, mode, piece_rows):
+    group, entity = ("qid", "uid") if mode == "responses_per_task" else ("uid", "qid")
+    study = rd.fixed_entity_ablation(answers, mode, 1, 1, 7, ["row"], nested=False, piece_rows=piece_rows)
+    levels = spark.createDataFrame([(i,) for i in range(40)], "remove int")
+    hashed = answers.withColumn("_h", hash48(7, "row")).crossJoin(levels).withColumn("h", hash48(7, "remove", "_h"))
+    groups, kept = {}, {}
+    for r in answers.collect():
+        groups.setdefault(r[group], set()).add(r[entity])
+    least = min(map(len, groups.values()))
+    for r in sorted(hashed.collect(), key=lambda r: r["h"]):
+        kept.setdefault((r["remove"], r[group]), []).append(r)
+    want = {}
+    for remove in range(least):
+        rows = [r for g, own in groups.items() for r in kept[(remove, g)][: max(len(own) - remove, 1)]]
+        found = stats_of([{"qid": r["qid"], "uid": r["uid"]} for r in rows])
+        if found[0] < answers.select("qid").distinct().count() or found[1] < answers.select("uid").distinct().count():
+            break
+        want[remove] = (found, {r["row"] for r in rows})
+    got = {r["remove"]: tuple(r)[2:] for r in study.stats.collect()}
+    assert set(got) == set(want) and all(close(got[k], want[k][0]) for k in want)
+    rows = {}
+    for r in study.samples().collect():
+        rows.setdefault(r["remove"], set()).add(r["row"])
+    assert rows == {k: v for k, (_, v) in want.items()}
+
+
+def test_cuts_are_looked_for_again_where_they_were_missed(spark, monkeypatch):
+    """Rows that share a hash prefix: the cut lies nowhere near its share of the range."""
+    rows = spark.range(400).select(F.lit(1).alias("qid"), (F.col("id") % 9).alias("uid"), F.col("id").alias("row"))
+    plain = rd.hash48
+    monkeypatch.setattr(rd, "hash48", lambda seed, *cols, fn: F.shiftright(plain(seed, *cols, fn=fn), 9) if len(cols) == 2 else plain(seed, *cols, fn=fn))
+    few, many = (rd.fixed_entity_ablation(rows, seed=3, row_key=["row"], nested=False, piece_rows=n) for n in (10, 1_000))
+    assert sorted(map(tuple, few.stats.collect())) == sorted(map(tuple, many.stats.collect()))
+    assert sorted(map(tuple, few.samples().collect())) == sorted(map(tuple, many.samples().collect()))
