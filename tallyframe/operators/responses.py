@@ -69,6 +69,60 @@ def profile_frame(df: DataFrame, rows: int = 3) -> DataFrame:
     return df.limit(rows)
 
 
+# Sizes of the sketches of a profile: 2^LG_DISTINCT counters, and the k of the quantiles.
+LG_DISTINCT, QUANTILE_K = 12, 200
+
+
+def profile_sketches(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row per column (and per group of ``by``) in one pass, of a size that does not grow:
+
+    rows, missing cells (null, and NaN), smallest and largest value as a number or a text, and sketches of
+    the distinct values and of the distribution of numbers. Rows of parts of a table can be merged
+    (:func:`merge_profiles`), so a profile is kept per day or per split and added up later.
+    """
+    keys = by or []
+    return df.groupBy(*keys).agg(F.array(*[_sketched(df, c) for c in columns]).alias("_s")).select(*keys, F.inline("_s"))
+
+
+def _sketched(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType)):
+        raise ValueError(f"{name}: a profile needs numbers, texts, dates or truth values")
+    cell = F.col(f"`{name}`")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        cell = F.when(~F.isnan(cell), cell)
+    numeric = isinstance(kind, T.NumericType)
+    number = cell.cast("double") if numeric else F.lit(None).cast("double")
+    text = F.lit(None).cast("string") if numeric else cell.cast("string")
+    return F.struct(
+        F.lit(name).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count_if(cell.isNull()).alias("n_missing"),
+        F.min(number).alias("smallest"), F.max(number).alias("largest"),
+        F.min(text).alias("smallest_text"), F.max(text).alias("largest_text"),
+        F.hll_sketch_agg(cell.cast("string"), F.lit(LG_DISTINCT)).alias("distinct"),
+        F.kll_sketch_agg_double(number, F.lit(QUANTILE_K)).alias("quantiles"),
+    )
+
+
+def merge_profiles(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Profiles of parts as profiles of the whole, or of larger groups ``by``."""
+    return sketches.groupBy(*(by or []), "column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_missing").alias("n_missing"),
+        F.min("smallest").alias("smallest"), F.max("largest").alias("largest"),
+        F.min("smallest_text").alias("smallest_text"), F.max("largest_text").alias("largest_text"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+
+
+def read_profile(sketches: DataFrame, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """A profile to look at: approximate number of distinct values, and approximate quantiles of numbers."""
+    at = F.array(*[F.lit(float(x)) for x in shares])
+    counted = F.kll_sketch_get_n_double("quantiles") > 0
+    return sketches.withColumns({
+        "n_distinct": F.hll_sketch_estimate("distinct"),
+        "quantiles": F.when(counted, F.kll_sketch_get_quantile_double("quantiles", at)),
+    }).drop("distinct")
+
+
 def score_range(df: DataFrame, column: str = SCORE) -> DataFrame:
     """A1: smallest and largest score; the default range when there is none. NaN is ignored."""
     score = missing_as_null(column)
@@ -133,13 +187,15 @@ def vocabulary_table(df: DataFrame, features: list[str]) -> DataFrame:
 def one_hot_sparse(df: DataFrame, features: list[str], vocabulary: DataFrame | None = None) -> DataFrame:
     """I3 for vocabularies too large for columns: ``context_idx``, the places of the ones.
 
-    The vocabulary stays a table; every feature is one equi-join on its value.
+    The vocabulary stays a table; every feature is one equi-join on its value, whose heavy values are
+    looked up in ``df`` itself, not behind the joins before it.
     """
     table = vocabulary_table(df, features) if vocabulary is None else vocabulary
     out = df
     for i, f in enumerate(features):
         values = table.filter(F.col("position") == i).select(F.col("value").alias(f"_v{i}"), F.col("idx").alias(f"_i{i}"))
-        out = join_by_key(out.withColumn(f"_v{i}", category_text(df, f)), values, f"_v{i}").drop(f"_v{i}")
+        coded = category_text(df, f).alias(f"_v{i}")
+        out = join_by_key(out.withColumn(f"_v{i}", category_text(df, f)), values, f"_v{i}", measured=df.select(coded)).drop(f"_v{i}")
     places = F.array_compact(F.array(*[F.col(f"_i{i}") for i in range(len(features))]))
     return out.withColumn("context_idx", places).select(*[c for c in df.columns if c not in features], "context_idx")
 
@@ -155,12 +211,12 @@ def _check_unique(table: DataFrame, key: str, on_duplicate: str) -> None:
 
 def attach_reference(
     df: DataFrame, refs: DataFrame, cfg: ResponseConfig = ResponseConfig(), on_duplicate: str = "fanout",
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_rows: int = MAX_BROADCAST_ROWS, **join,
 ) -> DataFrame:
-    """Reference rating per task as ``yref_llm``; 0 where there is none."""
+    """Reference rating per task as ``yref_llm``; 0 where there is none. ``join`` as in ``join_by_key``."""
     table = refs.select(F.col(cfg.qid_col).alias(QID), F.col(cfg.reference_score_col).alias(REFERENCE))
     _check_unique(table, QID, on_duplicate)
-    return join_by_key(df, table, QID, max_rows=max_rows).withColumn(REFERENCE, fill_zero(REFERENCE))
+    return join_by_key(df, table, QID, max_rows=max_rows, **join).withColumn(REFERENCE, fill_zero(REFERENCE))
 
 
 def attach_baseline(

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import hashing
 from tallyframe.operators import keyorder as ko
-from tallyframe.operators.joins import fits_broadcast, join_by_key, keep_keys
+from tallyframe.operators.joins import fits_broadcast, heavy_keys, join_by_key, keep_keys
 from tallyframe.operators.splits import group_split, side, train_val_split
 
 
@@ -195,3 +195,29 @@ def test_salts_follow_the_heat_and_null_keys_are_spread(spark):
     joined = join_by_key(rows, table, "qid", max_rows=5, hot_parts=20)
     assert joined.count() == 1000 and joined.filter("v is null").count() == 400
     assert not fits_broadcast(spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t")), max_bytes=5000)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+@pytest.mark.parametrize("copies", [1, 30])
+def test_heavy_keys_join_by_a_sketch(spark, how, copies):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 1000, 1).when(F.col("id") < 1600, 2).when(F.col("id") < 2000, F.lit(None)).otherwise(F.col("id") % 50).alias("qid"), (F.col("id") % 4).alias("x")
+    )
+    table = spark.range(40 * copies).select((F.col("id") % 40).alias("qid"), (F.col("id") * 10).alias("v"))
+    heavy, without = heavy_keys(rows, "qid", 300)
+    assert len(heavy) == 2 and sorted(heavy.values()) == [620, 1020] and without == 400
+    joined = join_by_key(rows, table, "qid", how, max_rows=10, hot_rows=300)
+    plain = rows.join(table, "qid", how)
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, joined.select(plain.columns).collect()), key=str)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_salt" in plan) == (copies > 1) and "Union" in plan
+    assert joined.columns[0] == "qid"
+
+
+def test_no_heavy_keys_is_a_plain_join(spark):
+    rows, table = spark.range(500).withColumnRenamed("id", "qid"), spark.range(100).withColumnRenamed("id", "qid")
+    joined = join_by_key(rows, table, "qid", "inner", max_rows=10)
+    assert joined.count() == 100 and "Union" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    text = rows.select(F.concat(F.lit("k"), (F.col("qid") % 3).cast("string")).alias("k"))
+    keys = spark.range(90).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    assert join_by_key(text, keys, "k", "inner", max_rows=10, hot_rows=50).count() == 500

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.config import ResponseConfig
 from tallyframe.functions import columns as fc
-from tallyframe.operators import responses as rs
+from tallyframe.operators import coverage, responses as rs
 from tallyframe.plans.prepare import prepare
-from tallyframe.sources.tables import read_responses, write_samples, write_split
+from tallyframe.sources.tables import read_responses, read_sides, write_samples, write_split
 
 NAN = float("nan")
 CFG = ResponseConfig(
@@ -163,3 +163,34 @@ def test_source_and_sinks(spark, raw, tmp_path):
     assert back.count() == 2 and "PartitionFilters: [isnotnull(split" in back._jdf.queryExecution().executedPlan().toString()
     write_samples(df.withColumn("level", F.lit(3)), "level", f"{tmp_path}/levels")
     assert spark.read.parquet(f"{tmp_path}/levels").first()["level"] == 3
+
+
+def test_profiles_merge(spark):
+    rows = spark.range(20_000).select(
+        (F.col("id") % 7).alias("day"), F.col("id").alias("n"), F.when(F.col("id") % 4 > 0, (F.col("id") % 1000).cast("double")).otherwise(float("nan")).alias("x"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("w"), (F.col("id") % 300).cast("string"))).alias("t"), F.lit(None).cast("int").alias("nothing"),
+    )
+    names = ["n", "x", "t", "nothing"]
+    parts = rs.profile_sketches(rows, names, ["day"])
+    assert parts.count() == 28
+    whole = {r["column"]: r for r in rs.read_profile(rs.profile_sketches(rows, names)).collect()}
+    merged = {r["column"]: r for r in rs.read_profile(rs.merge_profiles(parts)).collect()}
+    for got in (whole, merged):
+        assert {c: (r["n_rows"], r["n_missing"]) for c, r in got.items()} == {"n": (20_000, 0), "x": (20_000, 5_000), "t": (20_000, 10_000), "nothing": (20_000, 20_000)}
+        assert (got["n"]["smallest"], got["n"]["largest"], got["t"]["smallest_text"], got["t"]["largest_text"]) == (0.0, 19_999.0, "w0", "w98")
+        assert all(abs(got[c]["n_distinct"] / n - 1) < 0.06 for c, n in (("n", 20_000), ("x", 750), ("t", 150))) and got["nothing"]["n_distinct"] == 0
+        assert all(abs(v / 20_000 - share) < 0.04 for v, share in zip(got["n"]["quantiles"], (0.25, 0.5, 0.75)))
+        assert got["t"]["quantiles"] is None and got["nothing"]["smallest"] is None
+    counts = coverage.entity_counts(rows.select(F.col("n").alias("qid"), F.col("t").alias("uid")), approx=True).first()
+    assert abs(counts["n_qid"] / 20_000 - 1) < 0.08 and abs(counts["n_uid"] / 150 - 1) < 0.08 and counts["n_obs"] == 20_000
+    assert rs.read_profile(rs.profile_sketches(rows.limit(0), names)).count() == 4
+    with pytest.raises(ValueError):
+        rs.profile_sketches(rows.withColumn("a", F.array("n")), ["a"])
+
+
+def test_sides_are_pruned_while_the_query_runs(spark, tmp_path):
+    write_split(spark.range(90).withColumn("split", F.when(F.col("id") % 9 == 0, "test").otherwise("train")), f"{tmp_path}/split")
+    sizes = spark.read.parquet(f"{tmp_path}/split").groupBy("split").count()
+    back = read_sides(spark, f"{tmp_path}/split", sizes.filter("count < 50"))
+    assert "dynamicpruning" in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in back.collect()) == list(range(0, 90, 9))
