@@ -6,12 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyframe.constants import (
     MANY_NUMBERS, NO_NUMBER, NO_PERSONA, PERSONA_SEPARATOR, STATUS_INVALID, STATUS_VALID,
 )
 from tallyframe.functions.hashing import as_column
+from tallyframe.operators.joins import join_by_key
 from tallyframe.session import checkpointed
 
 TEMPLATE = """Answer as this person would: {persona}.
@@ -116,6 +117,67 @@ def rate(
     return validate_ratings(asked, "reply", lo, hi, error="_error").drop("_error")
 
 
+LEDGER = T.StructType([
+    T.StructField("prompt_hash", T.StringType(), False),
+    T.StructField("reply", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("run", T.StringType(), False),
+])
+# Prompts of a wave; what a broken run loses is at most one.
+WAVE_PROMPTS = 1_000_000
+
+
+def prompt_hash(prompt: str | Column) -> Column:
+    return F.sha2(as_column(prompt).cast("binary"), 256)
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """The last reply of every prompt that was asked; without a ledger yet an empty table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema(LEDGER).parquet(ledger) if there else spark.createDataFrame([], LEDGER)
+    # asked twice only where a first call failed, or two runs met: a reply counts before an error
+    first = F.min_by(F.struct("reply", "error", "run"), F.struct(F.col("error").isNotNull(), F.col("run")))
+    return rows.groupBy("prompt_hash").agg(first.alias("_r")).select("prompt_hash", "_r.*")
+
+
+def rate_resumed(
+    df: DataFrame, responder: Callable[[list[str]], list[str]], concurrency: int, ledger: str, run: str,
+    prompt: str = "prompt", lo: int = 1, hi: int = 5, retry_failed: bool = False, wave_prompts: int = WAVE_PROMPTS,
+) -> DataFrame:
+    """T4 with a ledger: equal prompts are asked once, and no prompt that the ledger has a reply to is asked again.
+
+    Only hash and prompt travel to the model, in waves of about ``wave_prompts``; the replies of a wave are
+    appended to the ledger (a folder that all executors share) before the next begins, so a run that breaks
+    loses at most its last wave, and the next one goes on from there. The rows then meet their replies
+    where they lie, and are validated at full parallelism. ``retry_failed`` asks again what ended in an error.
+    Adds ``run``, the run that asked; a row without a prompt is invalid, not asked and has none.
+    """
+    spark = df.sparkSession
+    keyed = df.withColumn("prompt_hash", prompt_hash(prompt))
+    known = read_ledger(spark, ledger)
+    if retry_failed:
+        known = known.filter(F.col("error").isNull())
+    wanted = keyed.filter(F.col(prompt).isNotNull()).groupBy("prompt_hash").agg(F.first(prompt).alias("prompt"))
+    wanted = checkpointed(wanted.join(known.select("prompt_hash"), "prompt_hash", "left_anti"))
+    waves = -(-wanted.count() // wave_prompts)
+    wave = F.pmod(F.xxhash64("prompt_hash"), F.lit(max(1, waves)))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answers = _replies(responder, batch["prompt"].tolist())
+            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "reply": [a for a, _ in answers], "error": [e for _, e in answers], "run": run})
+
+    for k in range(waves):
+        part = wanted.filter(wave == k).repartition(concurrency)
+        part.mapInPandas(ask, LEDGER).write.mode("append").parquet(ledger)
+    replies = read_ledger(spark, ledger).withColumnRenamed("error", "_error")
+    answered = join_by_key(keyed, replies, "prompt_hash")
+    return validate_ratings(answered, "reply", lo, hi, error="_error").select(
+        *df.columns, "reply", "llm_rating", "validation_status", "run"
+    )
+
+
 def rating_summary(df: DataFrame) -> DataFrame:
     """T5: count and share per rating and kind of status."""
     status = F.col("validation_status")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.constants import Z95
-from tallyframe.functions.columns import linspace
 from tallyframe.functions.student import t_quantile_column
 
 
@@ -91,14 +90,27 @@ def band_pair(
     return df.select(F.col(k).alias("x"), F.explode(series).alias("_s")).select("x", "_s.*")
 
 
+# Places of an axis that are made at once.
+AXIS_PIECE = 65_536
+
+
 def _common_axis(runs: DataFrame) -> DataFrame:
-    """From (n, first, last) per run: mean length rounded half to even, latest start, earliest end."""
+    """From (n, first, last) per run: mean length rounded half to even, latest start, earliest end.
+
+    The axis is cut into pieces that leave in an exchange, and its places are made piece by piece, so
+    one as long as the data is spread over tasks and never stands in one array.
+    """
     axis = runs.agg(
         F.bround(F.avg("n")).cast("int").alias("length"),
-        F.max("first").alias("k_start"), F.min("last").alias("k_end"),
-    )
-    grid = linspace("k_start", "k_end", "length")
-    return axis.select("length", F.posexplode(grid).alias("pos", "k"))
+        F.max("first").cast("double").alias("k_start"), F.min("last").cast("double").alias("k_end"),
+    ).filter(F.col("length") > 0)
+    pieces = axis.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(AXIS_PIECE))))
+    spread = pieces.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_from")  # a given number is not merged again
+    upto = F.least(F.col("length"), F.col("_from") + AXIS_PIECE) - 1
+    places = spread.select("length", "k_start", "k_end", F.explode(F.sequence("_from", upto)).alias("pos"))
+    step = (F.col("k_end") - F.col("k_start")) / F.nullif(F.col("length") - 1, F.lit(0))
+    k = F.when(F.col("length") == 1, F.col("k_start")).when(F.col("pos") == F.col("length") - 1, F.col("k_end"))
+    return places.select("length", "pos", k.otherwise(F.col("k_start") + F.col("pos") * step).alias("k"))
 
 
 def fixed_k(df: DataFrame, runs: str) -> DataFrame:

@@ -17,6 +17,7 @@ from tallyframe.operators import (
 )
 from tallyframe.plans.answer import answer_tasks
 from tallyframe.plans import prepare as pp, simulate as sim, sql, tables as tb, training
+from tallyframe.session import shared_folder
 from tallyframe.sources import tables as sources
 from tallyframe.plans.tables import FEATURES, HASH, SEED
 
@@ -566,22 +567,24 @@ def scenario_responses_per_task_independent(spark, d):
     ).stats
 
 
-def _safe_independent_ctes(trials: int = 20, points: int = 50) -> str:
+def _safe_independent_ctes(trials: int = 20, points: int = 50, target: str = "qid", holder: str = "uid", m: int = 1) -> str:
     """CTE ``safe`` where every point of the grid has trials of its own; workers answer, tasks are drawn."""
     return f"""
-    p as (select distinct qid as t, uid as o from r),
+    p as (select distinct {target} as t, {holder} as o from r),
     d as (select trial, t, {sql.h(42, 'trial', 't')} as hh
           from (select distinct t from p), (select unnest(range(1, {trials * points + 1})) as trial)),
-    first as (select trial, o, min(hh) as hh from p join d using (t) group by trial, o),
-    reach as (select trial, max(hh) as reach from first group by trial),
-    tg as (select trial, count(*) as total, count(*) filter (where hh <= reach) as rk from d join reach using (trial) group by trial),
-    need as (select (trial - 1) // {trials} as i, max(total) as total, max(rk) as required_k from tg group by 1),
+    place as (select trial, o, hh, row_number() over (partition by trial, o order by hh, t) as rn from p join d using (t)),
+    reach as (select trial, max(hh) as reach, count(*) as no from place where rn = {m} group by trial),
+    tg as (select trial, count(*) as total, count(*) filter (where hh <= reach) as rk, max(no) as no
+           from d join reach using (trial) group by trial),
+    need as (select (trial - 1) // {trials} as i, max(total) as total, max(rk) as required_k,
+                    min(no) = (select count(distinct o) from p) as feasible from tg group by 1),
     grid as (select i, {sql.linspace('1.0::double', '0.1::double', str(points), 'i')} as ratio
              from (select unnest(range(0, {points})) as i)),
-    judged as (select coalesce(min(case when greatest(floor(total * ratio)::bigint, 1) < required_k then i end), {points}) - 1 as good,
-               max(required_k) as required_k, max(total) as total from need join grid using (i)),
+    judged as (select coalesce(min(case when not feasible or greatest(floor(total * ratio)::bigint, {m}) < required_k then i end), {points}) - 1 as good,
+               max(required_k) as required_k, max(total) as total, bool_and(feasible) as feasible from need join grid using (i)),
     safe as (select case when good < 0 then 1.0::double else (select ratio from grid where i = good) end as safe_ratio,
-                    required_k, total, true as feasible from judged)"""
+                    case when feasible then required_k end as required_k, total, feasible from judged)"""
 
 
 @register(f"with r as (select qid, uid from (select event_type as uid, user_id as qid from events)), {_safe_independent_ctes()} select * from safe")
@@ -590,6 +593,88 @@ def safe_ratio_independent(spark, d):
     return reduction.safe_ratio(answers, "task", hash_fn=HASH, nested=False)
 
 
+_FEW = {"check_points": 10, "trials": 5}
+
+
+@register(f"with {R}, {_safe_independent_ctes(5, 10, m=2)} select * from safe")
+def safe_ratio_of_two_independent(spark, d):
+    return reduction.safe_ratio(tb.responses(spark, d), "task", 2, seed=SEED, hash_fn=HASH, nested=False, **_FEW)
+
+
+@register(f"with {R}, {_safe_independent_ctes(5, 10, 'uid', 'qid', 3)} select * from safe")
+def safe_ratio_worker_independent(spark, d):
+    return reduction.safe_ratio(tb.responses(spark, d), "worker", 3, seed=SEED, hash_fn=HASH, nested=False, **_FEW)
+
+
+def _ratio_independent_sql(mode: str) -> str:
+    target, holder = ("qid", "uid") if mode == "task" else ("uid", "qid")
+    safe = "safe as (select 0.1::double as safe_ratio)" if mode == "both" else _safe_independent_ctes(5, 10, target, holder)
+    keys = {"worker": ["uid"], "task": ["qid"], "both": ["uid", "qid"]}[mode]
+    orders = ", ".join(
+        f"k{k} as (select pos, ratio, {k}, row_number() over (partition by pos order by cast('0x' || substr(md5(concat('42{k}/', pos, ':', {k})), 1, 12) as bigint), {k}) as rk, "
+        f"count(*) over (partition by pos) as n from (select distinct {k} from r), l)" for k in keys
+    )
+    chosen = " join ".join(f"(select pos, ratio, {k} from k{k} where rk <= floor(n * ratio)) c{k}" for k in keys)
+    chosen += " using (pos, ratio)" if len(keys) == 2 else ""
+    return f"""with {R}, {safe},
+    l as (select i as pos, {sql.linspace('1.0::double', 'safe_ratio', '10', '(9 - i)')} as ratio from safe, (select unnest(range(10)) as i)),
+    {orders}, c as (select * from {chosen})
+    select round(ratio, 2) as ratio, {sql.COVERAGE} from r join c using ({', '.join(keys)}) group by pos, c.ratio"""
+
+
+@register(_ratio_independent_sql("worker"))
+def ratio_ablation_worker_independent(spark, d):
+    return reduction.ratio_ablation(tb.responses(spark, d), "worker", seed=SEED, hash_fn=HASH, nested=False, **_FEW).stats
+
+
+@register(_ratio_independent_sql("task"))
+def ratio_ablation_task_independent(spark, d):
+    return reduction.ratio_ablation(tb.responses(spark, d), "task", seed=SEED, hash_fn=HASH, nested=False, **_FEW).stats
+
+
+@register(_ratio_independent_sql("both"))
+def ratio_ablation_both_independent(spark, d):
+    return reduction.ratio_ablation(tb.responses(spark, d), "both", seed=SEED, hash_fn=HASH, nested=False, **_FEW).stats
+
+
+def _fixed_independent_sql(mode: str, rows: str, row_hash: str, ties: str) -> str:
+    group, entity = ("qid", "uid") if mode == "responses_per_task" else ("uid", "qid")
+    return f"""with {rows}, b as (select *, {row_hash} as hh from a),
+    g as (select {group} as g, count(distinct {entity}) as dd from a group by 1),
+    l as (select unnest(range(0, (select min(dd) from g))) as remove),
+    x as (select remove, qid, uid, dd, row_number() over (partition by {group}, remove order by {sql.h(SEED, 'remove', 'hh')}, {ties}) as rk
+          from b join g on b.{group} = g.g, l),
+    s as (select remove, {sql.COVERAGE} from x where rk <= greatest(dd - remove, 1) group by remove),
+    t as (select count(distinct qid) as q, count(distinct uid) as u from a)
+    select '{mode}' as mode, s.* from s, t
+    where remove < coalesce((select min(remove) from s, t where n_qid < q or n_uid < u), 1000000)"""
+
+
+@register(_fixed_independent_sql("responses_per_task", f"{R}, {_COPIES}", _ROW_HASH, "qid, uid, l_orderkey, l_linenumber, cp"))
+def fixed_entity_independent(spark, d):
+    return reduction.fixed_entity_ablation(tb.answer_rows(spark, d), "responses_per_task", seed=SEED, hash_fn=HASH, nested=False).stats
+
+
+@register(_fixed_independent_sql(
+    "tasks_per_worker", "a as (select event_type as qid, user_id as uid, event_id from events)", sql.h(SEED, "event_id"), "event_id",
+))
+def fixed_entity_tasks_independent(spark, d):
+    return reduction.fixed_entity_ablation(
+        tb.event_answers(spark, d), "tasks_per_worker", seed=SEED, row_key=["event_id"], hash_fn=HASH, nested=False
+    ).stats
+
+
+@register(_fixed_independent_sql(
+    "tasks_per_worker", "a as (select event_id % 3 as qid, event_type as uid, event_id from events)", sql.h(SEED, "event_id"), "event_id",
+))
+def fixed_entity_independent_large_groups(spark, d):
+    """Few groups of so many rows each that their hashes are not gathered."""
+    answers = tb.table(spark, d, "events").select((F.col("event_id") % 3).alias("qid"), F.col("event_type").alias("uid"), "event_id")
+    return reduction.fixed_entity_ablation(
+        answers, "tasks_per_worker", seed=SEED, row_key=["event_id"], hash_fn=HASH, nested=False, piece_rows=500
+    ).stats
+
+
 # --- summaries -------------------------------------------------------------------------------------
 
 _ERRORS = "e as (select event_type as agent, (user_id % 20 + 1)::int as num_workers, value as error from events)"
@@ -854,6 +939,9 @@ _RATED = _validated_sql(
 )
 
 
+_PROMPTED = f"select doc_id as qid, lang, {_prompt_sql(_PERSONA)} as prompt from documents"
+
+
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     return ratings.rate(ratings.build_prompts(_documents(spark, d), ["lang", "source"]), length_responder, 8)
 
@@ -870,6 +958,17 @@ def rating_summary(spark, d):
     return ratings.rating_summary(_rated(spark, d))
 
 
+@register(f"""select v.qid, reply, llm_rating, validation_status,
+      case when p.prompt in (select prompt from ({_PROMPTED}) where lang = 'en') then 'first' else 'second' end as run
+    from ({_RATED}) v join ({_PROMPTED}) p using (qid)""")
+def rate_tasks_resumed(spark, d):
+    """The ledger of a first run over the English tasks, and a second run over all."""
+    ledger = shared_folder(spark, "ledger")
+    prompts = ratings.build_prompts(_documents(spark, d), ["lang", "source"])
+    ratings.rate_resumed(prompts.filter(F.col("lang") == "en"), length_responder, 8, ledger, "first")
+    return ratings.rate_resumed(prompts, length_responder, 8, ledger, "second").select("qid", "reply", "llm_rating", "validation_status", "run")
+
+
 _TASK_PERSONA = f"""with mg as (select distinct 'o_orderstatus' as feature, o_orderstatus as value from orders
       union select distinct 'o_orderpriority', o_orderpriority from orders),
     {_draw_ctes('1')}, ids as (select doc_id as qid from documents),
@@ -948,7 +1047,9 @@ def reparameterize(spark, d):
 
 
 def _blend_sql(ref: str) -> str:
-    return f"""with {_NET}, {_TASKS}, {_BOUNDS}, zc as (select qid, ref, list_concat(x[1:4], c) as v from tk),
+    z = ", ".join(f"mu[{i}] + {sql.normal(SEED, 'qid', str(i - 1))} * exp(logvar[{i}] * 0.5::double)" for i in range(1, LATENT + 1))
+    return f"""with {_ENCODED}, {_BOUNDS},
+    zc as (select qid, ref, list_concat([{z}], c) as v from tk join mu using (qid) join lv using (qid)),
     b1 as ({sql.dense('fc', 'zc', 'qid', 'v', 'o')}), b2 as ({sql.dense('fcc', 'b1', 'qid', 'o', 'o')}),
     b3 as ({sql.dense('gc1', 'b2', 'qid', 'o', 'o')})
     select qid, round({sql.clamp(f"{ref} + o[1] + {sql.normal('42d', 'qid')} * 0.5::double", 'lo', 'hi')}, 6) as score
@@ -956,8 +1057,10 @@ def _blend_sql(ref: str) -> str:
 
 
 def _blended(spark: SparkSession, d: str, only_generative: bool, **options) -> DataFrame:
-    df = _task_contexts(spark, d).withColumn("z", F.slice("x", 1, LATENT))
-    out = scoring.blend(df, _weights(spark), _config(spark, d, **options), "z", "context", "ref", ["qid"], only_generative)
+    weights = _weights(spark)
+    encoded = scoring.encode(_task_contexts(spark, d), weights, "x", "context")
+    df = encoded.withColumn("z", scoring.reparameterize("mu", "logvar", SEED, "qid", hash_fn=HASH))
+    out = scoring.blend(df, weights, _config(spark, d, **options), "z", "context", "ref", ["qid"], only_generative)
     return rounded(out.select("qid", "score"), 6, "score")
 
 
@@ -1042,6 +1145,91 @@ def simulate(spark, d):
     return rounded(out, 5, "score")
 
 
+@register(_grid_sql(False, f"{_TRAIN}, {_marginals_sql('tr')}"))
+def simulate_references(spark, d):
+    """Every task with the reference rating of its own."""
+    out = sim.simulate(
+        tb.responses(spark, d), tb.grid_tasks(spark, d), FEATURES, tb.worker_ids(spark, d), _weights(spark),
+        seed=SEED, hash_fn=HASH, precision="float64",
+    )
+    return rounded(out, 5, "score")
+
+
+# A feature of as many categories as there are tasks: contexts are places, not columns.
+_WIDE = ["l_returnflag", "part"]
+_VOCABULARY = """vt as (select position, value, row_number() over (order by position, value) - 1 as idx from (
+      select distinct 0 as position, l_returnflag as value from r union select distinct 1, qid::varchar from r))"""
+
+
+def _wide_layers(hidden: int = 400, blend: int = 10) -> str:
+    """Weights as rows (unit, j, w) where the inputs are as many as the vocabulary has values."""
+    def cells(name: str, first: str, count: str, inputs: str, units: int) -> str:
+        return (
+            f"select unit, j, ({sql.u(42, repr(name), 'unit', 'j')} * 2 - 1) * (1.0::double / sqrt({inputs}::double)) as w from "
+            f"(select unnest(range({units})) as unit), (select unnest(range({first}, {first} + {count})) as j from nv), nv"
+        )
+
+    def bias(name: str, inputs: str, units: int) -> str:
+        return f"select unit, ({sql.u(42, repr(name), 'unit', repr('b'))} * 2 - 1) * (1.0::double / sqrt({inputs}::double)) as b from (select unnest(range({units})) as unit), nv"
+
+    narrow = {"fc21": (hidden, LATENT), "fc22": (hidden, LATENT), "fcc": (LATENT, blend), "gc1": (blend, 1)}
+    return ", ".join([
+        "nv as (select count(*) as n from vt)",
+        f"fc1x as ({cells('fc1', '0', str(VECTOR), f'({VECTOR} + n)', hidden)})", f"fc1c as ({cells('fc1', str(VECTOR), 'n', f'({VECTOR} + n)', hidden)})",
+        f"fc1b as ({bias('fc1', f'({VECTOR} + n)', hidden)})",
+        f"fcz as ({cells('fc', '0', str(LATENT), f'({LATENT} + n)', LATENT)})", f"fcc_ as ({cells('fc', str(LATENT), 'n', f'({LATENT} + n)', LATENT)})",
+        f"fcb as ({bias('fc', f'({LATENT} + n)', LATENT)})",
+        *[f"{n} as ({sql.layer(n, *size)})" for n, size in narrow.items()],
+    ])
+
+
+def _sparse_sql() -> str:
+    eps = [sql.normal(SEED, "uid", "qid", str(j)) for j in range(LATENT)]
+    z = ", ".join(f"mu[{j + 1}] + {e} * exp(0.5::double * lv[{j + 1}])" for j, e in enumerate(eps))
+    marginals = """mg as (select feature, value, n from (
+      select 'l_returnflag' as feature, l_returnflag as value, count(*) as n from tr group by 2
+      union all select 'part', qid::varchar, count(*) from tr group by 2))"""
+    return f"""with {_TRAIN}, {_VOCABULARY}, {_wide_layers()}, {_TASKS}, {_BOUNDS}, {marginals}, {_draw_ctes('n')},
+    ids as (select s_suppkey as uid from supplier),
+    dr as (select * from {_drawn('ids', 'uid', 'l_returnflag')} join {_drawn('ids', 'uid', 'part')} using (uid)),
+    pl as (select uid, idx from dr join vt on position = 0 and value = l_returnflag
+           union all select uid, idx from dr join vt on position = 1 and value = part),
+    hx as (select qid, list(h order by unit) as a from (
+      select qid, fc1x.unit, sum(w * xv) + any_value(b) as h from (select qid, unnest(x) as xv, unnest(range({VECTOR})) as j from tk)
+      join fc1x using (j) join fc1b on fc1x.unit = fc1b.unit group by qid, fc1x.unit) group by qid),
+    hc as (select uid, list(h order by unit) as a from (
+      select uid, unit, sum(w) as h from pl join fc1c on j = idx + {VECTOR} group by uid, unit) group by uid),
+    cz as (select uid, list(h order by unit) as a from (
+      select uid, unit, sum(w) as h from pl join fcc_ on j = idx + {LATENT} group by uid, unit) group by uid),
+    hid as (select qid, uid, list_transform(list_zip(hx.a, hc.a), lambda e: case when e[1] + e[2] > 0 then e[1] + e[2]
+              else exp(e[1] + e[2]) - 1 end) as hl from hx, hc),
+    f1 as (select list(w order by unit) as ws, list(b order by unit) as bs from fc21),
+    f2 as (select list(w order by unit) as ws, list(b order by unit) as bs from fc22),
+    bel as (select qid, uid, list_transform(range(1, 5), lambda i: list_dot_product(f1.ws[i], hl) + f1.bs[i]) as mu,
+              list_transform(range(1, 5), lambda i: list_dot_product(f2.ws[i], hl) + f2.bs[i]) as lv from hid, f1, f2),
+    zs as (select qid, uid, [{z}] as zz, cz.a as ca from bel join cz using (uid)),
+    fz as (select list(ws order by unit) as ws, list(b order by unit) as bs from
+      (select fcz.unit, list(w order by j) as ws, any_value(b) as b from fcz join fcb on fcz.unit = fcb.unit group by fcz.unit) t(unit, ws, b)),
+    o1 as (select qid, uid, list_transform(range(1, 5), lambda i: list_dot_product(ws[i], zz) + ca[i] + bs[i]) as o from zs, fz),
+    o2 as (select qid, uid, list_transform(range(1, 11), lambda i: list_dot_product(ws[i], o) + bs[i]) as o
+           from o1, (select list(w order by unit) as ws, list(b order by unit) as bs from fcc)),
+    o3 as (select qid, uid, list_dot_product(w, o) + b as bias from o2, gc1)
+    select uid, qid, round({sql.clamp(f"ref + bias + {sql.normal('42d', 'uid', 'qid')} * 0.5::double", 'lo', 'hi')}, 5) as score
+    from o3 join tk using (qid), bd"""
+
+
+@register(_sparse_sql())
+def simulate_sparse(spark, d):
+    answers = tb.responses(spark, d).withColumn("part", F.col("qid").cast("string"))
+    width = rs.vocabulary_table(answers, _WIDE).count()
+    weights = scoring.load_weights(scoring.init_weights(spark, VECTOR, width, LATENT, seed=SEED, hash_fn=HASH), VECTOR)
+    out = sim.simulate(
+        answers, tb.grid_tasks(spark, d), _WIDE, tb.worker_ids(spark, d), weights,
+        seed=SEED, hash_fn=HASH, precision="float64", encoding="sparse",
+    )
+    return rounded(out, 5, "score")
+
+
 # --- training rows and batches ---------------------------------------------------------------------
 
 
@@ -1075,12 +1263,12 @@ def training_rows_full(spark, d):
 
 
 @register("""select vec_id as qid, label as uid, round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 4) as context_sum,
-      round(embedding[1]::double * 1 + embedding[2]::double * 2, 4) as vector_sum, label::double as human_score, 2.5::double as yref_llm
+      round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 4) as vector_sum, label::double as human_score, 2.5::double as yref_llm
     from embeddings""")
 def training_rows_vector_context(spark, d):
     df = tb.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("qid"), F.col("label").alias("uid"), F.col("embedding").alias("comment"),
-        F.slice("embedding", 1, 2).alias("task_embedding"), F.col("label").alias("human_score"), F.lit(2.5).alias("yref_llm"),
+        F.col("embedding").alias("task_embedding"), F.col("label").alias("human_score"), F.lit(2.5).alias("yref_llm"),
     )
     rows = training.training_rows(df, [], "vector_context")
     return rows.select(
@@ -1089,6 +1277,22 @@ def training_rows_vector_context(spark, d):
     )
 
 
+@register(f"""with {R}, {_VOCABULARY}
+    select r.qid, uid, l_orderkey, l_linenumber, a.idx::bigint as first_place, b.idx::bigint as second_place, {_VECTOR_SUM} as vector_sum,
+      human_score::float::double as human_score, coalesce(quality, 0)::double as yref_llm
+    from r join vt a on a.position = 0 and a.value = l_returnflag join vt b on b.position = 1 and b.value = r.qid::varchar
+      left join labels on r.qid = doc_id""")
+def training_rows_sparse(spark, d):
+    rows = raw_answers(spark, d).withColumns({"part": F.col("qid").cast("string"), "who": F.struct("uid", *tb.ROW_KEY)}).drop("uid")
+    rows = rs.attach_reference(rows.withColumnsRenamed({"vector_text": "task_embedding", "who": "uid"}), tb.task_reference(spark, d))
+    out = training.training_rows(rows, _WIDE, "parsed", encoding="sparse")
+    return out.select(
+        "qid", "uid.*", F.col("context_idx")[0].alias("first_place"), F.col("context_idx")[1].alias("second_place"),
+        _vector_sum("task_embedding").alias("vector_sum"), F.col("human_score").cast("double").alias("human_score"),
+        F.col("yref_llm").cast("double").alias("yref_llm"),
+    )
+
+
 def _batch_sql(source: str, key: str, order: str) -> str:
     return f"""select {key}, ((rk - 1) // 64)::bigint as batch_id, ((rk - 1) % 64)::int as pos
     from (select {key}, row_number() over (order by {order}) as rk from {source})"""
@@ -1104,3 +1308,106 @@ def assign_batches(spark, d):
 def assign_batches_ordered(spark, d):
     df = tb.table(spark, d, "events").select("ts", "event_id")
     return training.assign_batches(df, 64, shuffle=False, row_key=["event_id"], order_by=["ts"]).drop("ts")
+
+
+_LOADER = f"""e as (select user_id as qid, event_id, ts from events), k as ({sql.ranks('e', 'qid', SEED)}),
+    s as (select e.*, case when rk <= ceil(0.2::double * n) then 'val' else 'train' end as split from e join k on e.qid = k.qid),
+    b as (select split, event_id, row_number() over (partition by split order by
+      case when split = 'train' then {sql.h('42/0', 'event_id')} end, case when split = 'val' then ts end, event_id) - 1 as place from s)"""
+
+
+def _loader(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    answers = tb.table(spark, d, "events").select(F.col("user_id").alias("qid"), "event_id", "ts")
+    path = shared_folder(spark, "loader")
+    index = training.train_val_files(answers, path, 64, 0.2, SEED, 0, ["event_id"], ["ts"], per_file=10, hash_fn=HASH)
+    return path, index
+
+
+@register(f"""with {_LOADER} select split, event_id, (place // 64)::bigint as batch_id, (place % 64)::int as pos, (place // 640)::bigint as file from b""")
+def train_val_batches(spark, d):
+    """What a trainer reads: the written rows of both sides."""
+    path, _ = _loader(spark, d)
+    sides = [spark.read.parquet(f"{path}/{x}/rows").withColumn("split", F.lit(x)) for x in (splits.TRAIN, splits.VALIDATION)]
+    return sides[0].unionByName(sides[1]).select("split", "event_id", "batch_id", "pos", F.col("file").cast("bigint").alias("file"))
+
+
+@register(f"""with {_LOADER}, c as (select split, place // 64 as batch_id, count(*) as n_rows from b group by 1, 2)
+    select split, batch_id::bigint as batch_id, (batch_id // 10)::bigint as file, n_rows,
+      (sum(n_rows) over (partition by split, batch_id // 10 order by batch_id) - n_rows)::bigint as first_row from c""")
+def batch_index(spark, d):
+    """Where a trainer finds a batch: file, first row and number of rows."""
+    return _loader(spark, d)[1].select("split", "batch_id", "file", "n_rows", "first_row")
+
+
+@register(f"""with {R}, k as ({sql.ranks('r', 'qid', SEED)}),
+    s as (select r.*, case when rk <= ceil(0.2::double * n) then 'test' else 'train' end as split from r join k on r.qid = k.qid),
+    w as (select split from s group by split having count(*) < (select count(*) / 2 from s))
+    select split, qid, uid, l_orderkey, l_linenumber from s join w using (split)""")
+def split_round_trip(spark, d):
+    """A split as it was written; of it only the side with less than half of the answers."""
+    answers = tb.answer_rows(spark, d)
+    path = shared_folder(spark, "split")
+    sources.write_split(splits.group_split(answers, "qid", 0.2, seed=SEED, hash_fn=HASH), path)
+    sizes = spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    wanted = sizes.filter(F.col("n") < answers.count() / 2)
+    return sources.read_sides(spark, path, wanted).select("split", "qid", "uid", *tb.ROW_KEY)
+
+
+# --- profiles --------------------------------------------------------------------------------------
+
+_PROFILED = ["doc_id", "text", "lang", "n_chars", "quality", "toxic"]
+
+
+def _profile_sql() -> str:
+    kinds = {"text": False, "lang": False}
+    parts = [
+        f"""select lang as part, '{c}' as "column", count(*) as n_rows, count(*) filter (where {c} is null) as n_missing,
+        {f'min({c})::double' if kinds.get(c, True) else 'null::double'} as smallest, {f'max({c})::double' if kinds.get(c, True) else 'null::double'} as largest,
+        {'null::varchar' if kinds.get(c, True) else f'min({c})'} as smallest_text, {'null::varchar' if kinds.get(c, True) else f'max({c})'} as largest_text
+        from j group by lang""" for c in _PROFILED
+    ]
+    return " union all ".join(parts)
+
+
+_LABELLED = "j as (select d.doc_id, d.text, d.lang, d.n_chars, l.quality, l.toxic from documents d left join labels l using (doc_id))"
+_PROFILE_COLUMNS = ["column", "n_rows", "n_missing", "smallest", "largest", "smallest_text", "largest_text"]
+
+
+def _sketches(spark: SparkSession, d: str) -> DataFrame:
+    docs = tb.table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    return rs.profile_sketches(joins.join_by_key(docs, tb.table(spark, d, "labels"), "doc_id").withColumn("part", F.col("lang")), _PROFILED, ["part"])
+
+
+@register(f"with {_LABELLED} {_profile_sql()}")
+def profile_counts(spark, d):
+    """A profile per language."""
+    return _sketches(spark, d).select("part", *_PROFILE_COLUMNS)
+
+
+@register(f"""with {_LABELLED} select "column", sum(n_rows)::bigint as n_rows, sum(n_missing)::bigint as n_missing, min(smallest) as smallest, max(largest) as largest,
+      min(smallest_text) as smallest_text, max(largest_text) as largest_text from ({_profile_sql()}) group by 1""")
+def profile_merged(spark, d):
+    """The profiles of all languages merged into one."""
+    return rs.read_profile(rs.merge_profiles(_sketches(spark, d))).select(*_PROFILE_COLUMNS)
+
+
+# --- heavy keys ------------------------------------------------------------------------------------
+
+# Joins beyond the broadcast bound, with a bound so low that keys are heavy.
+_FORCED = {"max_rows": 20, "hot_rows": 600}
+
+
+@register(f"""with {R} select l_orderkey, l_linenumber, r.qid, r.uid, coalesce(s_acctbal, 0)::float::double as yref_llm
+    from (select l_orderkey, l_linenumber, l_suppkey as qid, l_partkey as uid from r) r left join supplier on r.qid = s_suppkey and s_suppkey % 7 <> 0""")
+def attach_reference_hot(spark, d):
+    rows = tb.responses(spark, d).select("l_orderkey", "l_linenumber", F.col("uid").alias("qid"), F.col("qid").alias("uid"))
+    refs = tb.table(spark, d, "supplier").filter(F.col("s_suppkey") % 7 != 0).select(F.col("s_suppkey").alias("qid"), F.col("s_acctbal").alias("yref_llm"))
+    out = rs.attach_reference(rows, refs, **_FORCED)
+    return out.select("l_orderkey", "l_linenumber", "qid", "uid", F.col("yref_llm").cast("float").cast("double").alias("yref_llm"))
+
+
+@register(f"""with {R} select l_orderkey, l_linenumber, qid, uid from r where uid in (select s_suppkey from supplier where s_suppkey % 7 <> 0)""")
+def keep_keys_hot(spark, d):
+    rows = tb.responses(spark, d).select("l_orderkey", "l_linenumber", "qid", "uid")
+    keys = tb.table(spark, d, "supplier").filter(F.col("s_suppkey") % 7 != 0).select(F.col("s_suppkey").alias("uid"))
+    return joins.keep_keys(rows, keys, "uid", **_FORCED)

@@ -23,7 +23,8 @@ def test_entry(spark):
 # Matrix products, the caller's model function and the t quantile run in Arrow batches.
 ARROW = {
     "mean_ci_t", "encode_beliefs", "reparameterize", "score_grid", "score_grid_collapsed", "simulate", "rate_tasks",
-    "rating_summary", "answer_tasks_personas", "answer_tasks_general",
+    "rating_summary", "answer_tasks_personas", "answer_tasks_general", "blend_scores", "blend_scores_generative",
+    "simulate_references", "simulate_sparse",
 }
 
 

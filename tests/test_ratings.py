@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,58 @@ def test_two_actions_ask_once(spark, tmp_path):
     assert rated.count() == 10 and rated.filter("llm_rating = 4").count() == 9
     assert rated.filter("qid = 3").first()["validation_status"].startswith("INVALID")
     assert len(list(tmp_path.iterdir())) == 9
+
+
+def test_a_broken_run_goes_on_from_its_ledger(spark, tmp_path):
+    asked, ledger = tmp_path / "asked", f"file://{tmp_path}/ledger"
+    asked.mkdir()
+
+    def model(broken):
+        def ask(prompts):
+            import os
+            import uuid
+
+            if broken and "p7" in prompts:
+                os._exit(1)  # the executor is lost, not the call
+            for p in prompts:
+                open(os.path.join(asked, f"{p}-{uuid.uuid4().hex}"), "w").close()
+            return ["no" if p == "p3" else "4" for p in prompts]
+
+        return ask
+
+    def times():
+        return Counter(x.name.split("-")[0] for x in asked.iterdir())
+
+    rows = [(i, None if i == 40 else f"p{i % 20}") for i in range(41)]
+    df = spark.createDataFrame(rows, "qid long, prompt string").repartition(3)
+    with pytest.raises(Exception):
+        ratings.rate_resumed(df, model(True), 1, ledger, "one", wave_prompts=1)
+    early = times()
+    assert 0 < len(early) < 20 and set(early.values()) == {1}
+    before = {r["prompt_hash"] for r in ratings.read_ledger(spark, ledger).collect()}
+    assert len(before) <= len(early)
+    out = ratings.rate_resumed(df, model(False), 2, ledger, "two", wave_prompts=6)
+    got = {r["qid"]: r for r in out.collect()}
+    again = times()
+    assert len(got) == 41 and set(again) == {f"p{i}" for i in range(20)}
+    assert sum(again.values()) == 20 + len(early) - len(before)  # all but what a broken wave held were asked once
+    assert {r["run"] for r in got.values()} == {"one", "two", None}
+    assert got[3]["llm_rating"] is None and got[5]["llm_rating"] == 4 and got[40]["validation_status"].startswith("INVALID")
+    assert out.columns == ["qid", "prompt", "reply", "llm_rating", "validation_status", "run"]
+    ratings.rate_resumed(df, model(True), 2, ledger, "three").count()  # nobody is asked
+    assert times() == again
+
+
+def test_failed_calls_are_asked_again_on_request(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, prompt string")
+
+    def bad(prompts):
+        raise RuntimeError("busy")
+
+    statuses = lambda out: {r["qid"]: r["validation_status"] for r in out.collect()}
+    assert all("busy" in x for x in statuses(ratings.rate_resumed(df, bad, 2, ledger, "1")).values())
+    good = lambda prompts: ["3"] * len(prompts)
+    assert all("busy" in x for x in statuses(ratings.rate_resumed(df, good, 2, ledger, "2")).values())
+    assert set(statuses(ratings.rate_resumed(df, good, 2, ledger, "3", retry_failed=True)).values()) == {"VALID"}
+    assert ratings.rate_resumed(df.limit(0), bad, 2, f"file://{tmp_path}/none", "1").count() == 0

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 from tallyframe.functions.student import t_quantile
 from tallyframe.operators import summary
 
@@ -61,3 +62,14 @@ def test_fixed_k(spark):
     assert axis(runs([1.0, 2.0], [])) == [1.0, 2.0] and summary.empty_runs(runs([], [1.0], None), "k").first()[0] == 2
     long = spark.createDataFrame([(1, 0.0), (1, 4.0), (2, 1.0), (2, 2.0), (2, 5.0)], "run int, k double")
     assert [r["k"] for r in summary.fixed_k_long(long, "run", "k").orderBy("pos").collect()] == [1.0, 4.0]
+
+
+def test_long_axis_is_made_in_many_tasks(spark):
+    runs = spark.createDataFrame([(5_000_000, 1.0, 9.0), (5_000_001, 0.0, 11.0)], "n long, first double, last double")
+    axis = summary._common_axis(runs)
+    assert axis.rdd.getNumPartitions() > 1
+    row = axis.agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.min("k").alias("a"), F.max("k").alias("b"), F.sum("k").alias("s")).first()
+    assert (row["n"], row["last"], row["a"], row["b"]) == (5_000_000, 4_999_999, 1.0, 9.0) and abs(row["s"] / 5_000_000 - 5.0) < 1e-9
+    sizes = axis.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 5_000_000
+    assert summary._common_axis(runs.limit(0)).count() == 0

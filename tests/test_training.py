@@ -1,8 +1,11 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.plans.training import assign_batches, training_rows
-from tallyframe.sources.tables import write_batches
+from tallyframe.operators.responses import one_hot
+from tallyframe.operators.splits import train_val_split
+from tallyframe.plans.training import assign_batches, train_val_files, training_rows
+from tallyframe.sources.tables import read_batch, write_batches
 
 SCHEMA = ("qid long, uid long, human_score double, yref_llm double, f_a float, f_b float, "
           "task_embedding array<double>, baseline_llm_ratings_dist array<double>, comment array<int>, text string")
@@ -69,3 +72,36 @@ def test_batches_are_written_in_order(spark, tmp_path):
     write_batches(assign_batches(spark.range(60), 7, row_key=["id"]), f"{tmp_path}/b", 3)
     files = spark.read.parquet(f"{tmp_path}/b").select("batch_id", F.input_file_name().alias("f")).distinct()
     assert files.count() == 9
+
+
+def test_a_batch_is_one_range_of_one_file(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") % 40).alias("qid"), F.col("id").alias("row"), (F.col("id") * 7 % 1000).alias("ts"))
+    index = train_val_files(rows, f"{tmp_path}/t", 16, 0.25, 3, 0, ["row"], ["ts"], per_file=4)
+    found = {(r["split"], r["batch_id"]): r for r in index.collect()}
+    split = {r["row"]: r["split"] for r in train_val_split(rows, 0.25, 3).collect()}
+    assert sum(r["n_rows"] for r in found.values()) == 1000 and {s for s, _ in found} == {"train", "val"}
+    for (side, batch), r in found.items():
+        if batch % 9 == 0:
+            file = pq.read_table(r["path"].removeprefix("file:")).slice(r["first_row"], r["n_rows"])
+            assert file["batch_id"].to_pylist() == [batch] * r["n_rows"] and file["pos"].to_pylist() == list(range(r["n_rows"]))
+            back = read_batch(spark, f"{tmp_path}/t/{side}", batch, 4)
+            assert [x["row"] for x in back.collect()] == file["row"].to_pylist()
+            assert back.select(F.input_file_name()).distinct().count() == 1
+            assert all(split[x] == side for x in file["row"].to_pylist())
+    val = spark.read.parquet(f"{tmp_path}/t/val/rows").orderBy("batch_id", "pos").collect()
+    assert [r["ts"] for r in val] == sorted(r["ts"] for r in val)
+    assert "PartitionFilters: [isnotnull(file" in read_batch(spark, f"{tmp_path}/t/train", 5, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_rows_equal_columns(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, "[1.0]", 2.0, 1.0, "a", "x"), (2, 1, "[2.0]", 3.0, 0.0, "b", None), (3, 2, None, 4.0, 0.0, "a", "y")],
+        "qid long, uid long, task_embedding string, human_score double, yref_llm double, f string, g string",
+    )
+    sparse = training_rows(rows, ["f", "g"], "parsed", encoding="sparse")
+    coded, names = one_hot(rows, ["f", "g"])
+    dense = {r["qid"]: r["context"] for r in training_rows(coded, names, "parsed").collect()}
+    got = {r["qid"]: r["context_idx"] for r in sparse.collect()}
+    assert {k: [float(i in v) for i in range(len(names))] for k, v in got.items()} == dense
+    with pytest.raises(ValueError):
+        training_rows(rows, ["f"], "vector_context", encoding="sparse")
