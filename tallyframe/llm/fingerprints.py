@@ -5,7 +5,12 @@ hash, so a term weighs as much as it is frequent; a bit of the fingerprint is se
 of the votes set it. Two votes are counted in one 64-bit sum, 32 bits each.
 
 ``near`` finds all pairs of fingerprints within a Hamming radius r: they are cut into b > r blocks, of
-which at least b - r agree, and a table for every choice of b - r blocks meets the pair by equality.
+which at least b - r agree, and a table for every choice of b - r blocks meets the pair by equality. A
+block key that very many fingerprints share is told apart by one block more: the bits of the table's
+other blocks are cut into r + 1, of which one must agree.
+
+A word of more than LONG characters (a text without blanks, a long address) has its runs of RUN
+characters as terms, so that such texts are alike by what they share too.
 
 Defined cases: a null text counts as empty, and an empty text has one empty term; equal texts have
 equal fingerprints; rows of equal keys are ordered by their texts; a null key comes last in descending
@@ -22,13 +27,24 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WORDS = 3  # words in a term
+LONG, RUN = 32, 4  # characters of a word that is cut, and of a run of its characters
 RADIUS, BLOCKS = 3, 5
+HOT = 4_096  # fingerprints of a block key that are met without a further block
 
 
 def terms(text: Column) -> Column:
-    """Hashes of all runs of WORDS words (shorter at the end of the text)."""
+    """Hashes of all runs of WORDS words (shorter at the end of the text), and of the runs of characters of long words."""
     def runs(words: Column) -> Column:
-        return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WORDS))))
+        own = F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WORDS))))
+        return F.when(F.exists(words, lambda w: F.char_length(w) > LONG), F.concat(own, pieces(words))).otherwise(own)
+
+    def pieces(words: Column) -> Column:
+        long = F.filter(words, lambda w: F.char_length(w) > LONG)
+        return F.flatten(F.transform(long, lambda w: F.transform(F.array(F.split(w, "")), characters)[0]))
+
+    def characters(signs: Column) -> Column:
+        inner = F.slice(signs, 1, F.size(signs) - (RUN - 1))
+        return F.transform(inner, lambda s, i: F.xxhash64(F.lit(37), s, *(F.get(signs, i + k) for k in range(1, RUN))))
 
     # the outer transform binds the words, which would be split again for every element otherwise
     return F.element_at(F.transform(F.array(F.split(text, "[ \\n\\t\\r]+")), runs), 1)
@@ -75,36 +91,62 @@ def likeness(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return 1 - distance(a, b) / 128
 
 
-def tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """A row for every choice of blocks - radius blocks: (table, block_key) before the columns of prints."""
-    edges = [128 * k // blocks for k in range(blocks + 1)]
-
-    def bits(start: int, end: int) -> Column:
-        parts = []
+def _bits(spans: list[tuple[int, int]]) -> Column:
+    """Hash of some stretches of the fingerprint, bit 0 the highest of ``high``."""
+    parts = []
+    for start, end in spans:
         for at, column in ((0, "high"), (64, "low")):
             a, b = max(start, at) - at, min(end, at + 64) - at
             if a < b:
                 parts.append(F.shiftrightunsigned(F.col(column), 64 - b).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1)))
-        return F.xxhash64(*parts)
+    return F.xxhash64(F.lit(0), *parts)
+
 
-    cut = [bits(a, b) for a, b in zip(edges, edges[1:])]
-    keys = [F.struct(F.lit(k).alias("table"), F.xxhash64(*(cut[i] for i in some)).alias("block_key")) for k, some in enumerate(combinations(range(blocks), blocks - radius))]
+def _choices(radius: int, blocks: int) -> list[tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]]:
+    """For each table: the stretches it fixes, and radius + 1 parts of those it leaves open."""
+    edges = [128 * k // blocks for k in range(blocks + 1)]
+    spans = list(zip(edges, edges[1:]))
+    found = []
+    for some in combinations(range(blocks), blocks - radius):
+        open_bits = [b for i in range(blocks) if i not in some for b in range(*spans[i])]
+        cut = [len(open_bits) * k // (radius + 1) for k in range(radius + 2)]
+        found.append(([spans[i] for i in some], [[(b, b + 1) for b in open_bits[a:e]] for a, e in zip(cut, cut[1:])]))
+    return found
+
+
+def tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """A row for every choice of blocks - radius blocks: (table, block_key) before the columns of prints."""
+    keys = [F.struct(F.lit(k).alias("table"), _bits(fixed).alias("block_key")) for k, (fixed, _) in enumerate(_choices(radius, blocks))]
     return prints.select(F.inline(F.array(*keys)), *prints.columns)
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _told_apart(rows: DataFrame, hot: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Rows of ``tables`` with ``more``: 0, or for hot block keys a row for each further block, with its hash."""
+    further = F.lit(None).cast("array<bigint>")
+    for k, (_, parts) in enumerate(_choices(radius, blocks)):
+        further = F.when(F.col("table") == k, F.array(*[F.xxhash64(F.lit(i), _bits(p)) for i, p in enumerate(parts)])).otherwise(further)
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), ["table", "block_key"], "left")
+    more = F.when(F.col("hot"), further).otherwise(F.array(F.lit(0).cast("long")))
+    return marked.withColumn("more", F.explode(more)).drop("hot")
+
+
+def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     """All pairs (high, low, near_high, near_low, distance) of different fingerprints within the radius.
 
     Both sides are folded to distinct fingerprints first: copies meet once. Who has a fingerprint is
-    told by the tables themselves, so copies need not be expanded into pairs.
+    told by the tables themselves, so copies need not be expanded into pairs. Block keys of more than
+    ``hot`` fingerprints are few (at most one in so many rows) and are told apart by a further block.
     """
     if not 0 <= radius < blocks:
         raise ValueError("there must be more blocks than the radius")
     left = tables(queries.select("high", "low").distinct(), radius, blocks)
-    right = tables(prints.select("high", "low").distinct(), radius, blocks).withColumnsRenamed({"high": "near_high", "low": "near_low"})
+    right = tables(prints.select("high", "low").distinct(), radius, blocks)
+    keys = c.written(right.groupBy("table", "block_key").count().filter(F.col("count") > hot).select("table", "block_key"))
+    left, right = (_told_apart(x, keys, radius, blocks) for x in (left, right))
+    right = right.withColumnsRenamed({"high": "near_high", "low": "near_low"})
     away = distance((F.col("high"), F.col("low")), (F.col("near_high"), F.col("near_low")))
-    met = left.join(right, ["table", "block_key"]).withColumn("distance", away)
-    return met.filter(F.col("distance").between(1, radius)).drop("table", "block_key").distinct()
+    met = left.join(right, ["table", "block_key", "more"]).withColumn("distance", away)
+    return met.filter(F.col("distance").between(1, radius)).drop("table", "block_key", "more").distinct()
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,10 +177,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return ranked.select(uid(F.col("at"), F.col("rank")).alias("uid"), following.alias("next_uid"), "key", "text", "next_text")
 
 
-def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", asked: Column | None = None) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, and their likeness.
 
-    The edited text has its last third replaced by as much of the beginning of the next document.
+    The edited text has its last third replaced by as much of the beginning of the next document. ``n_near``
+    is, for rows whose key (the column ``key``) meets the condition ``asked``, how many other fingerprints
+    of the table lie within RADIUS of the row's own; else null.
     """
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
@@ -153,9 +197,14 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     edited = prints.filter("which = 1").select("uid", F.struct("high", "low").alias("e"))
     after = own.select(F.col("uid").alias("next_uid"), F.struct("high", "low").alias("x"))
     joined = own.join(edited, "uid").join(after, "next_uid")
+    if asked is None:
+        joined = joined.withColumn("n_near", F.lit(None).cast("long"))
+    else:
+        pairs = near(own.filter(asked), own).groupBy("high", "low").agg(F.count("*").alias("found"))
+        joined = joined.join(pairs, ["high", "low"], "left").withColumn("n_near", F.when(asked, F.coalesce("found", F.lit(0))))
     mine, e, x = (F.col("high"), F.col("low")), (F.col("e.high"), F.col("e.low")), (F.col("x.high"), F.col("x.low"))
     return joined.select(
         F.col("key").alias(key), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         as_text(*mine).alias("fingerprint"), as_text(*e).alias("edited_fingerprint"),
-        likeness(mine, e).alias("near_edited"), likeness(mine, x).alias("near_next"),
+        likeness(mine, e).alias("near_edited"), likeness(mine, x).alias("near_next"), "n_near",
     )

@@ -35,7 +35,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(table(spark, sf_dir, "documents"))
+    return fingerprints.compared(table(spark, sf_dir, "documents"), asked=F.col("key") % 20 == 0)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = slots.sharded(table(spark, sf_dir, "documents"), SHARDS)
     return rows.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "spread"
     )
 
 

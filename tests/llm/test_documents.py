@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -244,3 +245,94 @@ def test_range_buckets(spark):
     splits = c.range_splits(table, "k", 13)
     rows = table.select("k", c.range_bucket(F.col("k"), splits).alias("b")).collect()
     assert all(r["b"] == sum(s < r["k"] for s in splits) for r in rows) and c.range_splits(table.limit(0), "k", 5) == []
+
+
+def test_fingerprint_query(spark, sf, tmp_path):
+    """The registered query against plain Python, the search among them; a table with families of near fingerprints."""
+    rnd = random.Random(4)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
+    rows = [(k, " ".join(words[:390] + [f"x{k % 23}"] + words[391:])) for k in range(1, 60)] + [(100, None), (120, None), (140, "日本語" * 80), (None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        got = {r["doc_id"]: r for r in q.op3_fingerprints(spark, folder).collect()}
+        assert got.keys() == docs.keys()
+        every = {int(r["fingerprint"], 16) for r in got.values()}
+        found = 0
+        for key, r in got.items():
+            if key is None or key % 20:
+                assert r["n_near"] is None
+            else:
+                own = int(r["fingerprint"], 16)
+                assert r["n_near"] == sum(1 <= bin(own ^ x).count("1") <= fp.RADIUS for x in every)
+                found += r["n_near"]
+        assert found or folder == sf
+        order = sorted(docs, key=lambda k: -(k if k is not None else -1))
+        for key, after in zip(order, order[1:] + order[:1]):
+            third = len(docs[key]) // 3
+            edited = docs[key][: len(docs[key]) - third] + docs[after][:third]
+            assert got[key]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[key]["n_chars"] == len(docs[key])
+        assert len({r["fingerprint"] for k, r in got.items() if docs[k] == ""}) <= 1
+
+
+def test_texts_without_blanks_are_alike(spark):
+    rnd = random.Random(2)
+    one, two = ("".join(chr(0x4E00 + rnd.randrange(2000)) for _ in range(900)) for _ in range(2))
+    rows = spark.createDataFrame([(1, one), (2, two), (3, one[:880] + two[:20]), (4, "short"), (5, "x" * 32)], "doc_id long, text string")
+    got = {r["doc_id"]: int(r["fingerprint"], 16) for r in fp.compared(rows).collect()}
+    away = lambda a, b: bin(got[a] ^ got[b]).count("1")
+    assert away(1, 3) < 20 < away(1, 2)
+
+
+def test_hot_block_keys_lose_no_pair(spark):
+    rnd = random.Random(7)
+    base = rnd.getrandbits(128)
+    values = {base ^ sum(1 << b for b in rnd.sample(range(128), rnd.randint(0, 4))) for _ in range(400)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(v >> 64), signed(v & (1 << 64) - 1)) for v in values], "high long, low long")
+    full = lambda h, low: (h % (1 << 64)) << 64 | low % (1 << 64)
+    some = table.filter(F.col("low") % 5 == 0)
+    for hot in (3, 10_000):
+        got = [(full(r["high"], r["low"]), full(r["near_high"], r["near_low"])) for r in fp.near(some, table, hot=hot).collect()]
+        asked = {full(r["high"], r["low"]) for r in some.collect()}
+        assert sorted(got) == sorted((a, b) for a in asked for b in values if 1 <= bin(a ^ b).count("1") <= fp.RADIUS)
+
+
+def test_shard_query(spark, sf, tmp_path):
+    hot = "a text that many rows hold"
+    rows = [(k, hot) for k in range(3000)] + [(k, f"text {k} " * (k % 40)) for k in range(3000, 6000)] + [(k, f"text {k % 50}" * 3) for k in range(6000, 6400)]
+    rows += [(None, None), (None, "x"), (7000, ""), (7000, "é")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("Slot", F.lit(1)).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        docs = Counter((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+        got = q.op9_slots(spark, folder).collect()
+        crc = lambda t: zlib.crc32((t or "").encode())
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sum((Counter({(k, len((t or "").encode()) + 1, crc(t)): n}) for (k, t), n in docs.items()), Counter())
+        assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None} and {r["map_version"] for r in got} == {2}
+        loads, places, homes = Counter(), {}, {}
+        for r in got:
+            loads[r["shard"]] += r["size"]
+            places.setdefault(r["shard"], []).append(r["slot"])
+            if not r["spread"]:
+                homes.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert all(sorted(v) == list(range(len(v))) for v in places.values()) and set(places) == set(range(8))
+        assert all(len(v) == 1 for v in homes.values())  # equal texts lie together, but for those too many for a shard
+        most = max(loads.values()) * 8 / sum(loads.values())
+        assert most < (1.02 if folder != sf else 1.2)
+        assert {r["text_crc32"] for r in got if r["spread"]} == ({crc(hot)} if folder != sf else {r["text_crc32"] for r in got if r["spread"]})
+
+
+def test_rebalancing_is_an_edit(spark):
+    records = spark.range(8000).select(F.least(F.col("id") % 512, F.lit(300)).cast("int").alias("slot"), (F.col("id") % 37 + 1).alias("size"))
+    sizes = slots.slot_bytes(spark, records, 512)
+    one = slots.even_map(spark, 8, 512)
+    two = slots.rebalanced_map(one, sizes, 8)
+    before, after = ({r["slot"]: r["shard"] for r in m.collect()} for m in (one, two))
+    assert set(before) == set(after) == set(range(512)) and [before[s] for s in range(0, 512, 64)] == list(range(8))
+    size = {r["slot"]: r["bytes"] for r in sizes.collect()}
+    loads = Counter()
+    for s, shard in after.items():
+        loads[shard] += size[s]
+    share = sum(loads.values()) / 8
+    assert max(loads.values()) <= max(share, size[300]) * 1.02
+    assert sum(before[s] == after[s] for s in before) > 100 and slots.rebalanced_map(two, sizes, 8).filter("version = 3").count() == 512
