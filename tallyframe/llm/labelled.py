@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as c
+
 #: Rows of each class, and bytes of text in all, that a classifier is fitted on.
 ROWS, BYTES = 1_500, 24 << 20
 #: Documents of each class that the choice looks at, in multiples of those it takes.
@@ -24,10 +26,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
     found = found.select("key", (F.octet_length("text") + 1).alias("bytes"), F.xxhash64("text").alias("hash"), "text")
     one = found.groupBy("key").agg(F.min(F.struct("bytes", "hash")).alias("one")).select("key", "one.bytes", "one.hash")
     marked = marked.groupBy("key").agg(F.max("label").alias("label")).join(one, "key")
-    order = Window.partitionBy("label").orderBy(F.col("bytes") > size, F.xxhash64(F.lit(41), "key"), "key")
-    drawn = marked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SPARE * rows)
+    marked = c.written(marked)
+    order = [F.col("bytes") > size, F.xxhash64(F.lit(41), "key"), F.col("key")]
+    # each task keeps its own first rows of a class, so no task gets a class
+    lists = [marked.filter(F.col("label") == y).orderBy(*order).limit(SPARE * rows).collect() for y in (0, 1)]
+    drawn = [(k, r["label"], r) for own in lists for k, r in enumerate(own)]
     chosen, left, room = [], size, {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["rank"], r["label"])):  # numbers only, at most 2 x SPARE x rows
+    for _, _, r in sorted(drawn, key=lambda x: x[:2]):  # numbers only, at most 2 x SPARE x rows
         if room.setdefault(r["label"], rows) and r["bytes"] <= left:
             chosen.append((r["key"], r["bytes"], r["hash"], r["label"], len(chosen)))
             left -= r["bytes"]
@@ -36,7 +41,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "
         raise ValueError(f"no document of class {lost} fits into {size} bytes beside those drawn before")
     if not chosen:
         return []
-    types = drawn.select("key", "bytes", "hash", "label", "rank").schema
+    types = marked.select("key", "bytes", "hash", "label", F.lit(0).alias("rank")).schema
     keys = F.broadcast(spark.createDataFrame(chosen, types))
     texts = found.join(keys, ["key", "bytes", "hash"]).groupBy("rank", "label").agg(F.min("text").alias("text"))
     return [(r["text"], r["label"]) for r in sorted(texts.collect(), key=lambda r: r["rank"])]

@@ -33,6 +33,8 @@ KINDS = {
 }
 SHARES = np.array([0.02, 0.08, 0.2, 0.5])
 PASSES, STEPS, RATE, DECAY = 3, 60, 0.1, 1e-3
+#: Lines that a model is fitted on; documents that would pass it are passed over for the next ones.
+LINES = 200_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _TABLES = np.stack([np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in KINDS.values()]).astype(np.uint8)
@@ -155,7 +157,8 @@ def document_quality(good: np.ndarray, lengths: np.ndarray, bounds: np.ndarray)
 
 
 def fit(sample: list[tuple[str, int]]) -> Model:
-    """Weights from (text, label) pairs, label 1 for good."""
+    """Weights from (text, label) pairs, label 1 for good; on at most LINES lines."""
+    sample = _fitting(sample)
     own, lengths, bounds = line_features([t.encode() for t, _ in sample])
     features = with_neighbours(own, bounds) if len(own) else np.zeros((0, 3 * _own_width() + 3), np.float32)
     model = Model(np.zeros(3 * _own_width() + 3), np.zeros((2, 2)))
@@ -188,6 +191,19 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     return model
 
 
+def _fitting(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The documents, in order, that have room for all their lines. A class that loses all of its own raises."""
+    taken, left = [], LINES
+    for text, label in sample:
+        lines = text.count("\n") + 1
+        if lines <= left:
+            taken.append((text, label))
+            left -= lines
+    if {y for _, y in taken} != {y for _, y in sample}:
+        raise ValueError(f"no document of a class has at most {LINES} lines")
+    return taken
+
+
 def _curve(quality: np.ndarray, marks: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve, by Newton's method with a small ridge."""
     x = np.stack([quality - 0.5, np.ones(len(quality))], 1)

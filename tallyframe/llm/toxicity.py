@@ -9,8 +9,8 @@ bounded labelled sample on the driver, applied to all texts in Spark tasks.
 A toxic text need not be toxic throughout. First every window bears its text's label, then only the
 window that scores highest, of toxic and clean texts alike.
 
-Defined cases: a null or empty text, or one without a word, has score 0; without labelled rows of both
-classes the network keeps its first weights and the score means nothing.
+Defined cases: a null or empty text, or one without a word, has score 0; a sample without rows of both
+classes gives every other text the score of the class it has (without any row: 0).
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ WINDOW, STRIDE = 32, 16
 WORDS, TRIGRAMS = 1 << 14, 1 << 12  # rows of the embedding tables
 WIDTH, HIDDEN, ATTEND = 8, 8, 8  # of an embedding, of a state, of the attention
 EPOCHS, BATCH, RATE = 12, 256, 0.01
+FIRST_EPOCHS, FIRST_WINDOWS = 2, 6_000  # epochs in which every window bears its text's label, and windows of a class drawn in each
 BLOCK = 4_096  # windows that a worker scores at once
 #: Signs that are cut off both ends of a word.
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -224,13 +225,14 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Network:
     words, grid, owner = windows(pa.array([t for t, _ in sample], pa.string()))
     marks = np.array([y for _, y in sample], np.float32)
     if len(set(marks.tolist())) < 2 or not len(grid):
+        net.curve = (0.0, 30.0 if marks.any() else -30.0)
         return net
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step, some = 0, np.unique(owner)
     begin = np.searchsorted(owner, some)
     for epoch in range(EPOCHS):
-        if epoch < 2:
-            chosen = np.concatenate([rng.choice(np.flatnonzero(marks[owner] == y), 6_000) for y in (0, 1) if (marks[owner] == y).any()])
+        if epoch < FIRST_EPOCHS:
+            chosen = np.concatenate([rng.choice(np.flatnonzero(marks[owner] == y), FIRST_WINDOWS) for y in (0, 1) if (marks[owner] == y).any()])
         else:
             scores = net.window_scores(net.inputs(words), grid)
             top = np.maximum.reduceat(scores, begin)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyframe.llm import labelled, language, quality, queries as q, toxicity
@@ -238,3 +239,43 @@ def test_stages_take_odd_rows(spark, sf):
             out = stage(spark, docs, sf)
             assert out.count() <= docs.count() or name == "packing"
             assert name == "packing" or out.columns == docs.columns
+
+
+def test_toxicity_query(spark, medium, tmp_path):
+    docs, labels = (spark.read.parquet(f"{medium}/{x}.parquet") for x in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in q.op1_toxicity(spark, medium).collect()}
+    assert len(rows) == docs.count()
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
+    assert accuracy(spark, medium, list(rows.values()), "toxic") > 0.85
+    # what the held-out fold is labelled with, and any other column, has no part in a score
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    turned.write.parquet(f"{tmp_path}/labels.parquet")
+    docs.withColumns({"lang": F.lit("x"), "source": F.lit("y"), "n_chars": F.lit(0), "score": F.rand(3)}).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    again = {r["doc_id"]: r["score"] for r in q.op1_toxicity(spark, str(tmp_path)).collect()}
+    assert again.keys() == rows.keys() and all(abs(again[k] - r["score"]) < 1e-6 for k, r in rows.items())
+
+
+def test_one_class_gives_a_constant():
+    texts = pa.array(["a b", "", "c"])
+    assert toxicity.fit([("a", 1)]).text_scores(texts).round(6).tolist() == [1, 0, 1]
+    assert toxicity.fit([("a", 0), ("b", 0)]).text_scores(texts).round(6).tolist() == [0, 0, 0] == toxicity.fit([]).text_scores(texts).round(6).tolist()
+
+
+def test_quality_is_fitted_on_a_bounded_number_of_lines(monkeypatch):
+    monkeypatch.setattr(quality, "LINES", 10)
+    sample = [("a\n" * 50, 1), ("good words here\n" * 4, 1), ("##\n" * 3, 0), ("x\n" * 20, 0)]
+    assert quality._fitting(sample) == [sample[1], sample[2]]
+    assert (quality.fit(sample).weights == quality.fit([sample[1], sample[2]]).weights).all()
+    with pytest.raises(ValueError, match="class"):
+        quality.fit([("a\n" * 50, 1), ("b", 0)])
+
+
+def test_sample_plan_sorts_no_class_in_one_task(spark, medium):
+    import inspect
+
+    assert "Window" not in inspect.getsource(labelled)
+    docs, labels = (spark.read.parquet(f"{medium}/{x}.parquet") for x in ("documents", "labels"))
+    sample = labelled.labelled_sample(docs, labels, "toxic", rows=20)
+    assert Counter(y for _, y in sample) == {0: 20, 1: 20}
+    assert sample == labelled.labelled_sample(docs.repartition(7), labels.repartition(3), "toxic", rows=20)
