@@ -149,10 +149,8 @@ def choose_many(
         counts: list[dict[int, int]] = [{} for _ in ks]
         for r in keys.select(F.inline(places)).groupBy("i", "b").count().collect():
             counts[r["i"]][r["b"]] = r["count"]
-        return [
-            KeyChoice(key, f"{seed}/{i}", hash_fn, n, [k], _cuts(keys.withColumn("_h", hashes[i]), key, counts[i], [min(k, n)], bits))
-            for i, k in enumerate(ks)
-        ]
+        cuts = _cuts_of_levels(keys, key, hashes, counts, [min(k, n) for k in ks], bits)
+        return [KeyChoice(key, f"{seed}/{i}", hash_fn, n, [k], [cut]) for i, (k, cut) in enumerate(zip(ks, cuts))]
     finally:
         keys.unpersist()
 
@@ -186,6 +184,31 @@ def _cuts(keys: DataFrame, key: str, counts: dict[int, int], ks: list[int], bits
     return [found[k] for k in ks]
 
 
+def _cuts_of_levels(
+    keys: DataFrame, key: str, hashes: list[Column], counts: list[dict[int, int]], ks: list[int], bits: int
+) -> list[Cut]:
+    """The cut of one rank per level, each by a hash of its own: the buckets that hold them are fetched
+    together while they are few keys, and looked into level by level beyond that."""
+    inside = {i: _locate(counts[i], [(k, None, k)])[k] for i, k in enumerate(ks) if k > 0}
+    if sum(counts[i][b] for i, (b, _) in inside.items()) > FETCH_KEYS:
+        return [_cuts(keys.withColumn("_h", hashes[i]), key, counts[i], [k], bits)[0] for i, k in enumerate(ks)]
+    cuts = [Cut(-1)] * len(ks)
+    if inside:
+        held = [
+            F.when(F.shiftright(hashes[i], HASH_BITS - bits) == b, F.struct(F.lit(i).alias("i"), hashes[i].alias("h")))
+            for i, (b, _) in inside.items()
+        ]
+        found: dict[int, list] = {i: [] for i in inside}
+        for r in keys.select(key, F.inline(F.array_compact(F.array(*held)))).collect():
+            found[r["i"]].append((r["h"], r[key]))
+        for i, (_, rank) in inside.items():
+            rows = sorted(found[i])
+            h, value = rows[rank - 1]
+            shared = any(0 <= o < len(rows) and rows[o][0] == h for o in (rank - 2, rank))
+            cuts[i] = Cut(h, value if shared else None)
+    return cuts
+
+
 def _locate(
     counts: dict[int, int], wanted: list[tuple[int, tuple[int, int] | None, int]]
 ) -> dict[int, tuple[int, int]]:

@@ -419,11 +419,13 @@ class _LevelDraw:
             listed = F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_cut"))), lambda x: x["_cut"])
             cuts = cuts.unionByName(found.groupBy(self.group).agg(listed.alias("_cuts")))
         rows = join_by_key(keyed, checkpointed(cuts), self.group, "inner")
+        if self.levels <= UNROLLED_DRAWS:  # plain expressions are compiled, lambdas are not
+            held = [self._held(F.get("_cuts", F.lit(i)), F.lit(i)) for i in range(self.levels)]
+            return rows.withColumns({f"_m{j}": w for j, w in enumerate(level_masks(held))}).drop("_cuts", "_h", "_t")
 
         def word(first: int) -> Column:
             def mark(mask: Column, i: Column) -> Column:
-                cut, h = F.get("_cuts", i + first), self.hash(i + first)
-                held = (h < cut["h"]) | ((h == cut["h"]) & (F.col("_t") <= cut["t"]))
+                held = self._held(F.get("_cuts", i + first), i + first)
                 return mask.bitwiseOR(F.when(held, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
 
             size = min(MASK_BITS, self.levels - first)
@@ -432,6 +434,9 @@ class _LevelDraw:
         words = range(0, self.levels, MASK_BITS)
         return rows.withColumns({f"_m{j}": word(first) for j, first in enumerate(words)}).drop("_cuts", "_h", "_t")
 
+    def _held(self, cut: Column, pos: Column) -> Column:
+        return F.struct(self.hash(pos).alias("h"), F.col("_t").alias("t")) <= cut  # the hash is made once
+
     def _gathered(self, keyed: DataFrame, sizes: DataFrame) -> DataFrame:
         """(group, _cuts) of groups whose hashes fit into a list."""
         hashes = join_by_key(keyed.select(self.group, "_h", "_t"), sizes, self.group, "inner")
@@ -524,7 +529,7 @@ def fixed_entity_ablation(
         masks = [f"_m{j}" for j in range(-(-len(removed) // MASK_BITS))]
         every = F.explode(F.sequence(F.lit(0), F.lit(len(removed) - 1)))
         n_obs = sizes.withColumn("_pos", every).groupBy("_pos").agg(F.sum(F.least("_n", draw.kept(F.col("_pos")))).alias("n_obs"))
-        every = _sample_stats("remove", labels, masked_coverage(marked, masks, len(removed), n_obs))
+        every = _sample_stats("remove", labels, checkpointed(masked_coverage(marked, masks, len(removed), n_obs)))  # a row per level
         failed = every.filter(~complete).agg(F.coalesce(F.min("remove"), F.lit(removed[-1] + 1))).scalar()
         stats = every.filter(F.col("remove") < failed).select(F.lit(mode).alias("mode"), *every.columns)
         kept = labels.join(stats.select("remove"), "remove", "left_semi")
