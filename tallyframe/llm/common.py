@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -41,11 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The table, written once to the shared folder and read again: recomputation stops here."""
+    """The table, written once to the shared folder and read again: recomputation stops here, and what was
+    shuffled for it is no longer needed on the executors' disks."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,17 +105,25 @@ def range_bucket(key: Column, splits: list[int]) -> Column:
 # -- batches of text ----------------------------------------------------------------------------
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most CHUNK_ROWS rows and about CHUNK_BYTES of text."""
+def released() -> None:
+    """Give back what Arrow and the C library hold in reserve: an idle worker keeps it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most CHUNK_ROWS rows and about ``size`` bytes of text."""
     for batch in batches:
         at = 0
         sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()))
         sizes = sizes.fill_null(0).to_numpy(zero_copy_only=False)
         while at < batch.num_rows:
             part = sizes[at : at + CHUNK_ROWS].cumsum()
-            rows = max(1, int((part <= CHUNK_BYTES).sum()))
+            rows = max(1, int((part <= size).sum()))
             yield batch.slice(at, rows)
             at += rows
+    released()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

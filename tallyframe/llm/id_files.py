@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .pieces import Pieces, tokenizer_pieces, with_end
+from .pieces import CHUNK, Pieces, tokenizer_pieces, with_end
 
 MAGIC = 0x31534449_42495431
 BLOCK = 4_096
@@ -124,14 +124,18 @@ def encoded(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
     """(key, ids): ids of every whole text and the end id, little-endian, ``id_bytes`` bytes each; ``added`` as in ``tokenizer_pieces``."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
+        flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
+        narrow = flat.view(np.uint8).reshape(-1, 4)
+        if narrow[:, id_bytes:].any():
+            raise ValueError("an id needs more bytes")
+        return pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(narrow[:, :id_bytes].tobytes(), ends * id_bytes)], names=["key", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.small_batches(batches, "text"):
-            pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
-            flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
-            narrow = flat.view(np.uint8).reshape(-1, 4)
-            if narrow[:, id_bytes:].any():
-                raise ValueError("an id needs more bytes")
-            yield pa.RecordBatch.from_arrays([batch.column(0), c.binary_array(narrow[:, :id_bytes].tobytes(), ends * id_bytes)], names=["key", "ids"])
+        for batch in c.small_batches(batches, "text", CHUNK):
+            yield encode(batch)
+            c.released()
 
     return rows.mapInArrow(run, "key long, ids binary")
 

@@ -42,6 +42,8 @@ from . import common as c
 
 #: Members of a piece at most about; queries of a piece that one task takes.
 PIECE, QUERIES = 256, 1_000
+#: Portions of the pieces that are searched one after the other; fewer bytes on disk at a time, the same work.
+PORTIONS = 3
 #: Rows of two numbers that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Classes that a task remembers to have dealt already.
@@ -341,7 +343,11 @@ def class_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     asked = c.written(asked.select("class", "rank", "group", number(F.col("n")).alias("piece")))
     members = groups.join(_small(pieces), "family").withColumn("n", F.pmod(F.xxhash64(F.lit(5), "class"), F.col("pieces")))
     members = members.select("class", "rank", "group", number(F.col("n")).alias("piece"))
-    return first.unionByName(c.written(search(sets, asked, members, num, den)))
+    links = first  # pieces know nothing of each other: a portion's sets leave the disks before the next is shuffled
+    for k in range(PORTIONS):
+        asked_here, members_here = (x.filter(F.pmod(F.xxhash64(F.lit(11), "piece"), F.lit(PORTIONS)) == k) for x in (asked, members))
+        links = links.unionByName(c.written(search(sets, asked_here, members_here, num, den)))
+    return links
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

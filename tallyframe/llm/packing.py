@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
-from .pieces import Pieces, tokenizer_pieces, with_end
+from .pieces import CHUNK, Pieces, tokenizer_pieces, with_end
 
 #: Parts of a bucket within which pieces are ranked: no task gets a whole bucket.
 CELLS = 4_096
@@ -57,19 +57,23 @@ def cut(docs: DataFrame, path: str, end_id: int, longest: int = 2_048, key: str
     schema = f"`{key}` {kind.simpleString()}, start long, length int, ids binary, ids_crc32 long, doc_tokens long"
     rows = docs.select(F.col(key), F.col(text).alias("__text"))
 
+    def cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
+        flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
+        parents, starts, lengths = cuts(np.diff(ends), longest)
+        bounds = np.append(ends[:-1][parents] + starts, len(flat))  # pieces lie one after the other
+        joint = flat.tobytes()
+        view = memoryview(joint)
+        crcs = [zlib.crc32(view[a:b]) for a, b in pairwise((4 * bounds).tolist())]
+        keys = batch.column(0).take(pa.array(parents))
+        totals = pa.array(np.diff(ends)[parents], pa.int64())
+        arrays = [keys, pa.array(starts), pa.array(lengths, pa.int32()), c.binary_array(joint, 4 * bounds), pa.array(crcs, pa.int64()), totals]
+        return pa.RecordBatch.from_arrays(arrays, names=[key, "start", "length", "ids", "ids_crc32", "doc_tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in c.small_batches(batches, "__text"):
-            pieces = _LOADED.get((path, added)) or _LOADED.setdefault((path, added), tokenizer_pieces(path, added))
-            flat, ends = with_end(*pieces(c.as_bytes(batch.column(1))), end_id)
-            parents, starts, lengths = cuts(np.diff(ends), longest)
-            bounds = np.append(ends[:-1][parents] + starts, len(flat))  # pieces lie one after the other
-            joint = flat.tobytes()
-            view = memoryview(joint)
-            crcs = [zlib.crc32(view[a:b]) for a, b in pairwise((4 * bounds).tolist())]
-            keys = batch.column(0).take(pa.array(parents))
-            totals = pa.array(np.diff(ends)[parents], pa.int64())
-            arrays = [keys, pa.array(starts), pa.array(lengths, pa.int32()), c.binary_array(joint, 4 * bounds), pa.array(crcs, pa.int64()), totals]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, "start", "length", "ids", "ids_crc32", "doc_tokens"])
+        for batch in c.small_batches(batches, "__text", CHUNK):
+            yield cut_batch(batch)
+            c.released()
 
     return rows.mapInArrow(run, schema)
 

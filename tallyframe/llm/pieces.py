@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 #: Pieces that a worker remembers, and their bytes with all that belongs to them. The longest that it does.
 MEMO, MEMO_BYTES = 1 << 19, 16 << 20
 LONGEST = 32
+#: Bytes of text that are cut at once.
+CHUNK = 4 << 20
 #: Pieces that are encoded in one call.
 TOGETHER = 64
 
