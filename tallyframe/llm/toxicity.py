@@ -55,7 +55,7 @@ def vocabulary(words: pa.Array) -> Vocabulary:
     raw = [b"<" + (x or b"") + b">" for x in words.cast(pa.large_binary()).to_pylist()]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
     ends = np.cumsum([len(x) for x in raw]).astype(np.int64)
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
     weights = np.uint64(0x100000001B3) ** (np.arange(len(data)) - np.repeat(starts, ends - starts)).astype(np.uint64)
     whole = np.add.reduceat(data * weights, starts) if len(raw) else np.empty(0, np.uint64)
     first = np.ones(len(data), bool)
