@@ -20,7 +20,7 @@ from tallyframe.constants import (
 from tallyframe.functions.columns import linspace_values
 from tallyframe.functions.hashing import HASH_FN, HASH_RANGE, hash48
 from tallyframe.operators.coverage import MASK_BITS, level_coverage, level_masks, mask_bit, masked_coverage
-from tallyframe.operators.joins import MAX_BROADCAST_ROWS, join_by_key
+from tallyframe.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast, join_by_key
 from tallyframe.operators.keyorder import (
     SPLIT_ROWS, choose_keys, choose_many, floor_size, rank_in_group, top_in_group, with_row_hash,
 )
@@ -28,6 +28,10 @@ from tallyframe.session import checkpointed
 
 # Draws that stand side by side in one aggregate; more of them take further aggregates.
 UNROLLED_DRAWS = 64
+# Draws of a group (its rows times the levels) that are made and sorted in one list.
+LISTED_DRAWS = 200_000
+# Keys whose masks of levels may be broadcast, if their bytes fit too.
+BROADCAST_KEYS = 1_000_000
 # Holders that give the bound for many draws; their number changes the work, not the result.
 MAX_LEADERS = 10_000
 
@@ -334,13 +338,23 @@ def _independent(
 ) -> "IndependentStudy":
     """Study of samples drawn apart from each other: the order of the keys is salted with the level.
 
-    The cuts of all levels come from one pass over the distinct keys. A row is marked with the levels
-    that hold it, a bit for each; rows are unfolded only where the samples themselves are asked for.
+    The cuts of all levels come from one pass over the distinct keys. A key is marked with the levels
+    that hold it, a bit for each, and its rows take over the mark, so nothing is drawn per row; rows are
+    unfolded only where the samples themselves are asked for.
     """
-    levels = list(zip(*[choose_many(df, key, f"{seed}{key}", sizes, hash_fn) for key in keys]))
+    choices = {key: choose_many(df, key, f"{seed}{key}", sizes, hash_fn) for key in keys}
+    levels = list(zip(*choices.values()))
     held = [reduce(lambda a, b: a & b, [c.chosen() for c in level]) for level in levels]
-    masks = {f"_m{j}": word for j, word in enumerate(level_masks(held))}
-    counts = masked_coverage(df.select("qid", "uid").withColumns(masks), list(masks), len(held))
+    marked, words = df.select("qid", "uid"), []
+    for key in keys:
+        masks = level_masks([c.chosen() for c in choices[key]])
+        own = [f"_{key}{j}" for j in range(len(masks))]
+        table = checkpointed(df.select(key).filter(F.col(key).isNotNull()).distinct().withColumns(dict(zip(own, masks))))
+        marked = join_by_key(marked, table, key, max_rows=BROADCAST_KEYS, measured=df.select(key))
+        words.append([F.when(F.col(key).isNull(), mask).otherwise(F.col(name)) for mask, name in zip(masks, own)])
+    names = [f"_m{j}" for j in range(len(words[0]))]
+    marked = marked.select("qid", "uid", *[reduce(lambda a, b: a.bitwiseAND(b), word).alias(n) for word, n in zip(zip(*words), names)])
+    counts = masked_coverage(marked, names, len(held))
     rows = df.withColumn("_pos", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(i)) for i, h in enumerate(held)]))))
     return IndependentStudy(name, labels, rows, _sample_stats(name, labels, counts))
 
@@ -358,14 +372,6 @@ def _sample_stats(name: str, labels: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _unfolded_counts(rows: DataFrame) -> DataFrame:
-    """Counts of samples whose rows are already marked by ``_pos``."""
-    return rows.groupBy("_pos").agg(
-        F.count_distinct("qid").alias("n_qid"), F.count_distinct("uid").alias("n_uid"),
-        F.count_distinct("qid", "uid").alias("n_pairs"), F.count(F.lit(1)).alias("n_obs"),
-    )
-
-
 @dataclass(frozen=True)
 class IndependentStudy(Study):
     """As :class:`Study`; ``rows`` already holds each sample, marked by ``_pos``."""
@@ -381,8 +387,9 @@ class IndependentStudy(Study):
 class _LevelDraw:
     """The first rows of every group in an order of its own at each level, without a rank of all rows.
 
-    For every group and level the last kept row is found; a row then compares its own hash with that
-    cut, and marks the levels that hold it. The hashes of a group of up to ``piece_rows`` rows are sorted
+    The rows of a small group are gathered, and drawn and marked with the levels that hold them where they
+    are. For every other group and level the last kept row is found; a row then compares its own hash with
+    that cut, and marks the levels that hold it. The hashes of a group of up to ``piece_rows`` rows are sorted
     where they were gathered. In a larger one the cut lies near the same share of the range of
     hashes: rows below that neighbourhood are counted, and only those within it are ranked. A
     neighbourhood that turns out not to hold the cut is widened. Rows are told apart by 48 bits of the
@@ -412,6 +419,40 @@ class _LevelDraw:
 
     def marked(self, keyed: DataFrame, sizes: DataFrame, piece_rows: int) -> DataFrame:
         """Rows with masks ``_m0``, …: bit i % MASK_BITS of number i // MASK_BITS for position i."""
+        small = F.col("_n") <= min(piece_rows, LISTED_DRAWS // self.levels)
+        others = checkpointed(sizes.filter(~small))
+        if others.isEmpty():
+            return self.listed(keyed, sizes)
+        few = sizes.filter(small)
+        near = self.listed(join_by_key(keyed, few.select(self.group), self.group, "left_semi", measured=keyed.select(self.group)), few)
+        return near.unionByName(self._by_cuts(keyed, others, piece_rows))
+
+    def listed(self, keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+        """The marked rows of groups whose draws fit into a list: of every row and level one hash."""
+        columns = [c for c in keyed.columns if c not in (self.group, "_h", "_t")]
+        rows = F.collect_list(F.struct(*columns, "_h", "_t")).alias("_all")
+        lists = keyed.filter(F.col(self.group).isNotNull()).groupBy(self.group).agg(rows).join(sizes, self.group)
+
+        def held(pos: Column) -> Column:
+            own = F.transform("_all", lambda x, i: F.struct(self.hash(pos, x["_h"]).alias("h"), x["_t"].alias("t"), i.alias("i")))
+            last = F.least(self.kept(pos).cast("int"), F.size("_all")) - 1
+            both = F.transform(F.array(own), lambda all_: F.struct(all_.alias("all"), F.get(F.sort_array(all_), last).alias("cut")))
+            return F.get(F.transform(both, lambda x: F.transform(x["all"], lambda y: y <= x["cut"])), F.lit(0))
+
+        def word(first: int) -> Column:
+            def mark(masks: Column, i: Column) -> Column:
+                bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+                return F.zip_with(masks, held(i + first), lambda m, h: m.bitwiseOR(F.when(h, bit).otherwise(F.lit(0).cast("bigint"))))
+
+            none = F.array_repeat(F.lit(0).cast("bigint"), F.size("_all"))
+            return F.aggregate(F.sequence(F.lit(0), F.lit(min(MASK_BITS, self.levels - first) - 1)), none, mark)
+
+        names = [f"_m{j}" for j in range(-(-self.levels // MASK_BITS))]
+        words = lists.select(self.group, "_all", *[word(j * MASK_BITS).alias(n) for j, n in enumerate(names)])
+        unfolded = words.select(self.group, F.inline(F.arrays_zip("_all", *names)))
+        return unfolded.select(self.group, *[F.col("_all")[c].alias(c) for c in columns], *names)
+
+    def _by_cuts(self, keyed: DataFrame, sizes: DataFrame, piece_rows: int) -> DataFrame:
         cuts = self._gathered(keyed, sizes.filter(F.col("_n") <= piece_rows))
         large = checkpointed(sizes.filter(F.col("_n") > piece_rows))
         if not large.isEmpty():
@@ -487,6 +528,19 @@ class _LevelDraw:
             width *= 8
 
 
+@dataclass(frozen=True)
+class _CountDraw(_LevelDraw):
+    """As above where the levels keep given numbers of rows of every group."""
+
+    counts: tuple[int, ...] = ()
+
+    def remove(self, pos: Column) -> Column:
+        return pos
+
+    def kept(self, pos: Column) -> Column:
+        return F.get(F.array(*[F.lit(c) for c in self.counts]), pos)
+
+
 def fixed_entity_ablation(
     df: DataFrame,
     mode: str = "responses_per_task",
@@ -584,15 +638,41 @@ def scenario(
 
         hashed, ties = with_row_hash(df, str(seed), row_key, hash_fn=hash_fn)
         if not nested:
-            # a group keeps its first rows of every level before the shuffle, so levels are unfolded map-side only
-            unfolded = hashed.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.lit(len(wanted) - 1))))
-            unfolded = unfolded.withColumn("_h", hash48(f"{seed}", "_pos", "_h", fn=hash_fn))
-            place = Window.partitionBy(group, "_pos").orderBy("_h", *ties)
-            most = F.array(*[F.lit(c) for c in wanted])[F.col("_pos")]
-            ranked = unfolded.withColumn("_rk", F.row_number().over(place)).filter(F.col("_rk") <= max(wanted))
-            rows = ranked.filter(F.col("_rk") <= most).select(*df.columns, "_pos")
-            return IndependentStudy(name, labels, rows, _sample_stats(name, labels, _unfolded_counts(rows)))
+            return _group_draws(df, hashed, ties, group, wanted, name, labels, seed, hash_fn)
         level = sum((F.when(F.col("_rk") > c, 1).otherwise(0) for c in wanted[:-1]), F.lit(0))
         rows = top_in_group(hashed, group, ["_h", *ties], wanted[-1]).withColumn("lvl", level).select(*df.columns, "lvl")
         return _study(name, labels, rows)
     raise ValueError("scenario_id must be 'worker', 'task', 'tasks_per_worker' or 'responses_per_task'")
+
+
+def _group_draws(
+    df: DataFrame, hashed: DataFrame, ties: list[str], group: str, wanted: list[int], name: str, labels: DataFrame, seed: int | str, hash_fn: str
+) -> IndependentStudy:
+    """Study of a number of rows per group at each level, every level with an order of its own.
+
+    Rows of small groups are drawn and marked where they are gathered. Of a larger group every task keeps the
+    first rows of each level before the shuffle, so its levels are unfolded map-side only; such a row comes
+    once per level that holds it.
+    """
+    levels = len(wanted)
+    draw = _CountDraw("_g", levels, levels - 1, 1, 0, str(seed), hash_fn, tuple(wanted))
+    keyed = hashed.withColumns({"_g": F.struct(group), "_t": F.xxhash64(F.lit(7), *ties)})  # rows without a key are a group too
+    sizes = checkpointed(df.groupBy(F.struct(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")))
+    large = checkpointed(sizes.filter(F.col("_n") > max(LISTED_DRAWS // levels, 2 * max(wanted))).select("_g"))
+    names = [f"_m{j}" for j in range(-(-levels // MASK_BITS))]
+    if large.isEmpty():
+        marked = draw.listed(keyed, sizes)
+    else:
+        few = fits_broadcast(large)
+        near = join_by_key(keyed, sizes.join(large, "_g", "left_anti").select("_g"), "_g", "left_semi", measured=df.select(F.struct(group).alias("_g")))
+        far = keyed.join(F.broadcast(large) if few else large, "_g", "left_semi")
+        far = far.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("_h", draw.hash(F.col("_pos")))
+        place = Window.partitionBy("_g", "_pos").orderBy("_h", *ties)
+        far = far.withColumn("_rk", F.row_number().over(place)).filter(F.col("_rk") <= max(wanted)).filter(F.col("_rk") <= draw.kept(F.col("_pos")))
+        words = {n: w for n, w in zip(names, level_masks([F.col("_pos") == i for i in range(levels)]))}
+        marked = draw.listed(near, sizes).unionByName(far.withColumns(words).select("_g", *[c for c in keyed.columns if c not in ("_g", "_h", "_t")], *names))
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    n_obs = sizes.withColumn("_pos", every).groupBy("_pos").agg(F.sum(F.least(F.col("_n"), draw.kept(F.col("_pos")).cast("bigint"))).alias("n_obs"))
+    held = F.array_compact(F.array(*[F.when(mask_bit(names[i // MASK_BITS], i % MASK_BITS), F.lit(i)) for i in range(levels)]))
+    rows = marked.withColumn("_pos", F.explode(held)).select(*df.columns, "_pos")
+    return IndependentStudy(name, labels, rows, _sample_stats(name, labels, masked_coverage(marked, names, levels, n_obs)))

@@ -314,3 +314,39 @@ def test_cuts_are_looked_for_again_where_they_were_missed(spark, monkeypatch):
     few, many = (rd.fixed_entity_ablation(rows, seed=3, row_key=["row"], nested=False, piece_rows=n) for n in (10, 1_000))
     assert sorted(map(tuple, few.stats.collect())) == sorted(map(tuple, many.stats.collect()))
     assert sorted(map(tuple, few.samples().collect())) == sorted(map(tuple, many.samples().collect()))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_draws_of_keys_are_made_per_key(spark):
+    answers = spark.range(400).select((F.col("id") % 40).alias("qid"), (F.col("id") * 7 % 50).alias("uid"))
+    study = rd.ratio_ablation(answers, "both", points=3, nested=False)
+    assert "xxhash64(" not in _plan(study.stats)  # rows take over the mark of their keys
+    got = {r["ratio"]: r["n_obs"] for r in study.stats.collect()}
+    assert got == {r["ratio"]: r["n"] for r in study.samples().groupBy("ratio").agg(F.count("*").alias("n")).collect()}
+
+
+@pytest.mark.parametrize("listed", [200_000, 60])
+def test_own_draws_of_counts(spark, monkeypatch, listed):
+    monkeypatch.setattr(rd, "LISTED_DRAWS", listed)  # 60: groups beyond 15 rows are cut before the shuffle
+    n = F.col("id")
+    answers = spark.range(90).select(
+        F.when(n < 5, 7).when(n % 10 < 7, n % 3).alias("uid"), (n % 11).alias("qid"), F.when(n < 60, n).otherwise(F.lit(5)).alias("key")
+    )
+    study = rd.scenario(answers, "tasks_per_worker", counts=[1, 2, 4, 7], row_key=["key"], nested=False)
+    assert listed == 60 or "Window" not in _plan(study.stats)
+    sizes = [r["count"] for r in answers.groupBy("uid").count().collect()]
+    assert len(sizes) == 5  # rows without a worker are a group
+    wanted = {k: sum(min(k, s) for s in sizes) for k in (1, 2, 4, 7)}
+    assert {r["tasks_per_worker"]: r["n_obs"] for r in study.stats.collect()} == wanted
+    held = study.samples().groupBy("tasks_per_worker", "uid").count().collect()
+    assert {r["tasks_per_worker"]: sum(x["count"] for x in held if x["tasks_per_worker"] == r["tasks_per_worker"]) for r in held} == wanted
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    answers = spark.range(24).select((F.col("id") % 2).alias("qid"), F.floor(F.col("id") / 2).alias("uid"), F.lit(1).alias("key"))
+    study = rd.fixed_entity_ablation(answers, row_key=["key"], nested=False)
+    kept = study.rows.groupBy("_pos", "qid").count().collect()
+    assert all(r["count"] == r["_pos"] + 1 for r in kept) and len({r["_pos"] for r in kept}) == 12
