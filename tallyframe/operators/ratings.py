@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyframe.constants import (
@@ -90,13 +91,32 @@ def _replies(responder: Callable[[list[str]], list[str]], prompts: list[str]) ->
         return [_replies(responder, [p])[0] for p in prompts]
 
 
+# Prompts that the model function gets at a time, and characters of them at about; bounds a task's memory.
+ASKED_ROWS, ASKED_BYTES = 1_000, 4 << 20
+
+
+def _asked(responder: Callable[[list[str]], list[str]], batch: pa.RecordBatch, prompt: str) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array]]:
+    """Slices of a batch with their replies and errors; only the prompts of one slice are Python texts at a time."""
+    column = batch.column(batch.schema.get_field_index(prompt))
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("int64")
+    at = 0
+    while at < batch.num_rows:
+        rows = max(1, int((sizes[at : at + ASKED_ROWS].cumsum() <= ASKED_BYTES).sum()))
+        prompts = column.slice(at, rows).to_pylist()
+        there = [p for p in prompts if p is not None]
+        found = iter(_replies(responder, there) if there else [])
+        answers = [next(found) if p is not None else (None, None) for p in prompts]
+        yield batch.slice(at, rows), pa.array([a for a, _ in answers], pa.string()), pa.array([e for _, e in answers], pa.string())
+        at += rows
+
+
 def rate(
     df: DataFrame, responder: Callable[[list[str]], list[str]], concurrency: int, prompt: str = "prompt",
     lo: int = 1, hi: int = 5, keep: bool = True,
 ) -> DataFrame:
     """T4: asks the caller's model function for every prompt, at most ``concurrency`` batches at a time.
 
-    Each task streams its prompts in Arrow batches; the function must be safe to ask twice, since a
+    Each task streams its prompts in slices of Arrow batches; the function must be safe to ask twice, since a
     lost executor's prompts are asked again. A row without a prompt is invalid and not asked.
 
     The replies are kept in a reliable checkpoint, so later actions on the result ask nobody again;
@@ -104,14 +124,14 @@ def rate(
     """
     schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("_error", T.StringType())])
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = schema.names
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = batch[prompt].notna()
-            found = iter(_replies(responder, batch.loc[there, prompt].tolist()) if there.any() else [])
-            answers = [next(found) if x else (None, None) for x in there]
-            yield batch.assign(reply=[a for a, _ in answers], _error=[e for _, e in answers])
+            for part, replies, errors in _asked(responder, batch, prompt):
+                yield pa.RecordBatch.from_arrays([*part.columns, replies, errors], names)
 
-    asked = df.repartition(concurrency).mapInPandas(ask, schema)
+    asked = df.repartition(concurrency).mapInArrow(ask, schema)
     if keep:
         asked = checkpointed(asked)
     return validate_ratings(asked, "reply", lo, hi, error="_error").drop("_error")
@@ -163,14 +183,15 @@ def rate_resumed(
     waves = -(-wanted.count() // wave_prompts)
     wave = F.pmod(F.xxhash64("prompt_hash"), F.lit(max(1, waves)))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers = _replies(responder, batch["prompt"].tolist())
-            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "reply": [a for a, _ in answers], "error": [e for _, e in answers], "run": run})
+            for part, replies, errors in _asked(responder, batch, "prompt"):
+                columns = [part.column("prompt_hash"), replies, errors, pa.array([run] * part.num_rows, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, LEDGER.names)
 
     for k in range(waves):
         part = wanted.filter(wave == k).repartition(concurrency)
-        part.mapInPandas(ask, LEDGER).write.mode("append").parquet(ledger)
+        part.mapInArrow(ask, LEDGER).write.mode("append").parquet(ledger)
     replies = read_ledger(spark, ledger).withColumnRenamed("error", "_error")
     answered = join_by_key(keyed, replies, "prompt_hash")
     return validate_ratings(answered, "reply", lo, hi, error="_error").select(

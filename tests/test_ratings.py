@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,20 @@ def test_failed_calls_are_asked_again_on_request(spark, tmp_path):
     assert all("busy" in x for x in statuses(ratings.rate_resumed(df, good, 2, ledger, "2")).values())
     assert set(statuses(ratings.rate_resumed(df, good, 2, ledger, "3", retry_failed=True)).values()) == {"VALID"}
     assert ratings.rate_resumed(df.limit(0), bad, 2, f"file://{tmp_path}/none", "1").count() == 0
+
+
+def test_model_gets_bounded_slices(spark, monkeypatch):
+    sizes = []
+
+    def responder(prompts):
+        sizes.append((len(prompts), sum(map(len, prompts))))
+        return [p[:1] for p in prompts]
+
+    monkeypatch.setattr(ratings, "ASKED_ROWS", 4)
+    monkeypatch.setattr(ratings, "ASKED_BYTES", 10)
+    texts = ["1", None, "2aaa", "3bbb", "4cccccccccccc", "5", "1", "2", "3", "4", "5", None]
+    batch = pa.RecordBatch.from_pydict({"prompt": texts, "n": list(range(12))})
+    parts = list(ratings._asked(responder, batch, "prompt"))
+    assert [x for _, replies, _ in parts for x in replies.to_pylist()] == [t and t[:1] for t in texts]
+    assert [x for part, _, _ in parts for x in part.column("n").to_pylist()] == list(range(12))
+    assert all(n == 1 or n <= 4 and size <= 10 for n, size in sizes) and len(sizes) > 3
