@@ -25,6 +25,8 @@ BUCKET_BITS = 12
 MAX_BUCKET_BITS = 20
 # A window task of a per-group rank gets pieces of about so many rows, however large the table is.
 SPLIT_ROWS = 1_000_000
+# Rows that a task of a per-group rank gets on average at most.
+RANKED_ROWS = 2_000_000
 COPY_CHUNK = 65_536
 FETCH_KEYS = 20_000
 MAX_LISTED = 50_000  # groups or pieces of groups in a broadcast
@@ -317,7 +319,8 @@ def rank_in_group(
     ``sizes`` has one row per group: its number of rows ``_n`` and any columns to attach. Groups of more
     than ``piece_rows`` rows are split by hash range into pieces of about that size. The lists of such
     groups and of their pieces are broadcast if they are short, and joined by a shuffle if not. Rows are
-    shuffled by group and piece for the rank and for the attached columns.
+    shuffled by group and piece for the rank and for the attached columns, to more tasks than the session's
+    shuffles have where those would get more than RANKED_ROWS rows each.
     """
     bound = piece_rows
     pieces = sizes.withColumn("_pieces", F.ceil(F.col("_n") / bound).cast("int")).drop("_n")
@@ -337,6 +340,9 @@ def rank_in_group(
         marked = marked.drop("_hot")
     attached = pieces.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
     place = Window.partitionBy(*keys).orderBy(*order)
+    parts = math.ceil((sizes.agg(F.sum("_n")).first()[0] or 0) / RANKED_ROWS)
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        marked = marked.repartition(parts, *keys)
     ranked = marked.join(attached, keys).withColumn("_rk", F.row_number().over(place))
     if offsets is not None:
         ranked = ranked.join(_listed(offsets), keys, "left").withColumn(

@@ -221,3 +221,13 @@ def test_no_heavy_keys_is_a_plain_join(spark):
     text = rows.select(F.concat(F.lit("k"), (F.col("qid") % 3).cast("string")).alias("k"))
     keys = spark.range(90).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
     assert join_by_key(text, keys, "k", "inner", max_rows=10, hot_rows=50).count() == 500
+
+
+def test_rank_in_group_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 100).alias("g"), F.xxhash64("id").bitwiseAND(F.lit((1 << 48) - 1)).alias("_h"), "id")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("_n"))
+    once = {(r["id"], r["_rk"]) for r in ko.rank_in_group(rows, ["g"], ["_h", "id"], sizes).collect()}
+    monkeypatch.setattr(ko, "RANKED_ROWS", 100)
+    ranked = ko.rank_in_group(rows, ["g"], ["_h", "id"], sizes)
+    assert {(r["id"], r["_rk"]) for r in ranked.collect()} == once
+    assert ", 30)" in ranked._jdf.queryExecution().executedPlan().toString()
