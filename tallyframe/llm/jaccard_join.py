@@ -42,8 +42,9 @@ from . import common as c
 
 #: Members of a piece at most about; queries of a piece that one task takes.
 PIECE, QUERIES = 256, 1_000
-#: Portions of the pieces that are searched one after the other; fewer bytes on disk at a time, the same work.
-PORTIONS = 3
+#: Portions of the pieces that are searched one after the other, and questions of a portion at about while they are
+#: at most as many as the last; fewer bytes on disk at a time, the same work.
+PORTIONS, ASKED, MAX_PORTIONS = 3, 50_000, 64
 #: Rows of two numbers that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Classes that a task remembers to have dealt already.
@@ -253,14 +254,14 @@ def search(sets: DataFrame, queries: DataFrame, members: DataFrame, num: int, de
     """Links (a, b) between queries and members (piece, class, rank, group) of the same piece.
 
     A query looks for members of a higher (rank, group) than its own. A piece goes, with all its
-    members, to as many tasks as its queries fill; a task holds one piece at a time.
+    members, to as many tasks as its queries fill; a task holds one piece at a time. The links are written.
     """
-    spark = sets.sparkSession
-    tasks = c.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks")))
+    spark, own = sets.sparkSession, c.Scratch(sets.sparkSession)
+    tasks = own.written(queries.groupBy("piece").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("tasks")))
     columns = ["class", "piece", "rank", "group"]
     asked = queries.join(_small(tasks), "piece").select(*columns, F.pmod(F.xxhash64("class"), "tasks").cast("int").alias("task"), F.lit(1).alias("kind"))
     held = members.join(_small(tasks), "piece").select(*columns, F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"))
-    rows = sets.join(_small(c.written(asked.unionByName(held))), "class")
+    rows = sets.join(_small(own.written(asked.unionByName(held))), "class")
     rows = rows.select("piece", "task", "kind", "class", "rank", "group", "shingles").repartition(c.partitions(spark), "piece", "task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,15 +279,18 @@ def search(sets: DataFrame, queries: DataFrame, members: DataFrame, num: int, de
                     found += [(max(number, x), min(number, x)) for x in piece.links((rank, group), one, num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rows.sortWithinPartitions("piece", "task", "kind").mapInArrow(run, "a long, b long").distinct()
+    links = c.written(rows.sortWithinPartitions("piece", "task", "kind").mapInArrow(run, "a long, b long").distinct())
+    own.drop()
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every vertex that is not its component's smallest, and that smallest; from edges (a, b).
 
-    Large stars and small stars by turns, until nothing changes; every round is written.
+    Large stars and small stars by turns, until nothing changes; every round is written, and the one before it dropped.
     """
-    edges = c.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    own = c.Scratch(edges.sparkSession)
+    edges = own.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -299,54 +303,58 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = c.written(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        last, edges = edges, own.written(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        own.drop(last)
     return edges
 
 
 def class_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): links between classes that make up all components of linked classes."""
+    own = c.Scratch(docs.sparkSession)
     dealt = _signature_table(docs, words, num, den)
     same = Window.partitionBy("signature")
     met = dealt.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same))
-    met = c.written(met.filter("low < high").select("signature", "class").distinct())
+    met = own.written(met.filter("low < high").select("signature", "class").distinct())
     # families: the leader of a place is the class that meets most others, here and elsewhere
-    places = c.written(met.groupBy("signature").agg(F.count("*").alias("n")))
-    weight = met.join(places, "signature").groupBy("class").agg(F.sum("n").alias("weight"))
-    weighed = met.join(_small(c.written(weight)), "class")
+    places = own.written(met.groupBy("signature").agg(F.count("*").alias("n")))
+    weight = own.written(met.join(places, "signature").groupBy("class").agg(F.sum("n").alias("weight")))
+    weighed = met.join(_small(weight), "class")
     leads = weighed.groupBy("signature").agg(F.max(F.struct("weight", "class")).alias("top"))
     pairs = met.join(leads.select("signature", F.col("top.class").alias("leader")), "signature").groupBy("class", "leader").agg(F.count("*").alias("n"))
     best = F.max(F.when(F.col("class") != F.col("leader"), F.struct("n", "leader"))).alias("best")
     family = F.coalesce("best.leader", "class").alias("family")
-    families = c.written(pairs.groupBy("class").agg(best).select("class", family))
-    sets = c.written(_sets_of(docs, families.select("class"), words))
+    families = own.written(pairs.groupBy("class").agg(best).select("class", family))
+    own.drop(places, weight)
+    sets = own.written(_sets_of(docs, families.select("class"), words))
     # every class with its leader
     zero = F.lit(0).cast("long")
     asked = families.filter("class <> family").select("class", F.col("family").alias("piece"), zero.alias("rank"), zero.alias("group"))
     leaders = asked.select("piece").distinct().select("piece", F.col("piece").alias("class"), F.lit(1).cast("long").alias("rank"), zero.alias("group"))
-    first = c.written(search(sets, asked, leaders, num, den))
+    first = search(sets, asked, leaders, num, den)
     groups = components(first).withColumnRenamed("a", "class")
     groups = families.join(groups, "class", "left").select("class", "family", F.coalesce("b", "class").alias("group"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("rank"))
-    groups = c.written(groups.join(sizes, "group"))
-    pieces = groups.groupBy("family").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    groups = own.written(groups.join(sizes, "group"))
+    pieces = own.written(groups.groupBy("family").agg(F.ceil(F.count("*") / PIECE).alias("pieces")))
     # who met a member of a higher component in a family asks all pieces of that family
     several = met.join(_small(groups), "class")
-    several = several.join(
-        _small(c.written(several.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature"))),
-        "signature",
-    )
-    several = c.written(several)
+    apart = own.written(several.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("signature"))
+    several = own.written(several.join(_small(apart), "signature"))
+    own.drop(met, apart)
     there = several.groupBy("signature", F.col("family").alias("other")).agg(F.max(F.struct("rank", "group")).alias("top"))
     asked = several.join(there, "signature").filter(F.struct("rank", "group") < F.col("top")).select("class", "rank", "group", F.col("other").alias("family")).distinct()
     number = lambda n: F.xxhash64("family", n)
     asked = asked.join(_small(pieces), "family").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    asked = c.written(asked.select("class", "rank", "group", number(F.col("n")).alias("piece")))
+    asked = own.written(asked.select("class", "rank", "group", number(F.col("n")).alias("piece")))
+    own.drop(several)
     members = groups.join(_small(pieces), "family").withColumn("n", F.pmod(F.xxhash64(F.lit(5), "class"), F.col("pieces")))
-    members = members.select("class", "rank", "group", number(F.col("n")).alias("piece"))
+    members = own.written(members.select("class", "rank", "group", number(F.col("n")).alias("piece")))
     links = first  # pieces know nothing of each other: a portion's sets leave the disks before the next is shuffled
-    for k in range(PORTIONS):
-        asked_here, members_here = (x.filter(F.pmod(F.xxhash64(F.lit(11), "piece"), F.lit(PORTIONS)) == k) for x in (asked, members))
-        links = links.unionByName(c.written(search(sets, asked_here, members_here, num, den)))
+    portions = min(max(PORTIONS, -(-asked.count() // ASKED)), MAX_PORTIONS)
+    for k in range(portions):
+        asked_here, members_here = (x.filter(F.pmod(F.xxhash64(F.lit(11), "piece"), F.lit(portions)) == k) for x in (asked, members))
+        links = links.unionByName(search(sets, asked_here, members_here, num, den))
+    own.drop()
     return links
 
 
