@@ -44,7 +44,7 @@ from . import common as c
 PIECE, QUERIES = 256, 1_000
 #: Portions of the pieces that are searched one after the other, and questions of a portion at about while they are
 #: at most as many as the last; fewer bytes on disk at a time, the same work.
-PORTIONS, ASKED, MAX_PORTIONS = 3, 50_000, 64
+PORTIONS, ASKED, MAX_PORTIONS = 3, 200_000, 64
 #: Rows of two numbers that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Classes that a task remembers to have dealt already.

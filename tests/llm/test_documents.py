@@ -336,3 +336,19 @@ def test_rebalancing_is_an_edit(spark):
     share = sum(loads.values()) / 8
     assert max(loads.values()) <= max(share, size[300]) * 1.02
     assert sum(before[s] == after[s] for s in before) > 100 and slots.rebalanced_map(two, sizes, 8).filter("version = 3").count() == 512
+
+
+def test_join_drops_its_tables(spark, monkeypatch):
+    import os
+
+    paths = []
+    real = jj.c.shared_folder
+    monkeypatch.setattr(jj.c, "shared_folder", lambda s: paths.append(real(s)) or paths[-1])
+    monkeypatch.setattr(jj, "ASKED", 1)
+    monkeypatch.setattr(jj, "MAX_PORTIONS", 4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(d, " ".join(words[d % 5 :] + [f"x{d // 20}"])) for d in range(40)]
+    links = jj.class_links(spark.createDataFrame(rows, "key long, text string"), 3, 80, 100)
+    assert links.count() > 0
+    left = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+    assert len(paths) > 15 and len(left) <= 7  # the links of every search, and the last round of the components
