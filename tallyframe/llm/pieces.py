@@ -8,10 +8,14 @@ recur, and are looked up.
 
 Where the strings of added tokens count, each is a piece of its own, and what lies between them is cut
 as if it were a text, which is what the library does.
+
+A vocabulary that lower-cases and drops white space gives pieces of ASCII and Latin-1 letters the same ids
+in lower case and without the space before them; they are looked up so, and words go to its model at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -35,6 +39,19 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
+#: What a vocabulary does before its model sees a word, where pieces of ASCII and Latin-1 letters may be folded.
+FOLDING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+_UPPER = bytes(range(65, 91))
+_LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
 def starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Where pieces begin in the joint UTF-8 of several texts, which begin at ``texts``.
 
@@ -113,10 +130,11 @@ class Pieces:
     """Ids of whole texts. ``encode`` gives the ids of some pieces, one after the other, and the number of each.
 
     ``apart`` are strings that are pieces of their own wherever they stand; of several at one place the longest.
+    With ``folding`` a piece of ASCII and U+00C0 to U+00FF has the ids of its lower case, without the white space it begins with.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], white_space: bool = True, apart: Iterable[bytes] = ()):
-        self._encode, self._cut = encode, white_space
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], white_space: bool = True, apart: Iterable[bytes] = (), folding: bool = False):
+        self._encode, self._cut, self._folding = encode, white_space, folding
         self._apart = sorted(apart, key=len, reverse=True)
         self._any = re.compile(b"|".join(map(re.escape, self._apart)))
         self.memo = Memo()
@@ -132,6 +150,28 @@ class Pieces:
         joint = np.unique(np.concatenate([begin[outside], first, last]))
         return joint[joint < bounds[-1]]
 
+    def _folded(self, joint: bytes, data: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces as they are looked up, one after the other, and where each begins and the last ends."""
+        lower = np.frombuffer(bytearray(joint.translate(_LOWER)), np.uint8)
+        other = np.zeros(len(begin), bool)
+        if not joint.isascii():
+            lead = data == 0xC3  # of U+00C0 to U+00FF
+            after = np.flatnonzero(lead[:-1]) + 1
+            upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+            lower[upper] += 0x20
+            strange = (data >= 0x80) & ~lead
+            strange[after] = False
+            other |= np.logical_or.reduceat(strange, begin)
+        if self._apart and any(x in joint for x in self._apart):
+            other |= np.isin(begin, [m.start() for m in self._any.finditer(joint)])  # one of these strings: as it is
+        if other.any():
+            lower = np.where(np.repeat(other, np.diff(np.append(begin, len(data)))), data, lower)
+        bare = ((data[begin] == SPACE) | (data[begin] == LINE)) & ~other
+        keep = np.ones(len(data), bool)
+        keep[begin[bare]] = False
+        gone = np.cumsum(bare)
+        return lower[keep].tobytes(), np.append(begin - (gone - bare), len(data) - gone[-1])
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text begin and the last end."""
         joint = b"".join(texts)
@@ -144,6 +184,8 @@ class Pieces:
         if any(x in joint for x in self._apart):
             begin = self._set_apart(begin, texts, bounds)
         ends = np.append(begin, len(data))
+        if self._folding:
+            joint, ends = self._folded(joint, data, begin)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(joint)])
         folded = pieces.dictionary_encode()
         which, distinct = folded.indices.to_numpy(), folded.dictionary
@@ -166,7 +208,7 @@ def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
     them, or at normalized text, leave texts uncut.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = not added
@@ -188,14 +230,37 @@ def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
             return each(pieces)
         return ids[ids != mark], np.diff(at, prepend=-1) - 1
 
+    made = json.loads(tokenizer.to_str())
+    folding = plain and all(made[k] == v for k, v in FOLDING.items()) and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+    model, as_bytes = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    signs = {chr(i - 0x40): as_bytes.pre_tokenize_str(chr(i))[0][0][1] for i in range(0xDF, 0x100)}  # for the second byte of a letter
+    signs = {k: v for k, v in signs.items() if k != v}  # other bytes stand for themselves
+
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a folding vocabulary the model gets words of letters as they are, byte by byte."""
+        words = np.array([folding and _WORD(x) is not None for x in pieces], bool)
+        if not words.any():
+            return by_text(pieces)
+        spelled = b"\n".join([p for p, w in zip(pieces, words.tolist()) if w]).decode("latin-1")
+        for byte, sign in signs.items():
+            spelled = spelled.replace(byte, sign)
+        found = [[x.id for x in model.tokenize(word)] for word in spelled.split("\n")]
+        rest, counts = by_text([p for p, w in zip(pieces, words.tolist()) if not w])
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[words], sizes[~words] = list(map(len, found)), counts
+        ids = np.empty(int(sizes.sum()), "<u4")
+        here = np.repeat(words, sizes)
+        ids[here], ids[~here] = [i for x in found for i in x], rest
+        return ids, sizes
+
+    def by_text(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         work = each if mark is None else joint
         parts = [work(pieces[at : at + TOGETHER]) for at in range(0, len(pieces), TOGETHER)]
         ids = [np.asarray(x, "<u4") for x, _ in parts]
         sizes = [np.asarray(x, np.int64) for _, x in parts]
         return np.concatenate([np.empty(0, "<u4"), *ids]), np.concatenate([np.empty(0, np.int64), *sizes])
 
-    return Pieces(encode, plain, [x.encode() for x in apart])
+    return Pieces(encode, plain, [x.encode() for x in apart], folding)
 
 
 def _overlap(one: str, other: str) -> bool:

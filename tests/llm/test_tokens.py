@@ -224,3 +224,24 @@ def test_cuts_of_many_documents():
         assert own == packing.piece_lengths(n, 64)
         assert starts[parents == k].tolist() == np.concatenate([[0], np.cumsum(own)])[:-1].tolist()
     assert all(len(x) == 0 for x in packing.cuts(np.empty(0, np.int64), 64))
+
+
+def test_words_are_folded_before_they_are_looked_up(texts):
+    words = [
+        "The the THE\nthe.The, thE's IT'S Élan élan ÉLAN ÀÞß×÷ÿ ÿ Ÿ İi H̱ é́ É́ ÉA ÉÉÉ naïve NAÏVE\nCiÓN ción cIóN í Í ıI ΣΑΣ ſK K å Å",
+        " Word\nword \n\nWord\tword x<|endoftext|>X <|ENDOFTEXT|> <|startoftext|> Le<|startoftext|>LE", "É", " É", "\nÉ", "́ É ́", "",
+    ]
+    rnd = random.Random(8)
+    words += ["".join(rnd.choice("abAB'sS. \n×÷ÀÉéßÿŸ́í19漢") for _ in range(300)) for _ in range(300)]
+    data = [t.encode() for t in texts + words] + [b"\xc3 A\xc3", b"\x80B \xc3A \xc3\xc3\x89 \xc3\x97"]  # not UTF-8
+    for added in (False, True):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        tokenizer.encode_special_tokens = not added
+        want = [x.ids for x in tokenizer.encode_batch([x.decode("utf-8", "replace") for x in data], add_special_tokens=False)]
+        held = pieces.tokenizer_pieces(q.WORD_TOKENIZER, added)
+        for _ in range(2):
+            flat, ends = held(data)
+            assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+    known = set(held.memo.keys.to_pylist())
+    assert b"the" in known and b"\xc3\xa9lan" in known and not known & {b" the", b" The", b"\xc3\x89lan", b" \xc3\x89lan"}
+    assert not pieces.tokenizer_pieces(q.BYTE_TOKENIZER, True)._folding
