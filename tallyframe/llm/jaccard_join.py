@@ -13,14 +13,14 @@ classes are compared.
    the leader that it meets most often, and is compared with that leader at once; these links give
    the components so far. A family is cut into pieces of bounded size.
 3. Token-group matrix. For each piece the union of its members' shingles is stored, and which member has
-   which. A class that met a member of another, larger component in a family asks that family's pieces:
-   its overlap with the union bounds that with every member. Only a piece that reaches what a link
+   which. A class that met members of another, larger component in a family at as many places as a link
+   makes certain (1 + e, less its empty parts that are left out) asks that family's pieces: its overlap with the union bounds that with every member. Only a piece that reaches what a link
    needs is opened, and the overlaps with its members are counted.
 4. Links join the components.
 
 Step 2 is the same search with pieces of one member. No step lists the pairs within a group. Pieces
-with many queries are dealt to several tasks. A signature is 64 bits, as is a class; the chance that
-any two of n different classes share a number is n^2 / 2^65.
+with many queries are dealt to several tasks. A signature is 63 bits and the parity of its size class, a
+class 64 bits; the chance that any two of n different classes share a number is n^2 / 2^65.
 
 Defined cases: null or empty texts, and texts of white space, have no shingles and link with nothing;
 with fewer words than ``words`` the whole sequence is the one shingle; rows of equal keys are rows of
@@ -106,6 +106,14 @@ def class_of(one: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(one.tobytes())).astype(np.int64))
 
 
+_DEAL = np.uint64(0x632BE59BD9B4E019)
+
+
+def _part_of(shingles: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    """Which of so many parts each shingle is dealt into."""
+    return (mixed(shingles + _DEAL) >> np.uint64(33)).astype(np.int64) % parts
+
+
 class Parts:
     """How sets are dealt into parts: by size class, with as many parts as a link leaves one equal."""
 
@@ -131,6 +139,16 @@ class Parts:
         found = [self._dealt(sets, [k - back for k in own]) for back in (0, 1)]
         return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
+    def needs(self, one: np.ndarray) -> list[int]:
+        """For the even and the odd one of the size classes a set is dealt as: the least signatures it shares with a linked set."""
+        found, own = [1, 1], self.size_class(len(one))
+        for k in (own, own - 1):
+            m, spare = self.parts(k) if k >= 0 else (0, 0)
+            if m:
+                empty = m - len(np.unique(_part_of(one, m)))
+                found[k & 1] = 1 + spare - empty if empty <= spare else 1
+        return found
+
     def _dealt(self, sets: list[np.ndarray], classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         shape = [self.parts(k) if k >= 0 and len(x) else (0, 0) for k, x in zip(classes, sets)]
         use = [i for i, (m, _) in enumerate(shape) if m]
@@ -139,10 +157,10 @@ class Parts:
         sizes = np.array([len(sets[i]) for i in use])
         parts = np.array([shape[i][0] for i in use])
         begin = np.cumsum(parts) - parts
-        tokens = mixed(np.concatenate([sets[i] for i in use]) + np.uint64(0x632BE59BD9B4E019))
-        part = (tokens >> np.uint64(33)).astype(np.int64) % np.repeat(parts, sizes) + np.repeat(begin, sizes)
+        joint = np.concatenate([sets[i] for i in use])
+        part = _part_of(joint, np.repeat(parts, sizes)) + np.repeat(begin, sizes)
         total = int(parts.sum())
-        tokens = mixed(tokens)
+        tokens = mixed(mixed(joint + _DEAL))
         # sums of 32-bit halves stay exact in floating point below 2^21 shingles; larger sets add in turn
         sums = np.zeros(total, np.uint64)
         if int(sizes.max()) < 1 << 20:
@@ -156,7 +174,8 @@ class Parts:
         many = np.bincount(owner, empty, len(use)) > np.array([shape[i][1] for i in use])
         keep = ~empty | many[owner]
         number = np.arange(total) - begin[owner] + np.repeat([classes[i] + 1 << 32 for i in use], parts)
-        signature = mixed(sums ^ mixed(number.astype(np.uint64)))
+        parity = np.repeat(np.array([classes[i] & 1 for i in use], np.uint64), parts)
+        signature = mixed(sums ^ mixed(number.astype(np.uint64))) & ~np.uint64(1) | parity
         return signature[keep], np.array(use)[owner[keep]]
 
 
@@ -209,6 +228,18 @@ def _sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, shingles binary").join(_small(classes), "class")
 
 
+def _needs_of(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(class, needs): what ``Parts.needs`` says of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(num, den)
+        for batch in batches:
+            needs = [parts.needs(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(needs, pa.list_(pa.int64()))], names=["class", "needs"])
+
+    return sets.select("class", "shingles").mapInArrow(run, "class long, needs array<long>")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """With a broadcast hint if it has few rows; its columns are numbers."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -334,7 +365,8 @@ def class_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     groups = components(first).withColumnRenamed("a", "class")
     groups = families.join(groups, "class", "left").select("class", "family", F.coalesce("b", "class").alias("group"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("rank"))
-    groups = own.written(groups.join(sizes, "group"))
+    needs = _needs_of(sets, num, den).dropDuplicates(["class"])  # a class may have come from several tasks
+    groups = own.written(groups.join(sizes, "group").join(needs, "class"))
     pieces = own.written(groups.groupBy("family").agg(F.ceil(F.count("*") / PIECE).alias("pieces")))
     # who met a member of a higher component in a family asks all pieces of that family
     several = met.join(_small(groups), "class")
@@ -342,7 +374,11 @@ def class_links(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     several = own.written(several.join(_small(apart), "signature"))
     own.drop(met, apart)
     there = several.groupBy("signature", F.col("family").alias("other")).agg(F.max(F.struct("rank", "group")).alias("top"))
-    asked = several.join(there, "signature").filter(F.struct("rank", "group") < F.col("top")).select("class", "rank", "group", F.col("other").alias("family")).distinct()
+    asked = several.join(there, "signature").filter(F.struct("rank", "group") < F.col("top"))
+    # at as many places of one size class as a link makes certain
+    odd = F.pmod("signature", F.lit(2))
+    asked = asked.withColumn("need", F.col("needs")[odd.cast("int")]).groupBy("class", "rank", "group", F.col("other").alias("family"), "need", odd).agg(F.count("*").alias("places"))
+    asked = asked.filter(F.col("places") >= F.col("need")).select("class", "rank", "group", "family").distinct()
     number = lambda n: F.xxhash64("family", n)
     asked = asked.join(_small(pieces), "family").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     asked = own.written(asked.select("class", "rank", "group", number(F.col("n")).alias("piece")))

@@ -352,3 +352,24 @@ def test_join_drops_its_tables(spark, monkeypatch):
     assert links.count() > 0
     left = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
     assert len(paths) > 15 and len(left) <= 7  # the links of every search, and the last round of the components
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (85, 100), (60, 100)])
+def test_linked_sets_share_as_many_signatures_as_they_need(num, den):
+    rnd, parts = random.Random(num), jj.Parts(num, den)
+    most = linked = 0
+    for _ in range(3000):
+        one = {rnd.getrandbits(64) for _ in range(rnd.choice([4, 9, 12, 30, 60, 101, 150]))}
+        gone = rnd.randint(0, len(one) * (den - num) // den)
+        other = set(rnd.sample(sorted(one), len(one) - gone)) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, 1 + len(one) * (den - num) // num))}
+        if one == other or den * len(one & other) < num * len(one | other):
+            continue
+        sets = [np.array(sorted(x), np.uint64) for x in (one, other)]
+        found, owner = parts.signatures(sets)
+        shared = set(found[owner == 0].tolist()) & set(found[owner == 1].tolist())
+        linked += 1
+        for x in sets:
+            need = parts.needs(x)
+            most = max(most, *need)
+            assert any(sum(y % 2 == odd for y in shared) >= need[odd] for odd in (0, 1))
+    assert linked > 300 and most > 1
