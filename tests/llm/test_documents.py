@@ -373,3 +373,19 @@ def test_linked_sets_share_as_many_signatures_as_they_need(num, den):
             most = max(most, *need)
             assert any(sum(y % 2 == odd for y in shared) >= need[odd] for odd in (0, 1))
     assert linked > 300 and most > 1
+
+
+def test_a_common_passage_asks_no_more_than_it_must(spark, monkeypatch):
+    """Sets that share a passage too short for a link meet at few places, and most of their families are not asked."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    common, texts = [word() for _ in range(40)], []
+    for _ in range(60):
+        base = [word() for _ in range(70)] + common
+        texts += [" ".join(base), " ".join([*base[:-1], word()]), " ".join([word(), *base[1:]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    asked, real = [], jj.search
+    monkeypatch.setattr(jj, "search", lambda sets, queries, *rest: asked.append(queries.count()) or real(sets, queries, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in jj.joined(docs, words=5, num=80, den=100).collect()}
+    assert got == {i: i // 3 * 3 for i in range(180)}
+    assert sum(asked[1:]) < 1000  # all who meet at one place at least: 2,274
