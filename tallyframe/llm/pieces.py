@@ -11,6 +11,7 @@ as if it were a text, which is what the library does.
 
 A vocabulary that lower-cases and drops white space gives pieces of ASCII and Latin-1 letters the same ids
 in lower case and without the space before them; they are looked up so, and words go to its model at once.
+So do words of a byte-level vocabulary, with the space before them, since its pattern takes them as one match.
 """
 
 from __future__ import annotations
@@ -47,9 +48,13 @@ FOLDING = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ]},
 }
+#: What a byte-level vocabulary does before its model sees a word, where letters and a space before them are one word.
+BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes.maketrans(_UPPER, _UPPER.lower())
 _WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_SPACED = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+_SPELLED = re.compile(r"[ A-Za-z\xc0-\xff]*").fullmatch
 
 
 def starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -87,8 +92,11 @@ class Memo:
         """Where each piece stands, -1 for those not known."""
         if not len(self.keys):
             return np.full(len(pieces), -1, np.int32)
-        found = pc.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy()
-        self.asked[found[found >= 0]] += 1
+        at = pc.index_in(self.keys, value_set=pieces).fill_null(-1).to_numpy()  # the fewer are hashed
+        held = np.flatnonzero(at >= 0)
+        self.asked[held] += 1
+        found = np.full(len(pieces), -1, np.int32)
+        found[at[held]] = held
         return found
 
     def _keep(self, which: np.ndarray) -> None:
@@ -232,13 +240,18 @@ def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
 
     made = json.loads(tokenizer.to_str())
     folding = plain and all(made[k] == v for k, v in FOLDING.items()) and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+    # within words no added token may stand
+    spaced = all(made[k] == v for k, v in BYTE_LEVEL.items()) and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+    spaced = spaced and not any(_SPELLED(x["content"]) for x in made["added_tokens"])
+    word_of = _WORD if folding else _SPACED if spaced else None
     model, as_bytes = tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    signs = {chr(i - 0x40): as_bytes.pre_tokenize_str(chr(i))[0][0][1] for i in range(0xDF, 0x100)}  # for the second byte of a letter
+    signs = {chr(i - 0x40): as_bytes.pre_tokenize_str(chr(i))[0][0][1] for i in range(0xC0, 0x100)}  # for the second byte of a letter
+    signs[" "] = as_bytes.pre_tokenize_str(" ")[0][0]
     signs = {k: v for k, v in signs.items() if k != v}  # other bytes stand for themselves
 
     def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of a folding vocabulary the model gets words of letters as they are, byte by byte."""
-        words = np.array([folding and _WORD(x) is not None for x in pieces], bool)
+        """Of a folding and of a byte-level vocabulary the model gets words of letters as they are, byte by byte."""
+        words = np.array([word_of is not None and word_of(x) is not None for x in pieces], bool)
         if not words.any():
             return by_text(pieces)
         spelled = b"\n".join([p for p, w in zip(pieces, words.tolist()) if w]).decode("latin-1")

@@ -245,3 +245,42 @@ def test_words_are_folded_before_they_are_looked_up(texts):
     known = set(held.memo.keys.to_pylist())
     assert b"the" in known and b"\xc3\xa9lan" in known and not known & {b" the", b" The", b"\xc3\x89lan", b" \xc3\x89lan"}
     assert not pieces.tokenizer_pieces(q.BYTE_TOKENIZER, True)._folding
+
+
+def test_words_of_a_byte_level_vocabulary_go_to_its_model(texts, monkeypatch):
+    words = [
+        "The the THE\nthe.The, thE's IT'S we're'LL Élan élan  É ÀÞß×÷ÿ ÿ Ÿ İi H̱ é́ É́ naïve\nCiÓN ción Σ ſK K å Å ªº µ", "", " ", " É", "\nÉ", "a­a",
+        " x<|endoftext|>X Le<|endoftext|>LE", " ".join(chr(i) + "a" + chr(i) for i in range(0x20, 0x180)), "\xa0é é\xa0 \x85é",
+    ]
+    rnd = random.Random(9)
+    words += ["".join(rnd.choice("abAB'sS. \n×÷ÀÉéßÿŸ́í19漢") for _ in range(300)) for _ in range(300)]
+    data = [t.encode() for t in texts + words] + [b"\xc3 A\xc3", b"\x80B \xc3A \xc3\xc3\x89 \xc3\x97"]  # not UTF-8
+    for added in (False, True):
+        tokenizer = Tokenizer.from_file(q.BYTE_TOKENIZER)
+        tokenizer.encode_special_tokens = not added
+        want = [x.ids for x in tokenizer.encode_batch([x.decode("utf-8", "replace") for x in data], add_special_tokens=False)]
+        held = pieces.tokenizer_pieces(q.BYTE_TOKENIZER, added)
+        for _ in range(2):
+            flat, ends = held(data)
+            assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
+def test_plain_words_pass_the_pattern_by(tmp_path):
+    """Only pieces that are not a word are encoded as text; none is where an added token may stand in a word."""
+    from tokenizers import AddedToken
+
+    def by_text(path):
+        held, seen = pieces.tokenizer_pieces(path), []
+        inner = dict(zip(held._encode.__code__.co_freevars, (x.cell_contents for x in held._encode.__closure__)))["by_text"]
+        cell = next(x for n, x in zip(held._encode.__code__.co_freevars, held._encode.__closure__) if n == "by_text")
+        cell.cell_contents = lambda some: seen.extend(some) or inner(some)
+        flat, _ = held([b"plain words and \xc3\xa9lan, 12 more"])
+        want = Tokenizer.from_file(path)
+        assert flat.tolist() == want.encode("plain words and élan, 12 more", add_special_tokens=False).ids
+        return set(seen)
+
+    assert by_text(q.BYTE_TOKENIZER) == {b",", b" 12"}
+    other = Tokenizer.from_file(q.BYTE_TOKENIZER)
+    other.add_tokens([AddedToken("ord", normalized=False)])
+    other.save(str(tmp_path / "other.json"))
+    assert b" words" in by_text(str(tmp_path / "other.json"))
