@@ -257,13 +257,17 @@ def tokenizer_pieces(path: str, added: bool = False) -> Pieces:
         spelled = b"\n".join([p for p, w in zip(pieces, words.tolist()) if w]).decode("latin-1")
         for byte, sign in signs.items():
             spelled = spelled.replace(byte, sign)
-        found = [[x.id for x in model.tokenize(word)] for word in spelled.split("\n")]
+        found, lengths = [], []  # flat, since a list per word keeps the garbage collector busy
+        for word in spelled.split("\n"):
+            own = [x.id for x in model.tokenize(word)]
+            found += own
+            lengths.append(len(own))
         rest, counts = by_text([p for p, w in zip(pieces, words.tolist()) if not w])
         sizes = np.empty(len(pieces), np.int64)
-        sizes[words], sizes[~words] = list(map(len, found)), counts
+        sizes[words], sizes[~words] = lengths, counts
         ids = np.empty(int(sizes.sum()), "<u4")
         here = np.repeat(words, sizes)
-        ids[here], ids[~here] = [i for x in found for i in x], rest
+        ids[here], ids[~here] = found, rest
         return ids, sizes
 
     def by_text(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
